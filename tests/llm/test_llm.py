@@ -1,0 +1,487 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy."""
+
+import base64
+import gzip
+import hashlib
+import json
+import os
+import random
+import re
+import zlib
+from urllib.parse import quote
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidewatch.llm import bpe, decontam, linededup, neardup, pii, quality, queries, secrets, tokencount, topk, warc
+
+DATA = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string"
+#: nulls, empties, ties, repeats, odd characters, a long text
+ODD = [(None, None), (1, None), (2, ""), (3, " \n\t"), (4, "a"), (4, "a"), (5, "Ünï çode \U0001f600 ﬁ"), (6, "x" * 50_000), (7, "word " * 5_000), (8, "line one\nline one\n\nline one"), (None, "text of nobody")]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def frame(spark, rows):
+    """With extra columns whose names clash with those of results."""
+    return spark.createDataFrame([(*r, 1.5, "s", 7) for r in rows], f"{DOCS}, score double, spans string, TEXT2 long")
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# --- 1
+
+
+def brute_pii(text):
+    text, out = text or "", []
+    out += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        total = sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(d[::-1]))
+        if 12 <= len(d) <= 19 and total % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.BASE_KINDS.index(s[0])))
+
+
+_AUTO = pii.automaton()
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab@.+-%_ 0123459()é\n:/", max_size=60))
+def test_pii_base_is_the_patterns(text):
+    assert [s for s in pii.find(text, _AUTO) if s[0] in pii.BASE_KINDS] == brute_pii(text)
+
+
+def test_pii_added_and_odd(spark, corpus):
+    text = "IBAN: DE89 3704 0044 0532 0130 00 now, ftp://joe:pw@host.org, account no. 123456789, jürgen@exämple.de"
+    found = {k: text[a:b] for k, a, b in pii.find(text, _AUTO)}
+    assert found["iban"] == "DE89 3704 0044 0532 0130 00" and found["userinfo"] == "joe:pw" and found["account"] == "123456789" and found["intl_email"] == "jürgen@exämple.de"
+    got = pii.pii_spans(frame(spark, ODD + corpus)).collect()
+    assert len(got) == len(ODD) + len(corpus)
+    want = sorted((d if d is not None else -1, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute_pii(t)).encode()).hexdigest()) for d, t in ODD + corpus)
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.base_sha256) for r in got) == want
+    assert pii.pii_spans(frame(spark, ODD[:0])).count() == 0
+    assert "[card]" in pii.redact("pay 4111 1111 1111 1111 now", _AUTO)
+
+
+# --- 2
+
+
+def brute_secrets(text):
+    text = text or ""
+    word = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    out = [("assign", *m.span()) for m in re.finditer(rf"""({word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], secrets.BASE_KINDS.index(s[0])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "Secret", "api_key", "apiKEY", "PASSWD", "=", ": ", '"', "'", "abc123", "AKIA", "ABCDEFGH01234567", "0f" * 13, " ", "ſecret", "K", "é", "\n"]), max_size=9).map("".join))
+def test_secret_base_is_the_patterns(text):
+    assert secrets.find(text)[0] == brute_secrets(text)
+
+
+def test_secret_layers(spark, corpus):
+    plain = 'password="hunter2hunter2"'
+    wrapped = {
+        "url": quote(plain, safe=""),
+        "twice": quote(quote(plain, safe=""), safe=""),
+        "unicode": "".join(f"\\u{ord(c):04x}" for c in plain),
+        "base64": base64.b64encode(plain.encode()).decode(),
+        "gzip": base64.b64encode(gzip.compress(plain.encode())).decode(),
+        "deep": quote(base64.b64encode(zlib.compress(base64.b64encode(plain.encode() * 3))).decode(), safe=""),
+    }
+    for name, w in wrapped.items():
+        text = f"é before {w} after"
+        base, extra, _ = secrets.find(text)
+        spans = {(a, b) for _, a, b in extra}
+        assert spans and all(text[a:b] and 9 <= a < b <= 9 + len(w) for a, b in spans), name
+    got = secrets.secret_spans(frame(spark, ODD + corpus)).collect()
+    want = sorted(hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute_secrets(t)).encode()).hexdigest() for _, t in ODD + corpus)
+    assert sorted(r.base_sha256 for r in got) == want
+    assert secrets.secret_spans(frame(spark, ODD[:0])).count() == 0
+
+
+# --- 3
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op3_quality(spark, sf).collect()
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7) for r in got)
+    held = [(r.score, marks[r.doc_id]) for r in got if r.held_out and r.doc_id in marks]
+    good, bad = [s for s, y in held if y], [s for s, y in held if not y]
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.97
+
+
+def test_quality_marginals_by_enumeration():
+    rng = np.random.default_rng(1)
+    crf = quality.LineCRF(np.zeros((quality.N_MEASURES, 7)), np.zeros(1), rng.normal(size=(2, 2)))
+    s = rng.normal(size=5)
+    weight = {}
+    for code in range(32):
+        y = [code >> i & 1 for i in range(5)]
+        weight[code] = np.exp(sum(s[i] for i in range(5) if y[i]) + sum(crf.trans[y[i], y[i + 1]] for i in range(4)))
+    want = [sum(w for c, w in weight.items() if c >> i & 1) / sum(weight.values()) for i in range(5)]
+    assert np.allclose(crf.marginals(s), want)
+
+
+def test_quality_odd(spark):
+    labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (None, 0), (6, None)], "doc_id long, quality int")
+    docs = frame(spark, ODD)
+    crf = quality.fit(docs, labels)
+    assert quality.score(docs, crf).count() == len(ODD)
+    assert quality.score(docs.limit(0), crf).count() == 0
+    assert quality.accepted(docs, crf).columns == docs.columns
+    assert quality.fit(docs.limit(0), labels.limit(0)).score("any") == 0.5
+
+
+# --- 4
+
+
+def brute_sets(rows):
+    out = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    return out
+
+
+def brute_neardup(rows):
+    sets, ids = brute_sets(rows), [d for d, _ in rows]
+    comp = {d: d for d in ids if d is not None}
+
+    def top(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if ids[i] is None or ids[j] is None or not sets[i] or not sets[j]:
+                continue
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(ids[i]), top(ids[j])))
+                comp[b] = a
+    return sorted(((d, len(s), None if d is None else top(d)) for (d, _), s in zip(rows, sets, strict=True)), key=repr)
+
+
+def planted(seed=0):
+    """Copies, chains of near copies, short texts, a shared passage, long near copies."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, n = [], 0
+    passage = [word() for _ in range(40)]
+    for size in (3, 5, 6, 12, 40, 120, 600, 1500):
+        base = [word() for _ in range(size)]
+        for k in range(12):
+            w = list(base)
+            for _ in range(rng.choice((0, 0, 1, max(1, size // 40), max(1, size // 25)))):
+                w[rng.randrange(size)] = word()
+            rows.append((n := n + 1, " ".join(w)))
+        for k in range(3):
+            rows.append((n := n + 1, " ".join([word() for _ in range(size)] + passage)))
+    chain = [word() for _ in range(200)]
+    for k in range(15):
+        chain = chain[4:] + [word() for _ in range(4)]
+        rows.append((n := n + 1, " ".join(chain)))
+    return rows
+
+
+def test_neardup_is_brute_force(spark, corpus):
+    for rows in (planted(), planted(5) + ODD + [(4, "b c d"), (9, "B C D"), (30, "b c d e f g"), (30, " ".join("klmnop")), (31, "k l m n o p"), (29, "b c d e f g")], corpus):
+        got = neardup.near_duplicates(frame(spark, rows)).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_neardup(rows)
+        assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+    assert neardup.near_duplicates(frame(spark, ODD[:0])).count() == 0
+
+
+def test_neardup_blocks(spark, monkeypatch):
+    """Many small blocks give the same components."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rows = planted(9)
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_neardup(rows)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 80), (7, 7)]
+    got = dict(neardup.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert all(got[i] == 1 for i in range(2, 41)) and got[100] == got[90] == 80
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 5
+
+
+def brute_decontam(rows, items):
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    owners = {}
+    for i, t in items:
+        w = low(t)
+        for k in range(max(1, len(w) - 12) if w else 0):
+            owners.setdefault(tuple(w[k : k + 13]), set()).add(str(i))
+    out = []
+    for d, t in rows:
+        w, hit, found = low(t), set(), set()
+        for n in {len(p) for p in owners}:
+            for k in range(len(w) - n + 1):
+                if (p := tuple(w[k : k + n])) in owners:
+                    hit |= set(range(k, k + n))
+                    found |= owners[p]
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out, key=repr)
+
+
+def test_decontam_is_brute_force(spark, corpus):
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choice("abcd") for _ in range(rng.choice((0, 1, 2, 3, 13, 14, 30))))) for i in range(30)] + [(99, None), (12, "É é 9a"), (13, "é 9A")]
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(200)))) for i in range(60)] + ODD
+    rows += [(200 + i, f"Lorem {t}! " + "zzz " * 70) for i, t in items]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    for rs, its in ((rows, items), (corpus, bench)):
+        want = brute_decontam(rs, its)
+        b = spark.createDataFrame(its, "item_id long, text string")
+        assert rows_of(decontam.contamination(frame(spark, rs), b)) == want
+        assert rows_of(decontam.contamination(frame(spark, rs), b, max_patterns=200)) == want
+        clean = sorted((r[0] for r in want if not r[-1]), key=repr)
+        for cap in (200, 10**6):
+            kept = decontam.clean_only(frame(spark, rs), b, max_patterns=cap)
+            assert sorted((r.doc_id for r in kept.collect()), key=repr) == clean and "TEXT2" in kept.columns
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.contamination(frame(spark, ODD), empty).where("contaminated").count() == 0
+
+
+# --- 6
+
+
+def brute_lines(rows):
+    key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for d, t in rows:
+        for x in (t or "").split("\n"):
+            if d is not None and len(key(x)) >= 20:
+                holders.setdefault(key(x), set()).add(d)
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if d is None or len(holders.get(key(x), ())) < 3 or max(holders[key(x)]) == d]
+        out.append((d, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+LINES = [(i, f"this line is in all documents \n own line of document number {i}\n\tThis Line is in all Documents\nshort\nÜber zwanzig Zeichen lang {i % 4}") for i in range(20)]
+
+
+def test_lines_are_brute_force(spark, corpus, monkeypatch):
+    for rows in (LINES + ODD, LINES + LINES[:3], corpus):
+        docs = frame(spark, rows)
+        assert rows_of(linededup.dedup_lines(docs)) == brute_lines(rows)
+        left = linededup.without_repeated_lines(docs)
+        assert left.columns == docs.columns
+        assert sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in left.collect()) == sorted(r[3] for r in brute_lines(rows))
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(linededup, "filters", lambda r, n, shard_keys=7, f=linededup.filters: f(r, n, 7))
+    monkeypatch.setattr(linededup, "flagged", lambda d, s, n, shard_keys=7, f=linededup.flagged: f(d, s, n, 7))
+    assert rows_of(linededup.dedup_lines(frame(spark, LINES + corpus))) == brute_lines(LINES + corpus)
+    assert linededup.dedup_lines(frame(spark, ODD[:0])).count() == 0
+
+
+def test_lines_are_reversible(spark):
+    first, second = frame(spark, LINES[:10]), frame(spark, LINES[10:])
+    table = linededup.references(first)
+    both = linededup.insert(table, second)
+    assert rows_of(linededup.counts(both)) == rows_of(linededup.counts(linededup.references(frame(spark, LINES))))
+    back = linededup.delete(both, second.select("doc_id"))
+    assert rows_of(back) == rows_of(table) and rows_of(linededup.counts(back)) == rows_of(linededup.counts(table))
+
+
+def test_cuckoo_filter():
+    keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(6000)]
+    f = linededup.CuckooFilter(3000)
+    for k in keys[:3000]:
+        f.insert(k)
+    f = linededup.CuckooFilter.load(f.dump())
+    assert all(k in f for k in keys[:3000]) and sum(k in f for k in keys[3000:]) < 30
+    for k in keys[:1500]:
+        assert f.delete(k)
+    assert all(k in f for k in keys[1500:3000]) and sum(k in f for k in keys[:1500]) < 30
+    small = linededup.CuckooFilter(1)
+    for k in keys[:50]:
+        small.insert(k)
+    assert small.overflow and all(k in linededup.CuckooFilter.load(small.dump()) for k in keys[:50])
+
+
+# --- 7
+
+
+def test_warc(spark):
+    big, html = "y" * 700_000, "<p>" + "é" * 60
+    rows = [(5, "u5", html), (3, "u\n3", html), (9, None, html), (9, "again", html), (1, "u", ""), (2, "u", None), (7, "u", "short"), (8, "u", "short"), (None, "u", html), (10, "u", big), (11, "u", big)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, refers_to string")
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archived(pages).collect()), key=repr)
+    want = []
+    for p, _, h in rows:
+        data = (h or "").encode()
+        first = min(q for q, _, g in rows if g == h and q is not None)
+        again = len(data) >= 100 and p is not None and p != first
+        want.append((p, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first if again else None))
+    assert got == sorted(want, key=repr)
+    archives = warc.bundles(warc.marked(pages), frame_bytes=300, bundle_bytes=2000).cache()
+    assert {(r.page_id, bytes(r.payload).decode()) for r in warc.lookup(archives, [10, 7]).collect()} == {(10, big), (7, "short")}
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().stream_reader(bytes(archives.first().content), read_across_frames=True).read()
+    assert whole.startswith(b"WARC/1.1\r\n")
+    assert warc.archived(pages.limit(0)).count() == 0
+
+
+# --- 8, 9
+
+
+def test_bpe_is_the_library(spark, corpus):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    own = bpe.BPE(bpe.load())
+    texts = [x for _, x in ODD + corpus if x] + ["a<|endoftext|>b<|endoftext|>", "it's  we'll\n\n \t x 12345 ٣٤ \u00a0\u3000 \x1c\x85", "aaaaaaaaaaaaaaaaaaa", "!?" * 300, "日本語 한국어 हिन्दी 👩‍👩‍👧"]
+    for x in texts:
+        want = t.encode(x, add_special_tokens=False).ids
+        assert list(own.encode(x)) == want
+        assert own.decode(want) == t.decode(want, skip_special_tokens=False)
+    got = bpe.round_trip(frame(spark, ODD))
+    assert sorted((r.n_tokens, r.decoded_sha256) for r in got.collect()) == sorted((len(t.encode(x or "", add_special_tokens=False).ids), hashlib.sha256((x or "").encode()).hexdigest()) for _, x in ODD)
+    assert bpe.round_trip(frame(spark, ODD[:0])).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=80))
+def test_bpe_any_text(text):
+    if "t" not in _TOK:
+        from tokenizers import Tokenizer
+
+        _TOK["t"], _TOK["own"] = Tokenizer.from_file(bpe.default_path()), bpe.BPE(bpe.load())
+    assert list(_TOK["own"].encode(text)) == _TOK["t"].encode(text, add_special_tokens=False).ids and _TOK["own"].decode(_TOK["own"].encode(text)) == text
+
+
+_TOK = {}
+
+
+def test_token_counts(spark, corpus):
+    own = bpe.BPE(bpe.load(), specials=False)
+    rows = ODD + corpus + [(500, "a<|endoftext|>b")]
+    want = sorted(((d, len(own.encode(t))) for d, t in rows), key=repr)
+    for size in (7, 64, tokencount.BLOCK_TOKENS):
+        assert sorted((tuple(r) for r in tokencount.token_counts(frame(spark, rows), block_tokens=size).collect()), key=repr) == want
+    assert tokencount.token_counts(frame(spark, ODD[:0])).count() == 0
+
+
+def test_scan_of_flat_files(spark, tmp_path):
+    rng = random.Random(2)
+    for k in range(3):
+        lengths = [rng.choice((0, 0, 1, 5, 40)) for _ in range(30 * k)]
+        ids = [x for n in lengths for x in [7] * n + [tokencount.EOD]] + [7] * k
+        (tmp_path / f"{k}.bin").write_bytes(np.array(ids, "<u4").tobytes())
+        (tmp_path / f"{k}.json").write_text(json.dumps(lengths + [k] * (k > 0)))
+    blocks = tokencount.blocks_of_files(spark, f"file://{tmp_path}/*.bin", block_tokens=8)
+    got = {}
+    for r in sorted(tokencount.scan(blocks, unfinished=True).collect()):
+        got.setdefault(os.path.basename(r.file)[0], []).append(r.n_tokens)
+    assert got == {str(k): json.loads((tmp_path / f"{k}.json").read_text()) for k in (1, 2)}
+
+
+# --- 10
+
+
+def brute_topk(rows, k=5, every=50):
+    ok = [(i, np.floor(256 * np.array(x, float)).astype(object)) for i, x in rows if i is not None and x and None not in x and np.isfinite(np.array(x, float)).all()]
+    out = []
+    for q, v in ok:
+        if q % every == 0:
+            found = sorted((-int(np.dot(v, w)), i) for i, w in ok if i != q and len(w) == len(v))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["unit", "spread", "copies", "huge", "few"])
+def test_topk_is_brute_force(spark, kind, monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 3 if kind == "few" else 700
+    x = rng.normal(size=(n, 8))
+    if kind == "spread":
+        x *= rng.lognormal(sigma=2, size=(n, 1))
+    if kind == "copies":
+        x[: n // 2] = x[0]
+        x[n // 2 : n // 2 + 50] = 0
+    if kind == "huge":
+        x = x[:120] * 1e6
+        n = 120
+    monkeypatch.setattr(topk, "BUCKET", 64)
+    monkeypatch.setattr(topk, "SEEDS", 40)
+    rows = [(int(i), [float(c) for c in np.float32(v)]) for i, v in enumerate(x)]
+    rows += [(1000, None), (1050, [None] * 8), (1100, [float("nan")] * 8), (None, rows[0][1]), (1150, []), (1200, [1.0, 2.0])]
+    df = spark.createDataFrame([(*r, 3) for r in rows], "vec_id long, embedding array<float>, rank int")
+    assert sorted(tuple(r) for r in topk.top_products(df).collect()) == brute_topk(rows)
+    if kind == "unit":
+        assert sorted(tuple(r) for r in topk.top_products(df, portion=4).collect()) == brute_topk(rows)
+        assert topk.top_products(df.limit(0)).count() == 0
+
+
+def test_topk_coordinates_prune_rightly():
+    rng = np.random.default_rng(6)
+    x = np.floor(256 * rng.normal(size=(400, 6)))
+    x[:200] = np.floor(x[:1] * rng.uniform(0.95, 1.0, (200, 1)))
+    r = topk.Retriever(np.array([-1, -2]), x[[0, 300]], 5)
+    for lo in range(0, 400, 50):
+        o = np.argsort(-np.linalg.norm(x, axis=1), kind="stable")[lo : lo + 50]
+        r.bucket(o, x[o], np.linalg.norm(x[o], axis=1))
+    for i, q in enumerate((0, 300)):
+        assert [v for _, v in r.best[i]] == [v for _, v in sorted((-float(x[q] @ x[j]), j) for j in range(400))[:5]]
+
+
+# --- the pipeline
+
+
+def test_pipeline_is_brute_force(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    crf = quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    rows = [(r.doc_id, r.text) for r in docs.collect() if crf.score(r.text) >= 0.7]
+    key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for d, t in rows:
+        for x in t.split("\n"):
+            if len(key(x)) >= 20:
+                holders.setdefault(key(x), set()).add(d)
+    rows = [(d, "\n".join(x for x in t.split("\n") if len(holders.get(key(x), ())) < 3 or max(holders[key(x)]) == d)) for d, t in rows]
+    kept = {d for d, _, c in brute_neardup(rows) if d == c}
+    rows = [r for r in rows if r[0] in kept]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    clean = {r[0] for r in brute_decontam(rows, bench) if not r[-1]}
+    own = bpe.BPE(bpe.load())
+    want = sorted((d, len(own.encode(t)), hashlib.sha256(own.encode(t).tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, t in rows if d in clean)
+    assert sorted(tuple(r) for r in cp.run(spark, DATA).collect()) == want
+    assert [n for n, _ in cp.STAGES][0] == "quality classifier" and len(cp.STAGES) == 5
+
+
+def test_stages_keep_columns(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(d, t, "en", None, 3, 1.0) for d, t in ODD], "doc_id long, text string, lang string, source string, n_chars long, keys double")
+    for _, f in cp.STAGES[:-1]:
+        assert f(spark, docs, DATA).columns == docs.columns and f(spark, docs, DATA).count() <= len(ODD)
+        assert f(spark, docs.limit(0), DATA).count() == 0
