@@ -57,6 +57,11 @@ def _products(q: np.ndarray, x: np.ndarray, largest: float) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1)
 
 
+def _below(score):
+    """A bound under a score that doubles may not hold exactly."""
+    return score - np.where(np.abs(score) < _EXACT, 0.0, np.abs(score) * 1e-12)
+
+
 class Retriever:
     """Running winners of a portion of queries of one dimension."""
 
@@ -76,7 +81,7 @@ class Retriever:
         found.sort()
         self.best[i] = found = found[: self.k]
         if len(found) == self.k:
-            self.beat[i] = max(self.beat[i], float(-found[-1][0]))
+            self.beat[i] = max(self.beat[i], _below(float(-found[-1][0])))
 
     def group(self, vec_ids: np.ndarray, x: np.ndarray, norms: np.ndarray) -> None:
         """Offer many vectors: drop surplus equal ones, sort by length, go through the buckets."""
@@ -131,7 +136,7 @@ class Retriever:
             bound = self.beat[some]
             if n > self.k + 1:
                 # one more than k, as one of them may be the query itself
-                bound = np.maximum(bound, np.partition(s.astype(float), n - self.k - 1, axis=1)[:, n - self.k - 1])
+                bound = np.maximum(bound, _below(np.partition(s.astype(float), n - self.k - 1, axis=1)[:, n - self.k - 1]))
             rows, cols = np.nonzero(s >= bound[:, None])
             cut = np.searchsorted(rows, np.arange(len(some) + 1))
             for j, i in enumerate(some.tolist()):
