@@ -407,7 +407,7 @@ def test_scan_of_flat_files(spark, tmp_path):
 
 
 def brute_topk(rows, k=5, every=50):
-    ok = [(i, np.floor(256 * np.array(x, float)).astype(object)) for i, x in rows if i is not None and x and None not in x and np.isfinite(np.array(x, float)).all()]
+    ok = [(i, np.array([int(c) for c in np.floor(256 * np.array(x, float))], object)) for i, x in rows if i is not None and x and None not in x and np.isfinite(np.array(x, float)).all()]
     out = []
     for q, v in ok:
         if q % every == 0:

@@ -10,11 +10,12 @@ Equal sets form one class, and all later work is on classes.
    documents share (common passages) seldom become lists.
 2. Every class is paired with the most central class of each of its lists: a star instead of all pairs.
 3. The union-sketch estimate drops pairs; full sets verify the rest.
-4. Lists whose members are still in different components are compared member by member inside a
-   task, in blocks of bounded size that are dealt by (value, block, block), so no task and no shuffle
-   ever holds a whole hot list and no list is expanded into pairs. Sets that fit into the sketch are
-   verified right there; a task returns at most one edge for each of its members. Others go to step 3.
-   Every pair that shares a list and is not connected is compared: no link between components is lost.
+4. Lists of three or more whose members are still in different components are compared member by member
+   inside a task, in blocks of bounded size that are dealt by (value, block, block), so no task and no
+   shuffle ever holds a whole hot list and no list is expanded into pairs. A pair is compared only in the
+   first list that both are in. Sets that fit into the sketch are verified right there; a task returns at
+   most one edge for each of its members. Others go to step 3. Every pair that shares a list and is not
+   connected is compared: no link between components is lost.
 5. Components: alternating large-star and small-star passes until nothing changes.
 
 Edge cases: null and empty texts have an empty set and no links; fewer than five words make one shingle;
@@ -24,6 +25,7 @@ doc_id count as one document, linked through any of its texts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,23 +88,69 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(value, node, n, central): the lists that each class enters."""
+    """(value, node, n, central, entered): the lists that each class enters; entered marks which of its LIST_K values are lists."""
 
     def start():
-        def row(node: int, n: int, sketch: bytes) -> Iterator[tuple]:
-            for v in np.frombuffer(sketch, np.int64)[:LIST_K].tolist():
-                yield v, node, n
+        def row(node: int, n: int, low: bytes) -> Iterator[tuple]:
+            for i, v in enumerate(np.frombuffer(low, np.int64).tolist()):
+                yield v, node, n, i
 
         return row
 
-    held = map_rows(classes.select("node", "n", "sketch"), start, "value long, node long, n long")
+    held = map_rows(classes.select("node", "n", "low"), start, "value long, node long, n long, i int")
     shared = held.groupBy("value").agg(F.count("*").alias("freq")).where("freq > 1")
     size = F.least(F.col("n"), F.lit(LIST_K))
     need = F.when(F.col("n") <= LIST_K * 3 // 4, F.ceil(F.col("n") * 3 / 4)).otherwise(F.lit(NEED))
-    mine = held.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "value"))).alias("vs"))
+    mine = held.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "value", "i"))).alias("vs"))
     # values that no other class holds come first in the order of rarity and make no list
     left = F.greatest(F.lit(0), size - need + 1 - (size - F.size("vs")))
-    return mine.select("node", "n", F.size("vs").alias("central"), F.explode(F.slice("vs", F.lit(1), left.cast("int"))).alias("v")).select(F.col("v.value").alias("value"), "node", "n", "central")
+    chosen = mine.select("node", "n", F.size("vs").alias("central"), F.slice("vs", F.lit(1), left.cast("int")).alias("vs"))
+    entered = F.aggregate("vs", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), v["i"])))
+    return chosen.withColumn("entered", entered).select("node", "n", "central", "entered", F.explode("vs").alias("v")).select(F.col("v.value").alias("value"), "node", "n", "central", "entered")
+
+
+#: Bits of the node filter: 10 for each node, up to this many bytes; beyond it, the join alone selects.
+FILTER_BYTES = 16 << 20
+
+
+def _sketches_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, sketch) of the named nodes. A bit filter of bounded size keeps the other sketches from being shuffled."""
+    count = nodes.count()
+    size = 1 << max(10, (10 * max(1, count) - 1).bit_length())
+    picked = rows
+    if size // 8 <= FILTER_BYTES:
+        bits = np.zeros(size // 8, np.uint8)
+
+        def part():
+            own = np.zeros(size // 8, np.uint8)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    at = _bit(b.column(0).to_numpy(zero_copy_only=False), size)
+                    np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["bits"])
+
+            return run
+
+        for r in nodes.select("node").coalesce(4).mapInArrow(part(), "bits binary").toLocalIterator():
+            bits |= np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
+        sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(0)
+                at = _bit(ids.fill_null(0).to_numpy(zero_copy_only=False), size)
+                hit = (sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+                yield b.filter(pa.array(hit.astype(bool)))
+
+        picked = rows.select("doc_id", "n", "set_key", "sketch").mapInArrow(sift, "doc_id long, n long, set_key binary, sketch binary")
+    wanted = nodes.join(classes.select("node", "set_key"), "node")
+    return picked.select(F.col("doc_id").alias("node"), "n", "set_key", "sketch").join(wanted, ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"]).select("node", "n", "sketch")
+
+
+def _bit(ids: np.ndarray, size: int) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64) * _P
+    return ((x ^ (x >> np.uint64(29))) & np.uint64(size - 1)).astype(np.int64)
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -127,9 +175,9 @@ def _judge(na: int, nb: int, a: np.ndarray, b: np.ndarray) -> int:
     return -1 if estimate(a, b) >= LEAST_ESTIMATE else 0
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     """The linked ones of pairs (a, b)."""
-    half = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    half = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
     def judged():
         def row(a: int, b: int, na: int, nb: int, sa: bytes, sb: bytes) -> Iterator[tuple]:
@@ -176,65 +224,91 @@ class _Union(dict):
         return x
 
 
-def compare_block(value: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: list[np.ndarray]) -> list[tuple[int, int, int]]:
+def _common(rows: np.ndarray, items: np.ndarray, n: int) -> np.ndarray:
+    """n x n counts of the items that rows share, by dense products over slices of the shared items."""
+    _, inverse, counts = np.unique(items, return_inverse=True, return_counts=True)
+    useful = counts[inverse] > 1
+    cols, rows = np.unique(inverse[useful], return_inverse=True)[1], rows[useful]
+    out = np.zeros((n, n), np.float32)
+    width = int(cols.max()) + 1 if len(cols) else 0
+    for lo in range(0, width, 2048):
+        here = (cols >= lo) & (cols < lo + 2048)
+        part = np.zeros((n, min(2048, width - lo)), np.float32)
+        part[rows[here], cols[here] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def _first_meeting(value: int, entered: list[int], sketch: list[np.ndarray]) -> np.ndarray:
+    """n x n: True where no smaller value is a list of both."""
+    at = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
+    rows, items = [], []
+    for k, (mask, s) in enumerate(zip(entered, sketch, strict=True)):
+        low = s[:LIST_K]
+        own = low[((mask >> np.arange(len(low), dtype=np.int64)) & 1).astype(bool)]
+        own = own[own < at]
+        rows.append(np.full(len(own), k))
+        items.append(own)
+    return _common(np.concatenate(rows), np.concatenate(items), len(sketch)) == 0
+
+
+def compare_block(value: int, side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, entered: list[int], sketch: list[np.ndarray]) -> list[tuple[int, int, int]]:
     """(a, b, 1: linked or -1: unsure) among the members of one block pair that are in different components.
 
     side: 0 and 1 for the two blocks of a pair; 2 for all members of a block that is compared with itself.
     """
     order = np.argsort(n, kind="stable")
     node, comp, n, side = node[order], comp[order], n[order], side[order]
-    sketch = [sketch[i] for i in order]
-    flat = np.concatenate(sketch)
-    owner = np.repeat(np.arange(len(sketch)), [len(s) for s in sketch])
-    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    useful = counts[inverse] > 1
-    cols = np.unique(inverse[useful], return_inverse=True)[1]
-    rows = owner[useful]
-    common = np.zeros((len(sketch), len(sketch)), np.float32)
-    width = int(cols.max()) + 1 if len(cols) else 0
-    for lo in range(0, width, 4096):
-        here = (cols >= lo) & (cols < lo + 4096)
-        part = np.zeros((len(sketch), min(4096, width - lo)), np.float32)
-        part[rows[here], cols[here] - lo] = 1
-        common += part @ part.T
-    held = np.array([len(s) for s in sketch])
-    small = n <= SKETCH_K
+    sketch, entered = [sketch[i] for i in order], [entered[i] for i in order]
+    size = len(sketch)
+    # sorted by n: a row and the columns behind it
+    open_ = np.triu(np.ones((size, size), bool), 1) & (comp[:, None] != comp[None, :]) & (4 * n[:, None] >= 3 * n[None, :])
+    open_ &= (side[:, None] == 2) | (side[:, None] != side[None, :])
+    if open_.any():
+        open_ &= _first_meeting(value, entered, sketch)
+    i, j = np.nonzero(open_)
+    if not len(i):
+        return []
+    used = np.unique(np.concatenate([i, j]))
+    if len(i) > 4 * len(used):
+        place = np.full(size, -1)
+        place[used] = np.arange(len(used))
+        table = _common(np.repeat(np.arange(len(used)), [len(sketch[k]) for k in used]), np.concatenate([sketch[k] for k in used]), len(used))
+        c = table[place[i], place[j]]
+    else:
+        c = np.array([len(np.intersect1d(sketch[a], sketch[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+    held = np.minimum(n, SKETCH_K)
+    exact = n[j] <= SKETCH_K
+    likely = np.where(exact, 100 * c >= 75 * (n[i] + n[j] - c), c >= LEAST_ESTIMATE * np.maximum(held[i], held[j]) - 1)
     union, out = _Union(), []
-    for i in range(len(sketch) - 1):
-        js = np.arange(i + 1, len(sketch))
-        js = js[(4 * n[i] >= 3 * n[js]) & (comp[js] != comp[i]) & ((side[js] == 2) | (side[js] != side[i]))]
-        if not len(js):
+    # sure ones first: they spare others
+    at = np.flatnonzero(likely)
+    for k in at[np.argsort(~exact[at], kind="stable")].tolist():
+        a, b = union.top(int(comp[i[k]])), union.top(int(comp[j[k]]))
+        if a == b:
             continue
-        c = common[i, js]
-        exact = small[i] & small[js]
-        likely = np.where(exact, 100 * c >= 75 * (n[i] + n[js] - c), c >= LEAST_ESTIMATE * np.minimum(SKETCH_K, np.maximum(held[i], held[js])) - 1)
-        for j, sure in zip(js[likely].tolist(), exact[likely].tolist(), strict=True):
-            a, b = union.top(int(comp[i])), union.top(int(comp[j]))
-            if a == b:
-                continue
-            if sure:
-                union[max(a, b)] = min(a, b)
-                out.append((int(node[i]), int(node[j]), 1))
-            elif estimate(sketch[i], sketch[j]) >= LEAST_ESTIMATE:
-                out.append((int(node[i]), int(node[j]), -1))
+        if exact[k]:
+            union[max(a, b)] = min(a, b)
+            out.append((int(node[i[k]]), int(node[j[k]]), 1))
+        elif estimate(sketch[i[k]], sketch[j[k]]) >= LEAST_ESTIMATE:
+            out.append((int(node[i[k]]), int(node[j[k]]), -1))
     return out
 
 
-def _residual(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Compare, inside tasks, the members of each list that are still in different components."""
-    marked = lists.select("value", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("central")
-    open_lists = marked.groupBy("value").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+def _residual(lists: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+    """Compare, inside tasks, the members of each list that are still in different components. Lists of two were compared as stars."""
+    marked = lists.select("value", "node", "entered").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_lists = marked.groupBy("value").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and size > 2")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
     dealt = (
         marked.join(open_lists.select("value", blocks.alias("blocks")), "value")
         .withColumn("own", own)
-        .select("value", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("value", "node", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
-        .join(classes.select("node", "n", "sketch"), "node")
+        .select("value", "node", "comp", "entered", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("value", "node", "comp", "entered", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
+        .join(known.select("node", "n", "sketch"), "node")
     )
 
-    # Lists are tiny but for a few: a batch of whole lists is sorted inside its partition and cut there.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("j", pa.int32())])
         key, held = None, []
@@ -242,12 +316,12 @@ def _residual(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFr
         def flush():
             if len(held) < 2 or len({h[1] for h in held}) < 2:
                 return None
-            side = np.array([h[3] for h in held])
-            found = compare_block(None, side, np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held]), [np.frombuffer(h[4], np.uint64) for h in held])
+            node, comp, n, entered, side, sketch = zip(*held, strict=True)
+            found = compare_block(key[0], np.array(side), np.array(node), np.array(comp), np.array(n), list(entered), [np.frombuffer(x, np.uint64) for x in sketch])
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema) if found else None
 
         for batch in batches:
-            for v, i, j, *rest in zip(*[batch.column(c).to_pylist() for c in ("value", "i", "j", "node", "comp", "n", "side", "sketch")], strict=True):
+            for v, i, j, *rest in zip(*[batch.column(c).to_pylist() for c in ("value", "i", "j", "node", "comp", "n", "entered", "side", "sketch")], strict=True):
                 if (v, i, j) != key:
                     if (made := flush()) is not None:
                         yield made
@@ -282,16 +356,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     rows = written(sketches(docs), "sketches")
     named = rows.where("doc_id is not null and n > 0")
-    classes = written(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    low = F.substring("sketch", 1, 8 * LIST_K).alias("low")
+    classes = written(named.select("set_key", "doc_id", "n", low).groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("low").alias("low")), "classes")
     lists = written(_postings(classes), "lists")
+    known = written(_sketches_of(rows, classes, lists.select("node").distinct()), "known")
     centre = lists.groupBy("value").agg(F.max(F.struct("central", "node", "n")).alias("c"))
     stars = (
         lists.join(centre, "value").where("node <> c.node and 4 * least(n, c.n) >= 3 * greatest(n, c.n)")
         .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
     )
-    edges = written(_verified(stars, classes, docs), "edges")
+    edges = written(_verified(stars, known, docs), "edges")
     labels = components(edges)
-    more = written(_residual(lists, labels, classes), "residual")
+    more = written(_residual(lists, labels, known), "residual")
     late = more.where("j > 0").select("a", "b").union(_by_full_sets(more.where("j < 0").select("a", "b"), docs))
     # a doc_id that repeats with different texts ties the classes it is in
     twice = named.groupBy("doc_id").agg(F.min(F.xxhash64("set_key")).alias("lo"), F.max(F.xxhash64("set_key")).alias("hi")).where("lo <> hi").select("doc_id")
