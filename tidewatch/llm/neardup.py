@@ -39,7 +39,8 @@ from .common import map_rows, pick, utf8, written
 WORDS, SKETCH_K, LIST_K, NEED = 5, 256, 48, 16
 #: Under this estimate no pair of sketches of SKETCH_K values belongs to sets with similarity 0.75 (6 sigma).
 LEAST_ESTIMATE = 0.58
-BLOCK = 1024
+#: Members of a block of a list, rows compared at once, and shingles of a block of full sets.
+BLOCK, STRIP, BLOCK_SHINGLES = 3072, 256, 2_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,37 +114,37 @@ def _postings(classes: DataFrame) -> DataFrame:
 FILTER_BYTES = 16 << 20
 
 
+def _sifted(df: DataFrame, nodes: DataFrame, ddl: str) -> DataFrame:
+    """The rows of df whose first column may be one of nodes: a bit filter of bounded size spares the others a shuffle."""
+    size = 1 << max(10, (10 * max(1, nodes.count()) - 1).bit_length())
+    if size // 8 > FILTER_BYTES:
+        return df
+    bits = np.zeros(size // 8, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size // 8, np.uint8)
+        for b in batches:
+            at = _bit(b.column(0).to_numpy(zero_copy_only=False), size)
+            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    for r in nodes.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
+    sent = df.sparkSession.sparkContext.broadcast(bits)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0)
+            at = _bit(ids.fill_null(0).to_numpy(zero_copy_only=False), size)
+            hit = (sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield b.filter(pa.array(hit.astype(bool)))
+
+    return df.mapInArrow(sift, ddl)
+
+
 def _sketches_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, sketch) of the named nodes. A bit filter of bounded size keeps the other sketches from being shuffled."""
-    count = nodes.count()
-    size = 1 << max(10, (10 * max(1, count) - 1).bit_length())
-    picked = rows
-    if size // 8 <= FILTER_BYTES:
-        bits = np.zeros(size // 8, np.uint8)
-
-        def part():
-            own = np.zeros(size // 8, np.uint8)
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    at = _bit(b.column(0).to_numpy(zero_copy_only=False), size)
-                    np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["bits"])
-
-            return run
-
-        for r in nodes.select("node").coalesce(4).mapInArrow(part(), "bits binary").toLocalIterator():
-            bits |= np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
-        sent = rows.sparkSession.sparkContext.broadcast(bits)
-
-        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column(0)
-                at = _bit(ids.fill_null(0).to_numpy(zero_copy_only=False), size)
-                hit = (sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-                yield b.filter(pa.array(hit.astype(bool)))
-
-        picked = rows.select("doc_id", "n", "set_key", "sketch").mapInArrow(sift, "doc_id long, n long, set_key binary, sketch binary")
+    """(node, n, sketch) of the named nodes."""
+    picked = _sifted(rows.select("doc_id", "n", "set_key", "sketch"), nodes, "doc_id long, n long, set_key binary, sketch binary")
     wanted = nodes.join(classes.select("node", "set_key"), "node")
     return picked.select(F.col("doc_id").alias("node"), "n", "set_key", "sketch").join(wanted, ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"]).select("node", "n", "sketch")
 
@@ -193,27 +194,46 @@ def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _by_full_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """The linked ones of pairs, by full sets. Pairs are gathered by the cluster they form, cut into blocks of bounded size, so that a set travels once for a block and not once for a pair."""
+    pairs = written(pairs.distinct(), "unsure")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "unsurenodes")
 
     def sets():
         words = _WordHash()
 
         def row(doc_id: int, text: str | None) -> Iterator[tuple]:
-            yield doc_id, shingle_set(text, words).tobytes()
+            s = shingle_set(text, words)
+            yield doc_id, len(s), s.tobytes()
 
         return row
 
-    full = written(map_rows(docs.join(wanted, "doc_id", "left_semi"), sets, "node long, s binary").distinct(), "sets")
-
-    def check():
-        def row(a: int, b: int, sa: bytes, sb: bytes) -> Iterator[tuple]:
-            if _similar(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)):
-                yield a, b
-
-        return row
+    picked = _sifted(docs, nodes, "doc_id long, text string").join(nodes, "doc_id", "left_semi")
+    full = written(map_rows(picked, sets, "node long, n long, s binary").distinct(), "sets")
+    home = full.select("node", "n").join(components(pairs, "clusters"), "node", "left").select("node", "n", F.coalesce("comp", "node").alias("cluster"))
+    blocks = home.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    at = lambda x: F.pmod(F.xxhash64(x, F.lit(5)), F.col("blocks")).cast("int")
+    dealt = pairs.join(home.select(F.col("node").alias("a"), "cluster").distinct(), "a").join(blocks, "cluster").select("cluster", F.least(at("a"), at("b")).alias("i"), F.greatest(at("a"), at("b")).alias("j"), "a", "b")
+    members = dealt.select("cluster", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct().join(full.select("node", "s"), "node")
+    both = members.select("cluster", "i", "j", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "s").union(dealt.select("cluster", "i", "j", F.lit(1), "a", "b", F.lit(None).cast("binary")))
 
-    both = pairs.join(full.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return map_rows(both.select("a", "b", "sa", "sb"), check, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, union = None, {}, _Union()
+        for batch in batches:
+            out = []
+            for *here, kind, a, b, s in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if here != key:
+                    key, held, union = here, {}, _Union()
+                if not kind:
+                    held.setdefault(a, []).append(np.frombuffer(s, np.uint64))
+                    continue
+                x, y = union.top(a), union.top(b)
+                if x != y and any(_similar(p, q) for p in held[a] for q in held[b]):
+                    union[max(x, y)] = min(x, y)
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return both.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "kind").mapInArrow(run, "a long, b long")
 
 
 class _Union(dict):
@@ -224,23 +244,32 @@ class _Union(dict):
         return x
 
 
-def _common(rows: np.ndarray, items: np.ndarray, n: int) -> np.ndarray:
-    """n x n counts of the items that rows share, by dense products over slices of the shared items."""
+def _common(rows: np.ndarray, items: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """For each strip of rows, the counts of the items that they share with every row."""
     _, inverse, counts = np.unique(items, return_inverse=True, return_counts=True)
     useful = counts[inverse] > 1
     cols, rows = np.unique(inverse[useful], return_inverse=True)[1], rows[useful]
-    out = np.zeros((n, n), np.float32)
-    width = int(cols.max()) + 1 if len(cols) else 0
-    for lo in range(0, width, 2048):
-        here = (cols >= lo) & (cols < lo + 2048)
-        part = np.zeros((n, min(2048, width - lo)), np.float32)
-        part[rows[here], cols[here] - lo] = 1
-        out += part @ part.T
+    width, step = int(cols.max()) + 1 if len(cols) else 0, 2048
+    slices = [(rows[here], cols[here] - lo, min(step, width - lo)) for lo in range(0, width, step) for here in [(cols >= lo) & (cols < lo + step)]]
+    dense = None
+    if len(slices) == 1:
+        dense = _dense(slices[0], n)
+    for top in range(0, n, STRIP):
+        out = np.zeros((min(STRIP, n - top), n), np.float32)
+        for part in slices:
+            d = dense if dense is not None else _dense(part, n)
+            out += d[top : top + STRIP] @ d.T
+        yield out
+
+
+def _dense(part: tuple, n: int) -> np.ndarray:
+    out = np.zeros((n, part[2]), np.float32)
+    out[part[0], part[1]] = 1
     return out
 
 
-def _first_meeting(value: int, entered: list[int], sketch: list[np.ndarray]) -> np.ndarray:
-    """n x n: True where no smaller value is a list of both."""
+def _entered(value: int, entered: list[int], sketch: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(member, list value) of the lists below value that the members are in."""
     at = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
     rows, items = [], []
     for k, (mask, s) in enumerate(zip(entered, sketch, strict=True)):
@@ -249,7 +278,7 @@ def _first_meeting(value: int, entered: list[int], sketch: list[np.ndarray]) ->
         own = own[own < at]
         rows.append(np.full(len(own), k))
         items.append(own)
-    return _common(np.concatenate(rows), np.concatenate(items), len(sketch)) == 0
+    return np.concatenate(rows), np.concatenate(items)
 
 
 def compare_block(value: int, side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, entered: list[int], sketch: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -261,37 +290,37 @@ def compare_block(value: int, side: np.ndarray, node: np.ndarray, comp: np.ndarr
     node, comp, n, side = node[order], comp[order], n[order], side[order]
     sketch, entered = [sketch[i] for i in order], [entered[i] for i in order]
     size = len(sketch)
-    # sorted by n: a row and the columns behind it
-    open_ = np.triu(np.ones((size, size), bool), 1) & (comp[:, None] != comp[None, :]) & (4 * n[:, None] >= 3 * n[None, :])
-    open_ &= (side[:, None] == 2) | (side[:, None] != side[None, :])
-    if open_.any():
-        open_ &= _first_meeting(value, entered, sketch)
-    i, j = np.nonzero(open_)
-    if not len(i):
+    held, union, out, todo = np.minimum(n, SKETCH_K), _Union(), [], []
+    for k, met in enumerate(_common(*_entered(value, entered, sketch), size)):
+        # sorted by n: a row and the columns behind it
+        top = k * STRIP
+        rows = np.arange(top, top + len(met))[:, None]
+        open_ = (met == 0) & (np.arange(size)[None, :] > rows) & (comp[rows] != comp[None, :]) & (4 * n[rows] >= 3 * n[None, :]) & ((side[rows] == 2) | (side[rows] != side[None, :]))
+        i, j = np.nonzero(open_)
+        if len(i):
+            todo.append((top, i, j))
+    if not todo:
         return []
-    used = np.unique(np.concatenate([i, j]))
-    if len(i) > 4 * len(used):
-        place = np.full(size, -1)
-        place[used] = np.arange(len(used))
-        table = _common(np.repeat(np.arange(len(used)), [len(sketch[k]) for k in used]), np.concatenate([sketch[k] for k in used]), len(used))
-        c = table[place[i], place[j]]
-    else:
-        c = np.array([len(np.intersect1d(sketch[a], sketch[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
-    held = np.minimum(n, SKETCH_K)
-    exact = n[j] <= SKETCH_K
-    likely = np.where(exact, 100 * c >= 75 * (n[i] + n[j] - c), c >= LEAST_ESTIMATE * np.maximum(held[i], held[j]) - 1)
-    union, out = _Union(), []
-    # sure ones first: they spare others
-    at = np.flatnonzero(likely)
-    for k in at[np.argsort(~exact[at], kind="stable")].tolist():
-        a, b = union.top(int(comp[i[k]])), union.top(int(comp[j[k]]))
-        if a == b:
-            continue
-        if exact[k]:
-            union[max(a, b)] = min(a, b)
-            out.append((int(node[i[k]]), int(node[j[k]]), 1))
-        elif estimate(sketch[i[k]], sketch[j[k]]) >= LEAST_ESTIMATE:
-            out.append((int(node[i[k]]), int(node[j[k]]), -1))
+    many = sum(len(i) for _, i, _ in todo) > 4 * size
+    strips = _common(np.repeat(np.arange(size), [len(x) for x in sketch]), np.concatenate(sketch), size) if many else iter(())
+    at_strip = -STRIP
+    for top, i, j in todo:
+        while many and at_strip < top:
+            shared, at_strip = next(strips), at_strip + STRIP
+        a, b = i + top, j
+        c = shared[i, j] if many else np.array([len(np.intersect1d(sketch[x], sketch[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        exact = n[b] <= SKETCH_K
+        likely = np.flatnonzero(np.where(exact, 100 * c >= 75 * (n[a] + n[b] - c), c >= LEAST_ESTIMATE * np.maximum(held[a], held[b]) - 1))
+        # sure ones first: they spare others
+        for k in likely[np.argsort(~exact[likely], kind="stable")].tolist():
+            x, y = union.top(int(comp[a[k]])), union.top(int(comp[b[k]]))
+            if x == y:
+                continue
+            if exact[k]:
+                union[max(x, y)] = min(x, y)
+                out.append((int(node[a[k]]), int(node[b[k]]), 1))
+            elif estimate(sketch[a[k]], sketch[b[k]]) >= LEAST_ESTIMATE:
+                out.append((int(node[a[k]]), int(node[b[k]]), -1))
     return out
 
 
