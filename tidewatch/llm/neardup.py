@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, utf8, written
+from .common import SLICE_ROWS, map_rows, pick, utf8, written
 
 WORDS, SKETCH_K, LIST_K, NEED = 5, 256, 48, 16
 #: Under this estimate no pair of sketches of SKETCH_K values belongs to sets with similarity 0.75 (6 sigma).
@@ -48,7 +48,7 @@ class _WordHash(dict):
     """Word to 64-bit hash; emptied when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -114,11 +114,11 @@ def _postings(classes: DataFrame) -> DataFrame:
 FILTER_BYTES = 16 << 20
 
 
-def _sifted(df: DataFrame, nodes: DataFrame, ddl: str) -> DataFrame:
-    """The rows of df whose first column may be one of nodes: a bit filter of bounded size spares the others a shuffle."""
+def _bits_of(nodes: DataFrame):
+    """A bit filter of the node ids as a broadcast of bounded size, None beyond the bound: it spares other rows a shuffle, joins then select exactly."""
     size = 1 << max(10, (10 * max(1, nodes.count()) - 1).bit_length())
     if size // 8 > FILTER_BYTES:
-        return df
+        return None
     bits = np.zeros(size // 8, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,21 +130,24 @@ def _sifted(df: DataFrame, nodes: DataFrame, ddl: str) -> DataFrame:
 
     for r in nodes.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
         bits |= np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
-    sent = df.sparkSession.sparkContext.broadcast(bits)
+    return nodes.sparkSession.sparkContext.broadcast(bits)
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0)
-            at = _bit(ids.fill_null(0).to_numpy(zero_copy_only=False), size)
-            hit = (sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield b.filter(pa.array(hit.astype(bool)))
 
-    return df.mapInArrow(sift, ddl)
+def _may_hold(bits: np.ndarray, ids: pa.Array) -> pa.Array:
+    at = _bit(ids.fill_null(0).to_numpy(zero_copy_only=False), 8 * len(bits))
+    return pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
 
 
 def _sketches_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, n, sketch) of the named nodes."""
-    picked = _sifted(rows.select("doc_id", "n", "set_key", "sketch"), nodes, "doc_id long, n long, set_key binary, sketch binary")
+    picked, sent = rows.select("doc_id", "n", "set_key", "sketch"), _bits_of(nodes)
+    if sent is not None:
+
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(_may_hold(sent.value, b.column(0)))
+
+        picked = picked.mapInArrow(sift, "doc_id long, n long, set_key binary, sketch binary")
     wanted = nodes.join(classes.select("node", "set_key"), "node")
     return picked.select(F.col("doc_id").alias("node"), "n", "set_key", "sketch").join(wanted, ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"]).select("node", "n", "sketch")
 
@@ -198,17 +201,23 @@ def _by_full_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = written(pairs.distinct(), "unsure")
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "unsurenodes")
 
-    def sets():
-        words = _WordHash()
-
-        def row(doc_id: int, text: str | None) -> Iterator[tuple]:
-            s = shingle_set(text, words)
-            yield doc_id, len(s), s.tobytes()
-
-        return row
+    sent = _bits_of(nodes)
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("s", pa.binary())])
 
-    picked = _sifted(docs, nodes, "doc_id long, text string").join(nodes, "doc_id", "left_semi")
-    full = written(map_rows(picked, sets, "node long, n long, s binary").distinct(), "sets")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _WordHash()
+        for batch in batches:
+            if sent is not None:
+                batch = batch.filter(_may_hold(sent.value, batch.column(0)))
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                ids, texts = (c.to_pylist() for c in batch.slice(lo, SLICE_ROWS).columns)
+                made = [shingle_set(t, words) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())], schema=schema)
+
+    # either the filter or the join comes first; there is one Python step in the stage
+    picked = docs if sent is not None else docs.join(nodes, "doc_id", "left_semi")
+    full = picked.select("doc_id", "text").mapInArrow(sets, "node long, n long, s binary")
+    full = written(full.join(nodes, full["node"] == nodes["doc_id"], "left_semi").distinct(), "sets")
     home = full.select("node", "n").join(components(pairs, "clusters"), "node", "left").select("node", "n", F.coalesce("comp", "node").alias("cluster"))
     blocks = home.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     at = lambda x: F.pmod(F.xxhash64(x, F.lit(5)), F.col("blocks")).cast("int")
