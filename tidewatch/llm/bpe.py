@@ -26,7 +26,7 @@ from .common import map_rows, pick
 
 #: Fixed value: the pieces of a byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE = 200_000
+CACHE = 100_000
 
 
 def default_path() -> str:
@@ -141,6 +141,7 @@ def on_worker(sent, specials: bool = True) -> BPE:
     key = (hash(sent.value), specials)
     if key not in _MADE:
         _MADE[key] = BPE(json.loads(sent.value), specials)
+    _MADE[key].cache.clear()
     return _MADE[key]
 
 

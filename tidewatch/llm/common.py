@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -57,6 +59,27 @@ _ARROW = {
 }
 
 
+#: Rows and bytes that Spark hands to Python at once: texts may be long, and two tasks share an executor's memory.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the Arrow batch bounds of this session; smaller ones stay."""
+    for key, most in BATCH_CONF.items():
+        now = spark.conf.get(key, None)
+        if now is None or int(now) <= 0 or int(now) > int(most):
+            spark.conf.set(key, most)
+
+
+def release() -> None:
+    """Give freed memory back at a task's end: Python workers live on, next to those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in ddl.split(", ")])
 
@@ -64,6 +87,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
 def map_rows(df: DataFrame, start: Callable[[], Callable[..., Iterable[tuple]]], ddl: str) -> DataFrame:
     """Arrow map. start() runs once in each task and returns f(*row) -> iterable of output tuples."""
     schema = arrow_schema(ddl)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start()
@@ -76,6 +100,8 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[..., Iterable[tuple]]],
                 if out:
                     cols = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+        del f
+        release()
 
     return df.mapInArrow(run, ddl)
 

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, utf8, written
+from .common import map_rows, pick, small_batches, utf8, written
 
 WIDTH = 13
 MAX_PATTERNS = 200_000
@@ -208,4 +208,5 @@ def _flagged(docs: DataFrame, sent, width: int) -> DataFrame:
             out.append(_verdict(None, len(w), *state["s"].search(w))[-1])
         return type(texts)(out, dtype=bool)
 
+    small_batches(docs.sparkSession)
     return docs.where(~bad(F.coalesce(docs["text"], F.lit(""))))

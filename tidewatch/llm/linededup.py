@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, utf8, written
+from .common import map_rows, pick, small_batches, utf8, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys that one filter shard is made for.
@@ -242,6 +242,7 @@ def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFra
     def kept(texts, keys):
         return type(texts)([t if k is None else _kept(t, list(k))[2] for t, k in zip(texts, keys, strict=True)], dtype=object)
 
+    small_batches(docs.sparkSession)
     out = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == lost["_lost_id"], "left")
     text = F.when(F.col("_lost_keys").isNull(), docs["text"]).otherwise(kept(docs["text"], F.col("_lost_keys")))
     made = [text.alias(c) if c == "text" else docs[c] for c in docs.columns]

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, map_rows, pick, utf8, written
+from .common import SLICE_ROWS, map_rows, pick, release, utf8, written
 
 WORDS, SKETCH_K, LIST_K, NEED = 5, 256, 48, 16
 #: Under this estimate no pair of sketches of SKETCH_K values belongs to sets with similarity 0.75 (6 sigma).
@@ -367,6 +367,8 @@ def _residual(lists: DataFrame, labels: DataFrame, known: DataFrame) -> DataFram
                 held.append(rest)
         if (made := flush()) is not None:
             yield made
+        held = []
+        release()
 
     return dealt.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "node").mapInArrow(run, "a long, b long, j int").distinct()
 

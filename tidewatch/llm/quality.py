@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick
+from .common import map_rows, pick, small_batches
 
 THRESHOLD = 0.7
 #: Bounds of the training sample.
@@ -236,4 +236,5 @@ def accepted(docs: DataFrame, crf: LineCRF, threshold: float = THRESHOLD) -> Dat
     def scored(texts):
         return texts.map(crf.score)
 
+    small_batches(docs.sparkSession)
     return docs.where(scored(F.coalesce(docs["text"], F.lit(""))) >= threshold)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import on_worker, send
-from .common import SLICE_ROWS, arrow_schema, map_rows, pick, written
+from .common import SLICE_ROWS, arrow_schema, map_rows, pick, small_batches, written
 
 EOD = 50256
 BLOCK_TOKENS = 1 << 16
@@ -32,6 +32,7 @@ _FLAT = "file long, block long, tokens binary, doc_ids array<long>"
 
 def flat_files(docs: DataFrame, path: str | None = None, eod: int = EOD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Encode documents into flat files, one for each partition, as rows of blocks; rows without tokens list the documents of a file in order."""
+    small_batches(docs.sparkSession)
     sent = send(docs.sparkSession, path)
     schema = arrow_schema(_FLAT)
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, arrow_schema, map_rows, pick, utf8, written
+from .common import SLICE_ROWS, arrow_schema, map_rows, pick, small_batches, utf8, written
 
 MIN_REVISIT_BYTES = 100
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 4 << 20
@@ -137,6 +137,7 @@ def marked(pages: DataFrame) -> DataFrame:
 def bundles(records: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Pack marked pages into bundles, as many for each partition as it needs."""
     schema = arrow_schema(BUNDLE)
+    small_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(w: BundleWriter) -> pa.RecordBatch:
