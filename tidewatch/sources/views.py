@@ -79,5 +79,5 @@ def parse_feed(entries: DataFrame) -> DataFrame:
     return entries.select(
         "source_id", F.coalesce(T.canonical_url(F.col("link")), F.lit("")).alias("external_ref"), "title",
         T.canonical_text(F.col("title"), T.strip_html(F.coalesce("summary", F.lit("")))).alias("canonical_text"),
-        F.try_to_timestamp(F.col("published"), F.lit("EEE, dd MMM yyyy HH:mm:ss Z")).alias("published_at"),
+        F.try_to_timestamp(F.regexp_replace("published", r"^[A-Za-z]+,\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")).alias("published_at"),
     )

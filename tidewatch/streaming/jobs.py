@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,15 +27,16 @@ def ingest_batch(batch: DataFrame, root: str) -> dict[str, int]:
     """Append one batch: occurrences and content by anti-join, raw rows with their outcome last. A replayed batch adds nothing but raw rows."""
     spark = batch.sparkSession
     occ, content = stored(spark, f"{root}/occurrences", OCCURRENCES), stored(spark, f"{root}/content", CONTENT)
-    done = ingest.outcomes(batch, occ, content).persist()
+    # a cache would be refreshed by the appends below and then see them; a staged table is not
+    staged = f"{root}/_staging/{uuid.uuid4().hex}"
+    ingest.outcomes(batch, occ, content).write.parquet(staged)
+    done = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in batch.schema)}, outcome string").parquet(staged)
     new_content = ingest.content_items(done)
     new_content.write.mode("append").parquet(f"{root}/content")
     known = stored(spark, f"{root}/content", CONTENT)
     ingest.item_occurrences(done, known).write.mode("append").parquet(f"{root}/occurrences")
     done.write.mode("append").parquet(f"{root}/raw")
-    counts = {r.outcome: r["count"] for r in done.groupBy("outcome").count().collect()}
-    done.unpersist()
-    return counts
+    return {r.outcome: r["count"] for r in done.groupBy("outcome").count().collect()}
 
 
 def ingest_stream(deliveries: DataFrame, root: str, checkpoint: str, once: bool = True, every: str = "300 seconds"):
