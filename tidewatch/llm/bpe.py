@@ -1,8 +1,8 @@
 """Byte-level BPE with a priority queue of merge ranks over a doubly linked symbol list.
 
 Encoding splits a text at added tokens and then into pieces; a piece's bytes are the first symbols of a doubly linked
-list. A heap holds (rank, position, left, right) of every mergeable pair; the lowest is taken, skipped if either
-symbol changed since (a stale entry), else merged, and the new neighbours are pushed. Decoding concatenates the
+list. A heap holds the rank and position of every mergeable pair; the lowest is taken, skipped if the pair there
+changed since (a stale entry), else merged, and the new neighbours are pushed. Decoding concatenates the
 vocabulary strings. Pieces repeat, so a bounded cache keeps their ids.
 
 The vocabulary file's path is a parameter; its content (of fixed size) is broadcast.
@@ -18,6 +18,7 @@ import json
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class _Cache(dict):
+    """Piece to ids, in two generations of bounded size: pieces that come again outlive those seen once. Long pieces are not kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(piece) <= 64:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class BPE:
     """Encoder and decoder of one vocabulary file."""
 
@@ -58,53 +78,49 @@ class BPE:
         for s, i in added.items():
             self.strings[i] = s.encode()
         self.first = [ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # pairs of ids in one integer, to the merge's rank; the rank to the id it makes
+        self.rank_of: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            x, y = pair.split(" ") if isinstance(pair, str) else pair
+            self.rank_of[ids[x] << 20 | ids[y]] = rank
+            self.made.append(ids[x + y])
         self.added = added if specials else {}
         self.split_added = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.pieces = regex.compile(PIECES).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache = _Cache(self._piece)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        symbols = [self.first[b] for b in piece.encode("utf-8", "surrogatepass")]
-        n = len(symbols)
-        merges = self.merges
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        symbols = list(map(self.first.__getitem__, piece.encode("utf-8", "surrogatepass")))
+        n, rank_of, made = len(symbols), self.rank_of.get, self.made
         heap = []
         for i in range(n - 1):
-            if (m := merges.get((symbols[i], symbols[i + 1]))) is not None:
-                heap.append((m[0], i, symbols[i], symbols[i + 1], m[1]))
+            if (r := rank_of(symbols[i] << 20 | symbols[i + 1])) is not None:
+                heap.append(r << 32 | i)
+        if not heap:
+            return tuple(symbols)
         heapify(heap)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            _, i, left, right, made = heappop(heap)
-            j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
-                continue  # stale
-            symbols[i], symbols[j] = made, -1
-            k = after[j]
-            after[i] = k
+            entry = heappop(heap)
+            r, i = entry >> 32, entry & 0xFFFFFFFF
+            left, j = symbols[i], after[i]
+            # a rank names one pair: any other pair here, or none, makes the entry stale
+            if left < 0 or j >= n or rank_of(left << 20 | symbols[j]) != r:
+                continue
+            symbols[i], symbols[j] = one, _ = made[r], -1
+            k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (m := merges.get((made, symbols[k]))) is not None:
-                    heappush(heap, (m[0], i, made, symbols[k], m[1]))
+                if (r := rank_of(one << 20 | symbols[k])) is not None:
+                    heappush(heap, r << 32 | i)
             h = before[i]
-            if h >= 0 and (m := merges.get((symbols[h], made))) is not None:
-                heappush(heap, (m[0], h, symbols[h], made, m[1]))
-        return tuple(s for s in symbols if s >= 0)
+            if h >= 0 and (r := rank_of(symbols[h] << 20 | one)) is not None:
+                heappush(heap, r << 32 | h)
+        return tuple([s for s in symbols if s >= 0])
 
     def _plain(self, text: str, out: array) -> None:
-        cache = self.cache
-        for p in self.pieces(text):
-            got = cache.get(p)
-            if got is None:
-                got = self._piece(p)
-                if len(p) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[p] = got
-            out.extend(got)
+        out.extend(chain.from_iterable(map(self.cache.__getitem__, self.pieces(text))))
 
     def encode(self, text: str | None) -> array:
         out = array("I")
@@ -141,7 +157,6 @@ def on_worker(sent, specials: bool = True) -> BPE:
     key = (hash(sent.value), specials)
     if key not in _MADE:
         _MADE[key] = BPE(json.loads(sent.value), specials)
-    _MADE[key].cache.clear()
     return _MADE[key]
 
 
