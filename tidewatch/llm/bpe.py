@@ -27,7 +27,7 @@ from .common import map_rows, pick
 
 #: Fixed value: the pieces of a byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE = 100_000
+CACHE = 200_000
 
 
 def default_path() -> str:
