@@ -49,7 +49,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewatch-{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    # small row groups: a writing task holds one in memory
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
