@@ -30,7 +30,6 @@ SHARD_KEYS = 50_000
 #: Filters up to this size in all are broadcast; larger ones are joined by shard.
 BROADCAST_BYTES = 32 << 20
 _STRIP = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
 def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -165,8 +164,6 @@ def filters(repeated: DataFrame, n_keys: int, shard_keys: int = SHARD_KEYS) -> D
     return repeated.select("key", _shard_column(shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard long, filter binary")
 
 
-
-
 def flagged(docs: DataFrame, sieves: DataFrame, n_keys: int, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """(key, doc_id) of the lines that pass the filters: probes on the executors, never a shuffle of texts."""
     shards = max(1, -(-n_keys // shard_keys))
