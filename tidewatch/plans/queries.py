@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -40,11 +41,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from a table in the shared folder, so that iterations do not grow the plan; without a shared folder, Spark's own plan stays."""
+    """df from a table in the shared folder, so that iterations do not grow the plan."""
     spark = df.sparkSession
     home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not home:
-        home = "file:///tmp/tidewatch-shared"
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        home = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
     path = f"{home}/engine-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
