@@ -144,6 +144,16 @@ def test_routing(spark):
         search.top_k(v, [1.0, 0.0], 0)
 
 
+@pytest.mark.parametrize("values", [[], [0.25], [None, None], [0.1, 0.1, None, -0.1], "many"])
+def test_floor_ranks(spark, values):
+    if values == "many":
+        rng = random.Random(3)
+        values = [round(rng.uniform(-2, 2), 3) for _ in range(3000)] + [0.5] * 1500 + [None]
+    got = S.floor_ranks(spark.createDataFrame([(v,) for v in values], "x double"), "x", a=0.0, b=1 / 3, c=0.75, d=1.0).collect()
+    kept = sorted(v for v in values if v is not None)
+    assert [tuple(r) for r in got] == [tuple(kept[int(p * (len(kept) - 1))] if kept else None for p in (0.0, 1 / 3, 0.75, 1.0))]
+
+
 def test_pairs_are_all_pairs(spark):
     rng = np.random.default_rng(0)
     rows = [(i, sorted(set(rng.integers(1, 5, rng.integers(1, 3)).tolist())), [float(x) for x in np.float32(rng.normal(size=4))]) for i in range(80)]
@@ -260,7 +270,7 @@ def test_reports(spark):
     assert one(spark, S.percentage(F.lit(1), F.col("n")), n=0) is None
 
 
-SAMPLE = ["routing_decisions", "routing_transition", "noise_argmax", "ingest_outcomes", "page_text", "candidate_pairs", "event_seeds", "overlap_pairs", "alias_hits", "contour_assignments", "trigrams", "contrastive_terms", "events_session", "hierarchy_closure"]
+SAMPLE = ["routing_decisions", "routing_floor_rank", "routing_leakage", "noise_terciles", "routing_transition", "noise_argmax", "ingest_outcomes", "page_text", "candidate_pairs", "event_seeds", "overlap_pairs", "alias_hits", "contour_assignments", "trigrams", "contrastive_terms", "events_session", "hierarchy_closure"]
 
 
 @pytest.fixture(scope="module")

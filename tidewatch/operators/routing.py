@@ -29,7 +29,7 @@ def transitions(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def terciles(df: DataFrame, col: str) -> DataFrame:
     """df with band by floor-rank cuts."""
-    cuts = df.agg(S.floor_rank(col, 1 / 3).alias("_lo"), S.floor_rank(col, 2 / 3).alias("_hi"))
+    cuts = S.floor_ranks(df, col, _lo=1 / 3, _hi=2 / 3)
     band = F.when(F.col(col) < F.col("_lo"), "low").when(F.col(col) < F.col("_hi"), "mid").otherwise("high")
     return df.crossJoin(F.broadcast(cuts)).withColumn("band", band).drop("_lo", "_hi")
 

@@ -176,7 +176,7 @@ def _(spark, sf):
 
 @query("routing_floor_rank", ROUTED + " SELECT list_sort(list(margin))[1 + CAST(floor(0.75 * (count(*) - 1)) AS INTEGER)] AS p75, list_sort(list(margin))[1 + CAST(floor(0.5 * (count(*) - 1)) AS INTEGER)] AS p50 FROM routed")
 def _(spark, sf):
-    return routed(spark, sf).agg(S.floor_rank("margin", 0.75).alias("p75"), S.floor_rank("margin", 0.5).alias("p50"))
+    return S.floor_ranks(routed(spark, sf), "margin", p75=0.75, p50=0.5)
 
 
 _V2 = ROUTED + ", v2 AS (SELECT content_id, CASE WHEN margin >= 0.05 THEN 'analyze' WHEN margin <= -0.1 THEN 'skip' ELSE 'maybe' END AS decision FROM routed)"
@@ -206,7 +206,7 @@ def _(spark, sf):
 @query("routing_leakage", ROUTED + ", cut AS (SELECT list_sort(list(noise_score))[1 + CAST(floor(0.75 * (count(*) - 1)) AS INTEGER)] AS c FROM noised), l AS (SELECT content_id, label, noise_score, row_number() OVER (PARTITION BY label ORDER BY noise_score DESC, content_id) AS rank FROM routed JOIN noised USING (content_id), cut WHERE decision = 'skip' AND noise_score >= c) SELECT content_id, label, noise_score, CAST(rank AS INTEGER) AS rank FROM l WHERE rank <= 30")
 def _(spark, sf):
     n = noised(spark, sf)
-    cut = n.agg(S.floor_rank("noise_score", 0.75).alias("c"))
+    cut = S.floor_ranks(n, "noise_score", c=0.75)
     rows = routed(spark, sf).where("decision = 'skip'").join(n, "content_id").crossJoin(F.broadcast(cut)).where("noise_score >= c")
     return routing.top_per_group(rows, ["label"], [F.desc("noise_score"), F.col("content_id")], 30).select("content_id", "label", "noise_score", "rank")
 
