@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import scores as S
 from tidewatch.functions import text as T
 from tidewatch.operators import contours, events, expectations, ingest, models, pairs, reporting, routing, search, validators, writes
+from tidewatch.plans import audits as _audits  # noqa: F401  registers its queries
 from tidewatch.plans import queries as Q
 from tidewatch.sources import views as V
 from tidewatch.streaming import jobs
@@ -270,7 +271,7 @@ def test_reports(spark):
     assert one(spark, S.percentage(F.lit(1), F.col("n")), n=0) is None
 
 
-SAMPLE = ["routing_decisions", "routing_floor_rank", "routing_leakage", "noise_terciles", "routing_transition", "noise_argmax", "ingest_outcomes", "page_text", "candidate_pairs", "event_seeds", "overlap_pairs", "alias_hits", "contour_assignments", "trigrams", "contrastive_terms", "events_session", "hierarchy_closure"]
+SAMPLE = ["routing_decisions", "seeded_sample", "stratified_sample", "score_quadrants", "prototype_ablation", "routing_floor_rank", "routing_leakage", "noise_terciles", "routing_transition", "noise_argmax", "ingest_outcomes", "page_text", "candidate_pairs", "event_seeds", "overlap_pairs", "alias_hits", "contour_assignments", "trigrams", "contrastive_terms", "events_session", "hierarchy_closure"]
 
 
 @pytest.fixture(scope="module")

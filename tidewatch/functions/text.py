@@ -161,3 +161,9 @@ def lemma_override(lang: Column, surface: Column, lemma: Column, rules: list[dic
 
 def needs_proxy(url: Column) -> Column:
     return F.coalesce(F.parse_url(url, F.lit("HOST")).endswith(".ru"), F.lit(False))
+
+
+def normalized_tokens(c: Column, lang: Column, languages: list[str], stopwords: list[str], rules: list[dict], lemma=lambda t: t) -> Column:
+    """Tokens without punctuation: surface stopwords stay, others become lemmas. Other languages have no tokens. lemma maps a token column; the default keeps the surface."""
+    kept = F.transform(tokens(c), lambda t: F.when(t.isin(stopwords), t).otherwise(lemma_override(lang, t, lemma(t), rules)))
+    return F.when(lang.isin(languages), F.coalesce(kept, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))

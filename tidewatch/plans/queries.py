@@ -556,7 +556,7 @@ def _(spark, sf):
     return up
 
 
-@query("seeded_sample")
+@query("seeded_sample", ROUTED + " SELECT content_id, decision FROM routed ORDER BY md5(CAST(content_id AS VARCHAR) || ':42'), content_id LIMIT 50")
 def _(spark, sf):
     return routing.seeded_sample(routed(spark, sf).select("content_id", "decision"), "content_id", 50)
 
