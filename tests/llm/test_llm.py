@@ -113,6 +113,23 @@ def test_secret_layers(spark, corpus):
     assert secrets.secret_spans(frame(spark, ODD[:0])).count() == 0
 
 
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+def decoded(text, **limits):
+    """The kinds found in decoded layers, with the words of the text that hold them."""
+    return sorted((k, text[a:b]) for k, a, b in secrets.find(text, **limits)[1])
+
+
+def test_equal_nested_secrets_count_at_each_place():
+    one = b64(b"token%3Dabcdef123")
+    assert decoded(f"{one} and {one}").count(("decoded_assign", one)) == 2
+    both = f"%20{one} and {one}"
+    assert decoded(both).count(("decoded_assign", one)) == 2
+    assert decoded(quote(both) + " " + quote(both)).count(("decoded_assign", quote(one))) == 4
+
+
 # --- 3
 
 

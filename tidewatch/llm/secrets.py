@@ -2,7 +2,7 @@
 
 Each text is the first layer. A layer is scanned; its URL, Unicode, base64 and compressed regions are
 unwrapped into new layers, which join the worklist until no new layer appears. A layer whose content
-was seen before is not taken again, so cycles end. Every character of a layer knows the span of the
+was seen before at the same place is not taken again, so cycles end; equal layers of other places are. Every character of a layer knows the span of the
 document it came from, so findings are reported in code points of the document.
 
 Edge cases: null and empty texts have no spans; a null doc_id stays null; repeated rows are each
@@ -16,6 +16,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator, Sequence
 
@@ -65,6 +66,11 @@ class _Layer:
             return a, b
         return self.starts[a], self.ends[b - 1]
 
+    def key(self) -> tuple:
+        """Content and origin, as digests."""
+        place = self.whole if self.starts is None else hashlib.sha256(array("q", [*self.starts, *self.ends]).tobytes()).digest()
+        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest(), place
+
 
 def _inflate(data: bytes, limit: int) -> tuple[bytes | None, bool]:
     if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
@@ -103,11 +109,15 @@ def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
         if chars is None:
             continue
         changed = True
+        parts.append(text[at : m.start()])
+        if layer.whole is not None:
+            parts += [c for c, _, _ in chars]
+            at = m.end()
+            continue
         for i in range(at, m.start()):
             a, b = layer.origin(i, i + 1)
             starts.append(a)
             ends.append(b)
-        parts.append(text[at : m.start()])
         for c, a, b in chars:
             a, b = layer.origin(a, b)
             parts.append(c)
@@ -116,6 +126,8 @@ def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
         at = m.end()
     if not changed:
         return None
+    if layer.whole is not None:
+        return _Layer("".join([*parts, text[at:]]), None, None, layer.whole)
     for i in range(at, len(text)):
         a, b = layer.origin(i, i + 1)
         starts.append(a)
@@ -175,10 +187,9 @@ def find(text: str | None, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[str
     seen, work = set(), deque([(_Layer(text, None, None, None), True)])
     while work:
         layer, first = work.popleft()
-        key = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
-        if (key, layer.whole) in seen:
+        if (key := layer.key()) in seen:
             continue
-        seen.add((key, layer.whole))
+        seen.add(key)
         for kind, a, b in scan(layer.text):
             if first:
                 base.append((kind, a, b))
