@@ -130,6 +130,16 @@ def test_equal_nested_secrets_count_at_each_place():
     assert decoded(quote(both) + " " + quote(both)).count(("decoded_assign", quote(one))) == 4
 
 
+def test_odd_characters_keep_layers():
+    for odd in ("\u00a0", "\u3000", "\ufeff", "\u200d", "\u00ad", "\f", "\0"):
+        for data in (odd.encode() + b" password=hunter2hunter2", gzip.compress(f"password=hunter2hunter2 {odd}".encode())):
+            assert decoded(f"see {b64(data)} here") == [("decoded_assign", b64(data))]
+    bad = b64(b"caf\xe9 password=hunter2hunter2")
+    assert decoded(bad) == [("decoded_assign", bad)]
+    assert decoded("%E9%20%74oken=abcdef123") == [("decoded_assign", "%74oken=abcdef123")]
+    assert decoded("&#9999999;&#116;oken=abcdef123") == [("decoded_assign", "&#116;oken=abcdef123")]
+
+
 # --- 3
 
 

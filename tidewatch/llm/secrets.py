@@ -6,7 +6,7 @@ was seen before at the same place is not taken again, so cycles end; equal layer
 document it came from, so findings are reported in code points of the document.
 
 Edge cases: null and empty texts have no spans; a null doc_id stays null; repeated rows are each
-scanned. A compressed layer is inflated up to max_layer_bytes; what lies beyond is counted in n_oversize.
+scanned; decoded bytes are scanned whatever they are, readable or not. A compressed layer is inflated up to max_layer_bytes; what lies beyond is counted in n_oversize.
 """
 
 from __future__ import annotations
@@ -83,8 +83,9 @@ def _inflate(data: bytes, limit: int) -> tuple[bytes | None, bool]:
     return None, False
 
 
-def _as_text(data: bytes, limit: int) -> tuple[str | None, bool]:
-    """Readable text of decoded bytes, through any number of compressed wrappings."""
+def _as_text(data: bytes, limit: int) -> tuple[str, bool]:
+    """Decoded bytes as text, through any number of compressed wrappings. All patterns are ASCII and the layer has one
+    span, so that a character a byte finds the same as UTF-8 and no byte is bad."""
     seen, over = set(), False
     while (key := hashlib.sha256(data).digest()) not in seen:
         seen.add(key)
@@ -93,12 +94,7 @@ def _as_text(data: bytes, limit: int) -> tuple[str | None, bool]:
         if out is None:
             break
         data = out
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None, over
-    good = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return (text if text and good == len(text) else None), over
+    return data.decode("latin-1"), over
 
 
 def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
@@ -106,8 +102,6 @@ def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     text, parts, starts, ends, at, changed = layer.text, [], [], [], 0, False
     for m in pattern.finditer(text):
         chars = decode(m)
-        if chars is None:
-            continue
         changed = True
         parts.append(text[at : m.start()])
         if layer.whole is not None:
@@ -136,12 +130,12 @@ def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     return _Layer("".join(parts), starts, ends, None)
 
 
-def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
+def _percent(m: re.Match) -> list[tuple[str, int, int]]:
     data = bytes(int(m[0][i + 1 : i + 3], 16) for i in range(0, len(m[0]), 3))
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
+        return [(chr(c), m.start() + 3 * i, m.start() + 3 * i + 3) for i, c in enumerate(data)]
     out, at = [], m.start()
     for c in text:
         n = 3 * len(c.encode())
@@ -150,12 +144,13 @@ def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
     return out
 
 
-def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
+def _escape(m: re.Match) -> list[tuple[str, int, int]]:
     out = []
     for x in _ESCAPE_ONE.finditer(m.string, m.start(), m.end()):
         code = int(x[1] or x[2] or x[3] or "0", 16) if x[4] is None else int(x[4])
-        if code > 0x10FFFF:
-            return None
+        if code > 0x10FFFF:  # no character: stays as it is
+            out += [(m.string[i], i, i + 1) for i in range(x.start(), x.end())]
+            continue
         out.append((chr(code), x.start(), x.end()))
     return out
 
@@ -176,7 +171,7 @@ def unwrap(layer: _Layer, limit: int) -> Iterator[tuple[_Layer | None, bool]]:
         except (binascii.Error, ValueError):
             continue
         inner, over = _as_text(data, limit)
-        yield (None if inner is None else _Layer(inner, None, None, layer.origin(*m.span()))), over
+        yield _Layer(inner, None, None, layer.origin(*m.span())), over
 
 
 def find(text: str | None, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
