@@ -140,6 +140,21 @@ def test_odd_characters_keep_layers():
     assert decoded("&#9999999;&#116;oken=abcdef123") == [("decoded_assign", "&#116;oken=abcdef123")]
 
 
+def test_compressed_layers_are_read_to_their_end():
+    plain = b"password=hunter2hunter2"
+    for data in (gzip.compress(b"one. ") + gzip.compress(plain), zlib.compress(b"one. ") + zlib.compress(plain), gzip.compress(gzip.compress(b"one. ") + gzip.compress(plain))):
+        assert decoded(b64(data)) == [("decoded_assign", b64(data))]
+    for fill in (b"word, ", "é".encode(), b"g", b"\0"):
+        long = fill * 70_000
+        for inner in (long + b" " + plain, plain + b" " + long, long + b" " + b64(gzip.compress(long + b" " + plain)).encode()):
+            for limit in (1001, 65_536, 10**7):
+                base, extra, oversize = secrets.find(b64(gzip.compress(inner)), limit)
+                assert [k for k, _, _ in extra] == ["decoded_assign"] and (oversize > 0) == (limit < 10**7)
+    assert decoded(b64(gzip.compress(plain)[:-6])) and decoded(b64(gzip.compress(plain)[:-8] + b"\0" * 8))
+    half = secrets.find(b64(gzip.compress(b"%74oken=abcdef123 " + b"~ " * 50_000)), 1000)
+    assert [k for k, _, _ in half[1]] == ["decoded_assign"] and half[2] == 2
+
+
 # --- 3
 
 

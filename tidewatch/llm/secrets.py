@@ -6,15 +6,18 @@ was seen before at the same place is not taken again, so cycles end; equal layer
 document it came from, so findings are reported in code points of the document.
 
 Edge cases: null and empty texts have no spans; a null doc_id stays null; repeated rows are each
-scanned; decoded bytes are scanned whatever they are, readable or not. A compressed layer is inflated up to max_layer_bytes; what lies beyond is counted in n_oversize.
+scanned; decoded bytes are scanned whatever they are, readable or not. Every member of a compressed layer is inflated
+to its end, what precedes damage too. A decoded layer of more than max_layer_bytes is kept in a temporary file rather
+than in memory and scanned whole; n_oversize counts these.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
+import mmap
 import re
+import tempfile
 import zlib
 from array import array
 from collections import deque
@@ -26,8 +29,10 @@ from .common import map_rows, pick
 
 BASE_KINDS = ("assign", "access", "hex")
 _RANK = {k: i for i, k in enumerate((*BASE_KINDS, "decoded_assign", "decoded_access", "decoded_hex"))}
-#: Guard against decompression bombs.
+#: Decoded layers beyond this are kept in a temporary file, so that decompression bombs do not fill the memory.
 MAX_LAYER_BYTES = 16 << 20
+#: Bytes decoded at a time; a multiple of 4.
+_STEP = 1 << 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -36,7 +41,15 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
 _ESCAPE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over bytes. All patterns are ASCII, so that bytes find the same as UTF-8 text and no byte is bad.
+_ASSIGN_BYTES, _ACCESS_BYTES = re.compile(_ASSIGN.pattern.encode(), re.I), re.compile(rb"AKIA[A-Z0-9]{16}")
+_HEX_BYTES, _B64_BYTES = re.compile(rb"[0-9a-f]{24}"), re.compile(_B64.pattern.encode())
+_PERCENT_BYTES, _ESCAPE_BYTES = re.compile(rb"(?:%[0-9A-Fa-f]{2}){1,9999}"), re.compile(_ESCAPE_ONE.pattern.encode())
+_MAGIC = (b"\x1f\x8b\x08", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+_MEMBER = re.compile(b"|".join(map(re.escape, _MAGIC)))
+_TO_B64 = bytes.maketrans(b"-_", b"+/")
 _CUES = ("passw", "secret", "token", "api")
+_CUES_BYTES = tuple(c.encode() for c in _CUES)
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -52,49 +65,163 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 
 class _Layer:
-    """Text plus, for each character, where it came from: lists, or one span for all of it."""
+    """A document's text, or that with regions decoded in place, plus lists of where each character came from."""
 
-    __slots__ = ("text", "starts", "ends", "whole")
+    __slots__ = ("text", "starts", "ends")
 
-    def __init__(self, text: str, starts: Sequence[int] | None, ends: Sequence[int] | None, whole: tuple[int, int] | None):
-        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
+    def __init__(self, text: str, starts: Sequence[int] | None = None, ends: Sequence[int] | None = None):
+        self.text, self.starts, self.ends = text, starts, ends
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
-        if self.whole is not None:
-            return self.whole
         if self.starts is None:
             return a, b
         return self.starts[a], self.ends[b - 1]
 
     def key(self) -> tuple:
         """Content and origin, as digests."""
-        place = self.whole if self.starts is None else hashlib.sha256(array("q", [*self.starts, *self.ends]).tobytes()).digest()
+        place = None if self.starts is None else hashlib.sha256(array("q", [*self.starts, *self.ends]).tobytes()).digest()
         return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest(), place
 
 
-def _inflate(data: bytes, limit: int) -> tuple[bytes | None, bool]:
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-        try:
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, limit)
-            return out, bool(d.unconsumed_tail)
-        except zlib.error:
-            return None, False
-    return None, False
-
-
-def _as_text(data: bytes, limit: int) -> tuple[str, bool]:
-    """Decoded bytes as text, through any number of compressed wrappings. All patterns are ASCII and the layer has one
-    span, so that a character a byte finds the same as UTF-8 and no byte is bad."""
-    seen, over = set(), False
-    while (key := hashlib.sha256(data).digest()) not in seen:
-        seen.add(key)
-        out, more = _inflate(data, limit)
-        over |= more
-        if out is None:
-            break
-        data = out
-    return data.decode("latin-1"), over
+def _holds(data, *needles: bytes, fold: bool = False) -> bool:
+    """Is any of these short words in there? Much faster than the patterns they stand for."""
+    for at in range(0, len(data), _STEP):
+        piece = bytes(data[at : at + _STEP + 15])
+        if fold:
+            piece = piece.lower()
+        if any(n in piece for n in needles):
+            return True
+    return False
+
+
+class _Blob:
+    """A decoded layer, written piece by piece: in memory up to limit bytes, beyond in an unnamed temporary file. All of it has one origin."""
+
+    def __init__(self, limit: int):
+        self.limit, self.data, self.file, self.sha = limit, bytearray(), None, hashlib.sha256()
+
+    def write(self, piece: bytes) -> None:
+        self.sha.update(piece)
+        if self.file is None and len(self.data) + len(piece) > self.limit:
+            self.file = tempfile.TemporaryFile()
+            self.file.write(self.data)
+            self.data = bytearray()
+        if self.file is None:
+            self.data += piece
+        else:
+            self.file.write(piece)
+
+    def done(self) -> _Blob:
+        if self.file is not None:
+            self.file.flush()
+            self.data = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
+        return self
+
+    def kinds(self) -> set[str]:
+        out = set()
+        if _holds(self.data, *_CUES_BYTES, fold=True) and any(m.end(2) - m.start(2) >= 6 for m in _ASSIGN_BYTES.finditer(self.data)):
+            out.add("assign")
+        if _holds(self.data, b"AKIA") and _ACCESS_BYTES.search(self.data):
+            out.add("access")
+        if _HEX_BYTES.search(self.data):
+            out.add("hex")
+        return out
+
+
+def _unbased(data, a: int, b: int, limit: int) -> _Blob | None:
+    """The base64 word at data[a:b] decoded."""
+    out, rest = _Blob(limit), b""
+    for at in range(a, b, _STEP):
+        rest += bytes(data[at : min(b, at + _STEP)]).translate(_TO_B64, b"=")
+        n = len(rest) // 4 * 4
+        out.write(binascii.a2b_base64(rest[:n]))
+        rest = rest[n:]
+    if len(rest) == 1:
+        return None
+    if rest:
+        out.write(binascii.a2b_base64(rest + b"=" * (4 - len(rest))))
+    return out.done()
+
+
+def _inflated(data, at: int, limit: int) -> tuple[_Blob, int]:
+    """What the compressed member at this place holds, up to damage if any, and where to look for the next one."""
+    out, d, i = _Blob(limit), zlib.decompressobj(47), at
+    while not d.eof and i < len(data):
+        piece = bytes(data[i : i + _STEP])
+        i += len(piece)
+        while piece and not d.eof:
+            before = d.copy()
+            try:
+                out.write(d.decompress(piece, _STEP))
+            except zlib.error:
+                try:
+                    for k in range(len(piece)):
+                        out.write(before.decompress(piece[k : k + 1]))
+                except zlib.error:
+                    pass
+                return out.done(), at + 1
+            piece = d.unconsumed_tail
+    if d.eof:
+        return out.done(), i - len(d.unused_data)
+    out.write(d.flush())
+    return out.done(), at + 1
+
+
+def _rewritten(data, pattern: re.Pattern, decode, limit: int) -> Iterator[_Blob]:
+    """The layer with each region of the pattern decoded, if there is any."""
+    if not pattern.search(data):
+        return
+    out, at = _Blob(limit), 0
+    for m in pattern.finditer(data):
+        for i in range(at, m.start(), _STEP):
+            out.write(data[i : min(m.start(), i + _STEP)])
+        out.write(decode(m))
+        at = m.end()
+    for i in range(at, len(data), _STEP):
+        out.write(data[i : i + _STEP])
+    yield out.done()
+
+
+def _percent_bytes(m: re.Match) -> bytes:
+    return bytes.fromhex(m[0].replace(b"%", b"").decode())
+
+
+def _escape_bytes(m: re.Match) -> bytes:
+    code = int(m[1] or m[2] or m[3] or b"0", 16) if m[4] is None else int(m[4])
+    return chr(code).encode("utf-8", "surrogatepass") if code <= 0x10FFFF else bytes(m[0])
+
+
+def _inside(data, limit: int) -> Iterator[_Blob]:
+    """The layers directly inside decoded bytes."""
+    if _holds(data, b"%"):
+        yield from _rewritten(data, _PERCENT_BYTES, _percent_bytes, limit)
+    if _holds(data, b"\\", b"&#"):
+        yield from _rewritten(data, _ESCAPE_BYTES, _escape_bytes, limit)
+    for m in _B64_BYTES.finditer(data):
+        if (blob := _unbased(data, *m.span(), limit)) is not None:
+            yield blob
+    at = 0 if _holds(data, *_MAGIC) else len(data)
+    while m := _MEMBER.search(data, at):
+        blob, at = _inflated(data, m.start(), limit)
+        yield blob
+
+
+def _closure(word: bytes, limit: int) -> tuple[set[str], int]:
+    """(kinds found in any layer inside a base64 word, layers beyond the limit). Depth first: only a chain of layers exists at a time."""
+    found, large, seen = set(), 0, set()
+    first = _unbased(word, 0, len(word), limit)
+    stack = [iter([] if first is None else [first])]
+    del first
+    while stack:
+        blob = next(stack[-1], None)
+        if blob is None:
+            stack.pop()
+        elif (key := blob.sha.digest()) not in seen:
+            seen.add(key)
+            large += blob.file is not None
+            found |= blob.kinds()
+            stack.append(_inside(blob.data, limit))
+    return found, large
 
 
 def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
@@ -104,10 +231,6 @@ def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
         chars = decode(m)
         changed = True
         parts.append(text[at : m.start()])
-        if layer.whole is not None:
-            parts += [c for c, _, _ in chars]
-            at = m.end()
-            continue
         for i in range(at, m.start()):
             a, b = layer.origin(i, i + 1)
             starts.append(a)
@@ -120,14 +243,12 @@ def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
         at = m.end()
     if not changed:
         return None
-    if layer.whole is not None:
-        return _Layer("".join([*parts, text[at:]]), None, None, layer.whole)
     for i in range(at, len(text)):
         a, b = layer.origin(i, i + 1)
         starts.append(a)
         ends.append(b)
     parts.append(text[at:])
-    return _Layer("".join(parts), starts, ends, None)
+    return _Layer("".join(parts), starts, ends)
 
 
 def _percent(m: re.Match) -> list[tuple[str, int, int]]:
@@ -155,31 +276,20 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]]:
     return out
 
 
-def unwrap(layer: _Layer, limit: int) -> Iterator[tuple[_Layer | None, bool]]:
-    """The layers directly inside a layer."""
-    text = layer.text
-    if "%" in text:
-        yield _replaced(layer, _PERCENT, _percent), False
-    if "\\" in text or "&#" in text:
-        yield _replaced(layer, _ESCAPE, _escape), False
-    for m in _B64.finditer(text):
-        word = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(word) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(word + "=" * (-len(word) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        inner, over = _as_text(data, limit)
-        yield _Layer(inner, None, None, layer.origin(*m.span())), over
+def unwrap(layer: _Layer) -> Iterator[_Layer | None]:
+    """The layer with its URL and Unicode regions decoded in place."""
+    if "%" in layer.text:
+        yield _replaced(layer, _PERCENT, _percent)
+    if "\\" in layer.text or "&#" in layer.text:
+        yield _replaced(layer, _ESCAPE, _escape)
 
 
 def find(text: str | None, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
-    """(base spans, spans found in decoded layers, layers cut at the limit)."""
+    """(base spans, spans found in decoded layers, decoded layers beyond the limit)."""
     if not text:
         return [], [], 0
     base, extra, oversize = [], set(), 0
-    seen, work = set(), deque([(_Layer(text, None, None, None), True)])
+    seen, work, words, known_words = set(), deque([(_Layer(text), True)]), set(), {}
     while work:
         layer, first = work.popleft()
         if (key := layer.key()) in seen:
@@ -190,10 +300,16 @@ def find(text: str | None, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[str
                 base.append((kind, a, b))
             else:
                 extra.add((f"decoded_{kind}", *layer.origin(a, b)))
-        for inner, over in unwrap(layer, limit):
-            oversize += over
-            if inner is not None:
-                work.append((inner, False))
+        for m in _B64.finditer(layer.text):
+            if (place := (m[0], *layer.origin(*m.span()))) in words:
+                continue
+            words.add(place)
+            if m[0] not in known_words:
+                known_words[m[0]] = _closure(m[0].encode(), limit)
+            kinds, large = known_words[m[0]]
+            extra.update((f"decoded_{kind}", *place[1:]) for kind in kinds)
+            oversize += large
+        work.extend((inner, False) for inner in unwrap(layer) if inner is not None)
     order = lambda s: (s[1], _RANK[s[0]], s[2])
     base.sort(key=order)
     known = set(base)
