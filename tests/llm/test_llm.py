@@ -155,6 +155,23 @@ def test_compressed_layers_are_read_to_their_end():
     assert [k for k, _, _ in half[1]] == ["decoded_assign"] and half[2] == 2
 
 
+def test_base64_out_of_phase_and_over_lines():
+    plain = b"some words, then password=hunter2hunter2"
+    for data in (plain, gzip.compress(plain), zlib.compress(plain), b"token=abc:def " * 9 + plain):
+        for before in ("id_", "host/cb/", "key-", "a", "ab", "abc", "x/y/z/"):
+            for after in ("", "/", "/a", "_ab", "-abc"):
+                word = before + b64(data).rstrip("=") + after
+                assert decoded(f"see {word}, there") == [("decoded_assign", word)]
+        for width in (5, 13, 16, 64, 76):
+            for end in ("\n", "\r\n"):
+                lines = end.join(b64(data)[i : i + width] for i in range(0, len(b64(data)), width))
+                for text in (f"see\n\n{lines}\n\nthere", f"see\n{lines}\nthere", quote(lines)):
+                    assert "decoded_assign" in {k for k, _ in decoded(text)}
+                assert "decoded_assign" in {k for k, _ in decoded(b64(lines.encode()))}
+    assert decoded("dG9rZW49YWJjZGVmMTIz\ndG9rZW49YWJjZGVmMTIz").count(("decoded_assign", "dG9rZW49YWJjZGVmMTIz")) == 2
+    assert decoded("V" * 50_000) == [] and decoded("short\nlines\nof\nno\nsecret\n" * 999) == []
+
+
 # --- 3
 
 

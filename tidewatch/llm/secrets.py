@@ -2,13 +2,15 @@
 
 Each text is the first layer. A layer is scanned; its URL, Unicode, base64 and compressed regions are
 unwrapped into new layers, which join the worklist until no new layer appears. A layer whose content
-was seen before at the same place is not taken again, so cycles end; equal layers of other places are. Every character of a layer knows the span of the
-document it came from, so findings are reported in code points of the document.
+was seen before at the same place is not taken again, so cycles end; equal layers of other places are.
+Every layer knows which spans of the document it came from, so findings are reported in code points of
+the document. A base64 run is decoded at each of its four phases, line by line and also joined across
+single line breaks; its findings have the span of the run, so a secret in one of several lines may have
+two. Every member of a compressed layer is inflated to its end, or up to damage.
 
 Edge cases: null and empty texts have no spans; a null doc_id stays null; repeated rows are each
-scanned; decoded bytes are scanned whatever they are, readable or not. Every member of a compressed layer is inflated
-to its end, what precedes damage too. A decoded layer of more than max_layer_bytes is kept in a temporary file rather
-than in memory and scanned whole; n_oversize counts these.
+scanned; decoded bytes are scanned whatever they are, readable or not. A decoded layer of more than
+max_layer_bytes is kept in a temporary file and scanned whole; n_oversize counts these.
 """
 
 from __future__ import annotations
@@ -41,9 +43,11 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
 _ESCAPE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run that goes on behind single line breaks. It may hold less than 16 characters.
+_B64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)*+|[A-Za-z0-9+/_-]++(?:\r?\n[A-Za-z0-9+/_-]++)++)={0,2}")
 #: The same over bytes. All patterns are ASCII, so that bytes find the same as UTF-8 text and no byte is bad.
 _ASSIGN_BYTES, _ACCESS_BYTES = re.compile(_ASSIGN.pattern.encode(), re.I), re.compile(rb"AKIA[A-Z0-9]{16}")
-_HEX_BYTES, _B64_BYTES = re.compile(rb"[0-9a-f]{24}"), re.compile(_B64.pattern.encode())
+_HEX_BYTES, _B64_LINES_BYTES = re.compile(rb"[0-9a-f]{24}"), re.compile(_B64_LINES.pattern.encode())
 _PERCENT_BYTES, _ESCAPE_BYTES = re.compile(rb"(?:%[0-9A-Fa-f]{2}){1,9999}"), re.compile(_ESCAPE_ONE.pattern.encode())
 _MAGIC = (b"\x1f\x8b\x08", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 _MEMBER = re.compile(b"|".join(map(re.escape, _MAGIC)))
@@ -128,19 +132,22 @@ class _Blob:
         return out
 
 
-def _unbased(data, a: int, b: int, limit: int) -> _Blob | None:
-    """The base64 word at data[a:b] decoded."""
-    out, rest = _Blob(limit), b""
-    for at in range(a, b, _STEP):
-        rest += bytes(data[at : min(b, at + _STEP)]).translate(_TO_B64, b"=")
-        n = len(rest) // 4 * 4
-        out.write(binascii.a2b_base64(rest[:n]))
-        rest = rest[n:]
-    if len(rest) == 1:
-        return None
-    if rest:
-        out.write(binascii.a2b_base64(rest + b"=" * (4 - len(rest))))
-    return out.done()
+def _unbased(data, a: int, b: int, limit: int) -> Iterator[_Blob]:
+    """The base64 run at data[a:b], which line breaks may cut, decoded from each of its first four characters: what stands before a word shifts it."""
+    for skip in range(4):
+        out, rest, first = _Blob(limit), b"", True
+        for at in range(a, b, _STEP):
+            rest += bytes(data[at : min(b, at + _STEP)]).translate(_TO_B64, b"=\r\n")
+            if first:
+                if len(rest) < 16:
+                    return
+                rest, first = rest[skip:], False
+            n = len(rest) // 4 * 4
+            out.write(binascii.a2b_base64(rest[:n]))
+            rest = rest[n:]
+        if len(rest) > 1:  # a single character is less than a byte
+            out.write(binascii.a2b_base64(rest + b"=" * (4 - len(rest))))
+        yield out.done()
 
 
 def _inflated(data, at: int, limit: int) -> tuple[_Blob, int]:
@@ -197,9 +204,8 @@ def _inside(data, limit: int) -> Iterator[_Blob]:
         yield from _rewritten(data, _PERCENT_BYTES, _percent_bytes, limit)
     if _holds(data, b"\\", b"&#"):
         yield from _rewritten(data, _ESCAPE_BYTES, _escape_bytes, limit)
-    for m in _B64_BYTES.finditer(data):
-        if (blob := _unbased(data, *m.span(), limit)) is not None:
-            yield blob
+    for m in _B64_LINES_BYTES.finditer(data):
+        yield from _unbased(data, *m.span(), limit)
     at = 0 if _holds(data, *_MAGIC) else len(data)
     while m := _MEMBER.search(data, at):
         blob, at = _inflated(data, m.start(), limit)
@@ -207,11 +213,9 @@ def _inside(data, limit: int) -> Iterator[_Blob]:
 
 
 def _closure(word: bytes, limit: int) -> tuple[set[str], int]:
-    """(kinds found in any layer inside a base64 word, layers beyond the limit). Depth first: only a chain of layers exists at a time."""
+    """(kinds found in any layer inside a base64 run, layers beyond the limit). Depth first: only a chain of layers exists at a time."""
     found, large, seen = set(), 0, set()
-    first = _unbased(word, 0, len(word), limit)
-    stack = [iter([] if first is None else [first])]
-    del first
+    stack = [_unbased(word, 0, len(word), limit)]
     while stack:
         blob = next(stack[-1], None)
         if blob is None:
@@ -284,6 +288,14 @@ def unwrap(layer: _Layer) -> Iterator[_Layer | None]:
         yield _replaced(layer, _ESCAPE, _escape)
 
 
+def _runs(text: str) -> Iterator[re.Match]:
+    """The base64 runs of a text: those over several lines, and each line's own."""
+    for m in _B64_LINES.finditer(text):
+        if "\n" in m[0]:
+            yield from _B64.finditer(text, *m.span())
+        yield m
+
+
 def find(text: str | None, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
     """(base spans, spans found in decoded layers, decoded layers beyond the limit)."""
     if not text:
@@ -300,7 +312,7 @@ def find(text: str | None, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[str
                 base.append((kind, a, b))
             else:
                 extra.add((f"decoded_{kind}", *layer.origin(a, b)))
-        for m in _B64.finditer(layer.text):
+        for m in _runs(layer.text):
             if (place := (m[0], *layer.origin(*m.span()))) in words:
                 continue
             words.add(place)
