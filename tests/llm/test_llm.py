@@ -324,6 +324,17 @@ def test_decontam_is_brute_force(spark, corpus):
     assert decontam.contamination(frame(spark, ODD), empty).where("contaminated").count() == 0
 
 
+def test_decontam_counts_items_without_id(spark):
+    long = " ".join(f"w{i}" for i in range(15))
+    b = spark.createDataFrame([(None, long), (None, "only here"), (7, "seven words"), (None, "seven words"), (None, None)], "item_id long, text string")
+    rows = frame(spark, [(1, f"x {long}"), (2, "only here"), (3, "seven words"), (4, "clean")])
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    want = [(1, 16, 15, 0, sha(""), True), (2, 2, 2, 0, sha(""), True), (3, 2, 2, 1, sha("7"), True), (4, 1, 0, 0, sha(""), False)]
+    for cap in (4, 10**6):
+        assert rows_of(decontam.contamination(rows, b, max_patterns=cap)) == want
+        assert [r.doc_id for r in decontam.clean_only(rows, b, max_patterns=cap).collect()] == [4]
+
+
 # --- 6
 
 

@@ -6,11 +6,12 @@ far the end of the window may jump for each block; where it says 0, the suffix b
 patterns, the prefix (first word) rejects most, and direct comparison confirms.
 
 The tables go to the executors as broadcasts of at most max_patterns windows each. A larger benchmark is cut
-by item hash into several such shards; each shard scans the documents and the hits are united, so no benchmark
+by the hash of id and text into several such shards; each shard scans the documents and the hits are united, so no benchmark
 size needs more memory.
 
 Edge cases: null and empty texts have no words and are never contaminated; items without words are ignored;
-a null doc_id stays null; repeated rows are each judged; equal windows of several items name all of them.
+a null doc_id stays null; windows of items with a null item_id count in n_hit and contaminated, but not in
+n_items and items_sha256; repeated rows are each judged; equal windows of several items name all of them.
 """
 
 from __future__ import annotations
@@ -75,11 +76,13 @@ class WuManber:
 class Searcher:
     """All windows of a set of items, by length."""
 
-    def __init__(self, items: Iterable[tuple[str, str | None]], width: int = WIDTH):
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], width: int = WIDTH):
         owners: dict[tuple[bytes, ...], set[str]] = {}
         for item, text in items:
             for w in windows(text, width):
-                owners.setdefault(w, set()).add(item)
+                found = owners.setdefault(w, set())
+                if item is not None:
+                    found.add(item)
         by_length: dict[int, list[tuple[bytes, ...]]] = {}
         for w in sorted(owners):
             by_length.setdefault(len(w), []).append(w)
@@ -123,10 +126,11 @@ def _shards(benchmark: DataFrame, width: int, max_patterns: int) -> list[tuple[i
     return [(k, n) for k in range(n)]
 
 
-def _items(benchmark: DataFrame, shard: tuple[int, int]) -> list[tuple[str, str | None]]:
+def _items(benchmark: DataFrame, shard: tuple[int, int]) -> list[tuple[str | None, str | None]]:
     k, n = shard
-    items = pick(benchmark, "item_id", "text").where("item_id is not null")
-    return [(str(r[0]), r[1]) for r in (items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items).collect()]
+    items = pick(benchmark, "item_id", "text")
+    # the text too, since all null ids have one hash
+    return [(None if r[0] is None else str(r[0]), r[1]) for r in (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items).collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_patterns: int = MAX_PATTERNS) -> DataFrame:
