@@ -395,6 +395,20 @@ def test_cuckoo_filter():
     assert small.overflow and all(k in linededup.CuckooFilter.load(small.dump()) for k in keys[:50])
 
 
+def test_stored_filters_follow_insertions_and_deletions(spark):
+    lines = LINES + [(100 + i, f"a line of the later documents only, number {i % 9}") for i in range(40)]
+    early = linededup.counts(linededup.references(frame(spark, LINES[:10]))).cache()
+    late = linededup.counts(linededup.references(frame(spark, lines))).cache()
+    keys = {n: {bytes(r.key) for r in c.collect()} for n, c in (("early", early), ("late", late))}
+    n = len(keys["early"])
+    held = lambda sieves: {k for k in keys["late"] | keys["early"] for r in sieves if r.shard == linededup.shard_of(k, max(1, -(-n // 1))) and k in linededup.CuckooFilter.load(bytes(r.filter))}
+    stored = linededup.filters(early, n, 1)
+    more = linededup.updated(stored, early, late, n, 1)
+    back = linededup.updated(more, late, early, n, 1)
+    assert keys["early"] < keys["late"] and held(more.collect()) == keys["late"]
+    assert held(back.collect()) == held(stored.collect()) == keys["early"]
+
+
 # --- 7
 
 

@@ -3,7 +3,8 @@
 A reference table holds (key, doc_id): which documents hold a line. Its counts say how often a line occurs; the
 documents that hold it say who keeps it. Inserting documents adds references; deleting documents takes exactly
 theirs away, so a later result is as if they had never been there. A cuckoo filter for each shard of the keys holds
-the fingerprints of the repeated lines and supports insertion and deletion. Documents probe the filters first, and
+the fingerprints of the repeated lines; updated() applies what an insertion or deletion of documents changes to stored
+filters, while dedup_lines() and without_repeated_lines() build theirs. Documents probe the filters first, and
 only lines that pass are looked up in the exact table, which also removes the filters' false positives.
 
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased. Keys of at least 20 code points
@@ -164,6 +165,22 @@ def filters(repeated: DataFrame, n_keys: int, shard_keys: int = SHARD_KEYS) -> D
     return repeated.select("key", _shard_column(shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard long, filter binary")
 
 
+def updated(sieves: DataFrame, before: DataFrame, after: DataFrame, n_keys: int, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """Stored filters brought from the counts before an insertion or deletion to those after: only keys that crossed the
+    threshold are taken out or put in. n_keys and shard_keys are those the filters were built with."""
+    shards = max(1, -(-n_keys // shard_keys))
+    both = before.select("key", F.lit(-1).alias("change")).union(after.select("key", F.lit(1)))
+    changes = both.groupBy("key").agg(F.sum("change").alias("change")).where("change <> 0").select("key", "change", _shard_column(shards).alias("shard"))
+
+    def apply(key, stored, changed):
+        f = CuckooFilter.load(bytes(stored["filter"].iloc[0])) if len(stored) else CuckooFilter(len(changed))
+        for k, change in sorted(zip(map(bytes, changed["key"]), changed["change"]), key=lambda x: x[1]):
+            f.delete(k) if change < 0 else f.insert(k)
+        return type(changed)({"shard": [int(key[0])], "filter": [f.dump()]})
+
+    return sieves.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(apply, "shard long, filter binary")
+
+
 def flagged(docs: DataFrame, sieves: DataFrame, n_keys: int, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """(key, doc_id) of the lines that pass the filters: probes on the executors, never a shuffle of texts."""
     shards = max(1, -(-n_keys // shard_keys))
