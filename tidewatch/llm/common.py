@@ -7,8 +7,10 @@ import gc
 import os
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
+def positional(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """(df with its columns named by position, the new names of the named columns, a function that takes a frame back to
+    df's columns and names). Whatever df's columns are called, none of them clashes with a stage's own."""
+    inner = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    lowered = [c.lower() for c in df.columns]
+    at = [df.columns.index(n) if n in df.columns else lowered.index(n.lower()) for n in names]
+    return inner, [f"_c{i}" for i in at], lambda out: out.select(*inner.columns).toDF(*df.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -109,6 +120,65 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[..., Iterable[tuple]]],
     return df.mapInArrow(run, ddl)
 
 
+#: A key that holds 1/HOT_KEYS of all rows or more is hot: there are at most HOT_KEYS of them, which bounds their broadcast.
+HOT_KEYS, SALTS = 1000, 64
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, by: str) -> DataFrame:
+    """rows joined to facts, which has one row for each key and, as weight, the number of rows that hold it. Rows of hot
+    keys are dealt over SALTS partitions by the column by, and their facts are repeated there. facts is read twice: a written table."""
+    total = facts.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = facts.where(F.col(weight) * HOT_KEYS >= total).select(key, F.lit(True).alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by, F.lit(11)), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    copies = F.when(F.col(weight) * HOT_KEYS >= total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(facts.withColumn("_salt", F.explode(copies)), [key, "_salt"]).drop("_salt")
+
+
+#: An id filter has 10 bits for each id, up to this many bytes in all.
+FILTER_BYTES = 16 << 20
+
+
+def _bit(ids: np.ndarray, size: int) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) & np.uint64(size - 1)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame):
+    """A bit filter of a column of ids as a broadcast of bounded size, None beyond the bound: it spares other rows a shuffle, joins then select exactly."""
+    size = 1 << max(10, (10 * max(1, ids.count()) - 1).bit_length())
+    if size // 8 > FILTER_BYTES:
+        return None
+    bits = np.zeros(size // 8, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size // 8, np.uint8)
+        for b in batches:
+            at = _bit(b.column(0).to_numpy(zero_copy_only=False), size)
+            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    for r in ids.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def may_hold(bits: np.ndarray, ids: pa.Array) -> pa.Array:
+    """Null ids are in no filter."""
+    at = _bit(ids.fill_null(0).to_numpy(zero_copy_only=False), 8 * len(bits))
+    hit = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+    return pa.array(hit & ids.is_valid().to_numpy(zero_copy_only=False))
+
+
+def held_by(sent) -> Callable:
+    """An Arrow UDF on a column of ids: may the filter hold it?"""
+
+    @F.arrow_udf("boolean")
+    def held(ids: pa.Array) -> pa.Array:
+        return may_hold(sent.value, ids)
+
+    return held
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
