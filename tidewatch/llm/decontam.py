@@ -9,9 +9,12 @@ The tables go to the executors as broadcasts of at most max_patterns windows eac
 by the hash of id and text into several such shards; each shard scans the documents and the hits are united, so no benchmark
 size needs more memory.
 
-Edge cases: null and empty texts have no words and are never contaminated; items without words are ignored;
-a null doc_id stays null; windows of items with a null item_id count in n_hit and contaminated, but not in
-n_items and items_sha256; repeated rows are each judged; equal windows of several items name all of them.
+Edge cases: null and empty texts have no words and are never contaminated; texts of any length are searched whole, in
+memory linear in their words; items without words are ignored; a null doc_id stays null; windows of items with a null
+item_id count in n_hit and contaminated, but not in n_items and items_sha256; rows that repeat an item_id
+are one item with all their windows; repeated documents are each judged; equal windows of several items name all of
+them; with an empty benchmark nothing is hit, with no documents there are no rows; other columns, also ones whose names
+differ from doc_id or text in case only, play no part and stay as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, small_batches, utf8, written
+from .common import map_rows, pick, positional, small_batches, utf8, written
 
 WIDTH = 13
 MAX_PATTERNS = 200_000
@@ -191,15 +194,16 @@ def _united(numbered: DataFrame, benchmark: DataFrame, shards: list, width: int)
 def clean_only(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
     shards = _shards(benchmark, width, max_patterns)
+    inner, (doc_id, text), back = positional(docs, "doc_id", "text")
     if len(shards) == 1:
-        return _flagged(docs, docs.sparkSession.sparkContext.broadcast(_items(benchmark, shards[0])), width)
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam")
-    verdicts = _united(numbered.select("doc_id", "text", F.col("_row").alias("row")), benchmark, shards, width)
-    bad = verdicts.where("contaminated").select(F.col("row").alias("_row"))
-    return numbered.join(bad, "_row", "left_anti").select(*docs.columns)
+        small_batches(docs.sparkSession)
+        return back(inner.where(~_bad_udf(docs.sparkSession.sparkContext.broadcast(_items(benchmark, shards[0])), width)(F.coalesce(text, F.lit("")))))
+    numbered = written(inner.withColumn("row", F.monotonically_increasing_id()), "decontam")
+    verdicts = _united(numbered.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "row"), benchmark, shards, width)
+    return back(numbered.join(verdicts.where("contaminated").select("row"), "row", "left_anti"))
 
 
-def _flagged(docs: DataFrame, sent, width: int) -> DataFrame:
+def _bad_udf(sent, width: int):
     state: dict[str, Searcher] = {}
 
     @F.pandas_udf("boolean")
@@ -212,5 +216,4 @@ def _flagged(docs: DataFrame, sent, width: int) -> DataFrame:
             out.append(_verdict(None, len(w), *state["s"].search(w))[-1])
         return type(texts)(out, dtype=bool)
 
-    small_batches(docs.sparkSession)
-    return docs.where(~bad(F.coalesce(docs["text"], F.lit(""))))
+    return bad
