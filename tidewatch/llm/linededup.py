@@ -1,32 +1,40 @@
 """Reversible line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
-A reference table holds (key, doc_id): which documents hold a line. Its counts say how often a line occurs; the
-documents that hold it say who keeps it. Inserting documents adds references; deleting documents takes exactly
-theirs away, so a later result is as if they had never been there. A cuckoo filter for each shard of the keys holds
-the fingerprints of the repeated lines; updated() applies what an insertion or deletion of documents changes to stored
-filters, while dedup_lines() and without_repeated_lines() build theirs. Documents probe the filters first, and
-only lines that pass are looked up in the exact table, which also removes the filters' false positives.
+A LineIndex is the stored state. Its reference table holds (key, doc_id): which documents hold a line. Its counts say how
+many do and which of them keeps the line; a cuckoo filter for each shard of the keys holds the fingerprints of the
+lines that enough documents hold. insert_documents() adds references, delete_documents() takes exactly those of the
+named documents away; both count only the keys they touch anew and put into or take out of the stored filters
+only keys that crossed the threshold, so a later result is as if deleted documents had never been there. dedup_lines() and
+without_repeated_lines() insert their documents into an empty index. Documents probe the filters first, and only
+lines that pass are looked up in the exact counts, which also removes the filters' false positives.
 
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased. Keys of at least 20 code points
 that at least 3 documents hold lose all their lines but those of the largest doc_id that holds them.
 
-Edge cases: null and empty texts are one empty line; a null doc_id holds no references and loses no line; rows that
-repeat a doc_id are one document when holders are counted; several lines of the keeper stay.
+Plans that depend on sizes, with the same rows either way: filters of up to BROADCAST_BYTES are broadcast, larger ones are
+met by shard; where the ids of documents that lose lines fit into a bit filter (common.FILTER_BYTES), only these documents
+are shuffled to meet their lost keys, else all. Lines that very many documents hold are dealt over several tasks.
+
+Edge cases: null and empty texts are one empty line; a text of any length is taken whole, by one task; a null doc_id
+holds no references and loses no line; rows that repeat a doc_id are one document when holders are counted; several lines
+of the keeper stay; among holders the largest doc_id keeps a line, so there are no ties; an empty table gives no rows; other
+columns, also ones whose names differ from doc_id or text in case only, play no part and stay as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, small_batches, utf8, written
+from .common import held_by, id_filter, map_rows, pick, positional, small_batches, spread_join, utf8, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Keys that one filter shard is made for.
+#: Keys that one filter shard is made for: an index with more keys a shard gets more shards.
 SHARD_KEYS = 50_000
 #: Filters up to this size in all are broadcast; larger ones are joined by shard.
 BROADCAST_BYTES = 32 << 20
@@ -136,57 +144,81 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return map_rows(pick(docs, "doc_id", "text"), start, "key binary, doc_id long")
 
 
-def insert(table: DataFrame, docs: DataFrame) -> DataFrame:
-    """The reference table with the references of docs."""
-    return table.union(references(docs)).distinct()
-
-
-def delete(table: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """The reference table without the documents named in doc_ids."""
-    return table.join(pick(doc_ids, "doc_id"), "doc_id", "left_anti").select("key", "doc_id")
-
-
 def counts(table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, keeper, n_docs) of the lines that at least min_docs documents hold; counted before the shuffle too."""
-    # distinct by (key, doc_id) spreads a hot key over all partitions before its counts meet
-    return table.distinct().groupBy("key").agg(F.max("doc_id").alias("keeper"), F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-
+    return table.groupBy("key").agg(F.max("doc_id").alias("keeper"), F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
-def filters(repeated: DataFrame, n_keys: int, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """(shard, filter): one cuckoo filter for each shard of the keys."""
-    shards = max(1, -(-n_keys // shard_keys))
 
-    def build(pdf):
-        f = CuckooFilter(len(pdf))
-        for key in pdf["key"]:
-            f.insert(bytes(key))
-        return type(pdf)({"shard": [int(pdf["shard"].iloc[0])], "filter": [f.dump()]})
-
-    return repeated.select("key", _shard_column(shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard long, filter binary")
-
-
-def updated(sieves: DataFrame, before: DataFrame, after: DataFrame, n_keys: int, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """Stored filters brought from the counts before an insertion or deletion to those after: only keys that crossed the
-    threshold are taken out or put in. n_keys and shard_keys are those the filters were built with."""
-    shards = max(1, -(-n_keys // shard_keys))
+def updated(sieves: DataFrame, before: DataFrame, after: DataFrame, shards: int) -> DataFrame:
+    """(shard, filter): stored filters brought from the keys of before to those of after. Only keys that crossed the threshold are taken out or put in."""
     both = before.select("key", F.lit(-1).alias("change")).union(after.select("key", F.lit(1)))
     changes = both.groupBy("key").agg(F.sum("change").alias("change")).where("change <> 0").select("key", "change", _shard_column(shards).alias("shard"))
+    capacity = SHARD_KEYS
 
     def apply(key, stored, changed):
-        f = CuckooFilter.load(bytes(stored["filter"].iloc[0])) if len(stored) else CuckooFilter(len(changed))
+        f = CuckooFilter.load(bytes(stored["filter"].iloc[0])) if len(stored) else CuckooFilter(capacity)
         for k, change in sorted(zip(map(bytes, changed["key"]), changed["change"]), key=lambda x: x[1]):
             f.delete(k) if change < 0 else f.insert(k)
         return type(changed)({"shard": [int(key[0])], "filter": [f.dump()]})
 
-    return sieves.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(apply, "shard long, filter binary")
+    return sieves.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(apply, SIEVES)
+
+
+REFERENCES, COUNTS, SIEVES = "key binary, doc_id long", "key binary, keeper long, n_docs long", "shard long, filter binary"
+
 
+@dataclass(frozen=True)
+class LineIndex:
+    """Stored tables: references (key, doc_id), each once; repeated (key, keeper, n_docs); sieves (shard, filter)."""
 
-def flagged(docs: DataFrame, sieves: DataFrame, n_keys: int, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    references: DataFrame
+    repeated: DataFrame
+    sieves: DataFrame
+    shards: int
+    min_docs: int
+
+
+def empty_index(spark: SparkSession, min_docs: int = MIN_DOCS) -> LineIndex:
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    return LineIndex(none(REFERENCES), none(COUNTS), none(SIEVES), 0, min_docs)
+
+
+def insert_documents(index: LineIndex, docs: DataFrame) -> LineIndex:
+    """The index with the lines of docs; documents that it holds already gain the lines they did not have."""
+    fresh = references(docs).distinct()
+    if index.shards:
+        fresh = fresh.join(index.references, ["key", "doc_id"], "left_anti")
+    fresh = written(fresh, "references")
+    return _moved(index, index.references.union(fresh) if index.shards else fresh, fresh)
+
+
+def delete_documents(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
+    """The index without the documents named in doc_ids."""
+    named = pick(doc_ids, "doc_id").distinct()
+    gone = written(index.references.join(named, "doc_id", "left_semi").select("key", "doc_id"), "deleted")
+    return _moved(index, written(index.references.join(named, "doc_id", "left_anti").select("key", "doc_id"), "references"), gone)
+
+
+def _moved(index: LineIndex, table: DataFrame, touched: DataFrame) -> LineIndex:
+    """index with a new reference table, whose keys in touched are counted anew."""
+    if index.shards:
+        keys = touched.select("key").distinct()
+        now = index.repeated.join(keys, "key", "left_anti").select("key", "keeper", "n_docs").union(counts(table.join(keys, "key", "left_semi"), index.min_docs))
+    else:
+        now = counts(table, index.min_docs)
+    now = written(now, "linecounts")
+    shards = max(1, index.shards, -(-now.count() // SHARD_KEYS))
+    # with more shards every key has another home: all filters are made again
+    same = shards == index.shards
+    old = empty_index(table.sparkSession) if not same else index
+    return LineIndex(table, now, written(updated(old.sieves, old.repeated, now, shards), "sieves"), shards, index.min_docs)
+
+
+def flagged(docs: DataFrame, index: LineIndex) -> DataFrame:
     """(key, doc_id) of the lines that pass the filters: probes on the executors, never a shuffle of texts."""
-    shards = max(1, -(-n_keys // shard_keys))
-    held = references(docs)
-    if n_keys * 6 <= BROADCAST_BYTES:
-        sent = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in sieves.collect()})
+    shards = index.shards
+    if shards * len(CuckooFilter(SHARD_KEYS).dump()) <= BROADCAST_BYTES:
+        sent = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in index.sieves.collect()})
 
         def start():
             loaded = {k: CuckooFilter.load(v) for k, v in sent.value.items()}
@@ -199,7 +231,7 @@ def flagged(docs: DataFrame, sieves: DataFrame, n_keys: int, shard_keys: int = S
 
             return row
 
-        return map_rows(pick(docs, "doc_id", "text"), start, "key binary, doc_id long")
+        return map_rows(pick(docs, "doc_id", "text"), start, REFERENCES)
 
     # too large to send: the lines travel to the shards instead
     def probe(key, pdf_lines, pdf_filter):
@@ -208,21 +240,28 @@ def flagged(docs: DataFrame, sieves: DataFrame, n_keys: int, shard_keys: int = S
         s = CuckooFilter.load(bytes(pdf_filter["filter"].iloc[0]))
         return pdf_lines[[bytes(k) in s for k in pdf_lines["key"]]][["key", "doc_id"]]
 
-    salted = held.withColumn("shard", _shard_column(shards)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
-    spread = sieves.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    return salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(probe, "key binary, doc_id long")
+    salted = references(docs).withColumn("shard", _shard_column(shards)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    spread = index.sieves.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    return salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(probe, REFERENCES)
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
     """(doc_id, keys): the keys whose lines each document loses."""
-    repeated = written(counts(references(docs), min_docs), "linecounts")
-    n_keys = repeated.count()
-    sieves = written(filters(repeated, n_keys), "sieves")
-    passed = flagged(docs, sieves, n_keys)
-    lost = passed.join(repeated.select("key", "keeper"), "key").where("doc_id <> keeper").select("doc_id", "key")
+    lost = spread_join(flagged(docs, index), index.repeated, "key", "n_docs", "doc_id").where("doc_id <> keeper").select("doc_id", "key")
     return written(lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "lostlines")
 
 
+def _with_lost(docs: DataFrame, doc_id: str, lost: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents that may lose lines, with their keys as lost_keys; the others)."""
+    sent = id_filter(lost.select("doc_id"))
+    if sent is None:
+        some, others = docs.where(F.col(doc_id).isNotNull()), docs.where(F.col(doc_id).isNull())
+    else:
+        some, others = docs.where(held_by(sent)(doc_id)), docs.where(~held_by(sent)(doc_id))
+    named = lost.select(F.col("doc_id").alias("lost_id"), F.col("keys").alias("lost_keys"))
+    return some.join(named.hint("shuffle_hash"), F.col(doc_id) == F.col("lost_id"), "left").drop("lost_id"), others
+
+
 def _kept(text: str | None, keys: list[bytes] | None) -> tuple[int, int, str]:
     lines = (text or "").split("\n")
     if not keys:
@@ -235,30 +274,35 @@ def _kept(text: str | None, keys: list[bytes] | None) -> tuple[int, int, str]:
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, kept_sha256."""
     docs = pick(docs, "doc_id", "text")
-    lost = dropped_lines(docs, min_docs)
+    lost = dropped_lines(docs, insert_documents(empty_index(docs.sparkSession, min_docs), docs))
+    some, others = _with_lost(docs, "doc_id", lost)
 
     def start():
-        def row(doc_id: int | None, text: str | None, keys: list[bytes] | None) -> Iterator[tuple]:
+        def row(doc_id: int | None, text: str | None, keys: list[bytes] | None = None) -> Iterator[tuple]:
             n, gone, kept = _kept(text, keys)
             yield doc_id, n, gone, hashlib.sha256(utf8(kept)).hexdigest()
 
         return row
 
-    both = docs.join(lost.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "keys")
-    return map_rows(both, start, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    result = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
+    return map_rows(some.select("doc_id", "text", "lost_keys"), start, result).union(map_rows(others, start, result))
 
 
 def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs, all columns, with the texts that are left; n_chars follows the text where there is such a column."""
-    lost = dropped_lines(docs, min_docs).select(F.col("doc_id").alias("_lost_id"), F.col("keys").alias("_lost_keys"))
+    lines = pick(docs, "doc_id", "text")
+    lost = dropped_lines(lines, insert_documents(empty_index(docs.sparkSession, min_docs), lines))
+    inner, (doc_id, text), back = positional(docs, "doc_id", "text")
 
     @F.pandas_udf("string")
     def kept(texts, keys):
         return type(texts)([t if k is None else _kept(t, list(k))[2] for t, k in zip(texts, keys, strict=True)], dtype=object)
 
     small_batches(docs.sparkSession)
-    out = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == lost["_lost_id"], "left")
-    text = F.when(F.col("_lost_keys").isNull(), docs["text"]).otherwise(kept(docs["text"], F.col("_lost_keys")))
-    made = [text.alias(c) if c == "text" else docs[c] for c in docs.columns]
-    out = out.select(*made)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    some, others = _with_lost(inner, doc_id, lost)
+    changed = F.when(F.col("lost_keys").isNull(), F.col(text)).otherwise(kept(text, "lost_keys"))
+    out = some.withColumn(text, changed).drop("lost_keys").union(others)
+    if "n_chars" in docs.columns:
+        n_chars = positional(docs, "n_chars")[1][0]
+        out = out.withColumn(n_chars, F.length(text).cast(inner.schema[n_chars].dataType))
+    return back(out)
