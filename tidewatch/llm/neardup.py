@@ -11,36 +11,41 @@ Equal sets form one class, and all later work is on classes.
 2. Every class is paired with the most central class of each of its lists: a star instead of all pairs.
 3. The union-sketch estimate drops pairs; full sets verify the rest.
 4. Lists of three or more whose members are still in different components are compared member by member
-   inside a task, in blocks of bounded size that are dealt by (value, block, block), so no task and no
-   shuffle ever holds a whole hot list and no list is expanded into pairs. A pair is compared only in the
-   first list that both are in. Sets that fit into the sketch are verified right there; a task returns at
-   most one edge for each of its members. Others go to step 3. Every pair that shares a list and is not
-   connected is compared: no link between components is lost.
+   inside a task, in blocks of bounded size that are dealt by (value, block, block), so no task
+   ever holds a whole hot list and no list is expanded into pairs. Only blocks whose set sizes are
+   near enough meet. A pair is compared only in the first list that both are in. Sets that fit into the
+   sketch are verified right there; a task returns at most one edge for each of its members. Others go to
+   step 3. Every pair that shares a list and is not connected is compared: no link between components is lost.
+   A list of M unlike members of like sizes costs M * M / BLOCK rows and M * M comparisons.
 5. Components: alternating large-star and small-star passes until nothing changes.
 
-Edge cases: null and empty texts have an empty set and no links; fewer than five words make one shingle;
-rows with a null doc_id take no part and are their own (component_id null, kept true); rows that repeat a
-doc_id count as one document, linked through any of its texts.
+Plans that depend on sizes, with the same rows either way: where the ids that a join selects fit into a bit
+filter (common.FILTER_BYTES), other rows are dropped before they are shuffled, else the join alone selects.
+
+Edge cases: null and empty texts have an empty set and no links; fewer than five words make one shingle; a
+text of any length is one set of all its shingles, held by one task; rows with a null doc_id take no part and are their
+own (component_id null, kept true); rows that repeat a doc_id count as one document, linked through any of its
+texts; an empty table gives no rows; other columns, also ones whose names differ from doc_id or text in case
+only, play no part and stay as they are.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, map_rows, pick, release, utf8, written
+from .common import SLICE_ROWS, id_filter, map_rows, may_hold, pick, positional, release, spread_join, utf8, written
 
 WORDS, SKETCH_K, LIST_K, NEED = 5, 256, 48, 16
 #: Under this estimate no pair of sketches of SKETCH_K values belongs to sets with similarity 0.75 (6 sigma).
 LEAST_ESTIMATE = 0.58
 #: Members of a block of a list, rows compared at once, and shingles of a block of full sets.
-BLOCK, STRIP, BLOCK_SHINGLES = 3072, 256, 2_000_000
+BLOCK, STRIP, BLOCK_SHINGLES = 1024, 256, 2_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,10 +104,10 @@ def _postings(classes: DataFrame) -> DataFrame:
         return row
 
     held = map_rows(classes.select("node", "n", "low"), start, "value long, node long, n long, i int")
-    shared = held.groupBy("value").agg(F.count("*").alias("freq")).where("freq > 1")
+    shared = written(held.groupBy("value").agg(F.count("*").alias("freq")).where("freq > 1"), "values")
     size = F.least(F.col("n"), F.lit(LIST_K))
     need = F.when(F.col("n") <= LIST_K * 3 // 4, F.ceil(F.col("n") * 3 / 4)).otherwise(F.lit(NEED))
-    mine = held.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "value", "i"))).alias("vs"))
+    mine = spread_join(held, shared, "value", "freq", "node").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "value", "i"))).alias("vs"))
     # values that no other class holds come first in the order of rarity and make no list
     left = F.greatest(F.lit(0), size - need + 1 - (size - F.size("vs")))
     chosen = mine.select("node", "n", F.size("vs").alias("central"), F.slice("vs", F.lit(1), left.cast("int")).alias("vs"))
@@ -110,53 +115,20 @@ def _postings(classes: DataFrame) -> DataFrame:
     return chosen.withColumn("entered", entered).select("node", "n", "central", "entered", F.explode("vs").alias("v")).select(F.col("v.value").alias("value"), "node", "n", "central", "entered")
 
 
-#: Bits of the node filter: 10 for each node, up to this many bytes; beyond it, the join alone selects.
-FILTER_BYTES = 16 << 20
-
-
-def _bits_of(nodes: DataFrame):
-    """A bit filter of the node ids as a broadcast of bounded size, None beyond the bound: it spares other rows a shuffle, joins then select exactly."""
-    size = 1 << max(10, (10 * max(1, nodes.count()) - 1).bit_length())
-    if size // 8 > FILTER_BYTES:
-        return None
-    bits = np.zeros(size // 8, np.uint8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(size // 8, np.uint8)
-        for b in batches:
-            at = _bit(b.column(0).to_numpy(zero_copy_only=False), size)
-            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["bits"])
-
-    for r in nodes.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
-    return nodes.sparkSession.sparkContext.broadcast(bits)
-
-
-def _may_hold(bits: np.ndarray, ids: pa.Array) -> pa.Array:
-    at = _bit(ids.fill_null(0).to_numpy(zero_copy_only=False), 8 * len(bits))
-    return pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
-
-
 def _sketches_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, n, sketch) of the named nodes."""
-    picked, sent = rows.select("doc_id", "n", "set_key", "sketch"), _bits_of(nodes)
+    picked, sent = rows.select("doc_id", "n", "set_key", "sketch"), id_filter(nodes)
     if sent is not None:
 
         def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(_may_hold(sent.value, b.column(0)))
+                yield b.filter(may_hold(sent.value, b.column(0)))
 
         picked = picked.mapInArrow(sift, "doc_id long, n long, set_key binary, sketch binary")
     wanted = nodes.join(classes.select("node", "set_key"), "node")
     return picked.select(F.col("doc_id").alias("node"), "n", "set_key", "sketch").join(wanted, ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"]).select("node", "n", "sketch")
 
 
-def _bit(ids: np.ndarray, size: int) -> np.ndarray:
-    x = ids.astype(np.int64).view(np.uint64) * _P
-    return ((x ^ (x >> np.uint64(29))) & np.uint64(size - 1)).astype(np.int64)
-
-
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     if 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
         return False
@@ -201,14 +173,14 @@ def _by_full_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = written(pairs.distinct(), "unsure")
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "unsurenodes")
 
-    sent = _bits_of(nodes)
+    sent = id_filter(nodes)
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("s", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordHash()
         for batch in batches:
             if sent is not None:
-                batch = batch.filter(_may_hold(sent.value, batch.column(0)))
+                batch = batch.filter(may_hold(sent.value, batch.column(0)))
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 ids, texts = (c.to_pylist() for c in batch.slice(lo, SLICE_ROWS).columns)
                 made = [shingle_set(t, words) for t in texts]
@@ -333,16 +305,27 @@ def compare_block(value: int, side: np.ndarray, node: np.ndarray, comp: np.ndarr
     return out
 
 
+def _band():
+    """Sets of similarity 0.75 have sizes of the same or of neighbouring bands."""
+    return F.floor(F.ln("n") / F.ln(F.lit(4 / 3)) + 1e-9)
+
+
 def _residual(lists: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
     """Compare, inside tasks, the members of each list that are still in different components. Lists of two were compared as stars."""
-    marked = lists.select("value", "node", "entered").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_lists = marked.groupBy("value").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and size > 2")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+    marked = lists.select("value", "node", "entered", _band().alias("band")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    bands = marked.groupBy("value", "band").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    open_lists = bands.groupBy("value").agg(F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("band", "size")).alias("bands")).where("lo < hi and size > 2")
+    # a list that fits into one block is one; others have blocks for each band of sizes
+    blocks = F.map_from_entries(F.transform("bands", lambda x: F.struct(x["band"], F.ceil(x["size"] / BLOCK))))
+    open_lists = written(open_lists.select("value", "size", F.when(F.col("size") > BLOCK, blocks).alias("blocks")), "openlists")
+    chunks = lambda band: F.coalesce(F.try_element_at("blocks", band), F.lit(0).cast("long"))
+    block = lambda band, k: band * (1 << 32) + k
+    own = F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(block(F.col("band"), F.pmod(F.xxhash64("node", F.lit(5)), chunks(F.col("band")))))
+    met = lambda band: F.when(chunks(band) > 0, F.transform(F.sequence(F.lit(0).cast("long"), chunks(band) - 1), lambda k: block(band, k))).otherwise(F.array().cast("array<long>"))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.concat(*[met(F.col("band") + d) for d in (-1, 0, 1)]))
     dealt = (
-        marked.join(open_lists.select("value", blocks.alias("blocks")), "value")
-        .withColumn("own", own)
-        .select("value", "node", "comp", "entered", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        spread_join(marked, open_lists, "value", "size", "node")
+        .select("value", "node", "comp", "entered", own.alias("own"), F.explode(others).alias("other"))
         .select("value", "node", "comp", "entered", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
         .join(known.select("node", "n", "sketch"), "node")
     )
@@ -400,9 +383,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(named.select("set_key", "doc_id", "n", low).groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("low").alias("low")), "classes")
     lists = written(_postings(classes), "lists")
     known = written(_sketches_of(rows, classes, lists.select("node").distinct()), "known")
-    centre = lists.groupBy("value").agg(F.max(F.struct("central", "node", "n")).alias("c"))
+    centre = written(lists.groupBy("value").agg(F.max(F.struct("central", "node", "n")).alias("c"), F.count("*").alias("size")), "centres")
     stars = (
-        lists.join(centre, "value").where("node <> c.node and 4 * least(n, c.n) >= 3 * greatest(n, c.n)")
+        spread_join(lists, centre, "value", "size", "node").where("node <> c.node and 4 * least(n, c.n) >= 3 * greatest(n, c.n)")
         .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
     )
     edges = written(_verified(stars, known, docs), "edges")
@@ -424,7 +407,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs, all columns: of each group of near duplicates the document with the smallest doc_id; rows that repeat a kept doc_id with the same text are one."""
-    found = near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(written(found, "gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
-    return kept
+    """docs, all columns: of each group of near duplicates the document with the smallest doc_id. Rows that repeat a kept doc_id with the same text
+    are one: that whose columns, as JSON, come first. Rows without a doc_id stay."""
+    inner, (doc_id, text), back = positional(docs, "doc_id", "text")
+    found = near_duplicates(docs)
+    gone = written(found.where("doc_id is not null and not kept").select("doc_id").distinct(), "gone")
+    kept = inner.join(gone, inner[doc_id] == gone["doc_id"], "left_anti")
+    often = written(inner.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("doc_id")), "repeated")
+    if often.isEmpty():
+        return back(kept)
+    first = Window.partitionBy(doc_id, text).orderBy(F.to_json(F.struct(*inner.columns)))
+    some = kept.join(often, kept[doc_id] == often["doc_id"], "left_semi").withColumn("turn", F.row_number().over(first)).where("turn = 1")
+    return back(kept.join(often, kept[doc_id] == often["doc_id"], "left_anti").unionByName(some.select(*inner.columns)))
