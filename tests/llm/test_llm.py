@@ -15,7 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewatch.llm import bpe, decontam, linededup, neardup, pii, quality, queries, secrets, tokencount, topk, warc
+from tidewatch.llm import bpe, common, decontam, linededup, neardup, pii, quality, queries, secrets, tokencount, topk, warc
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -197,6 +197,55 @@ def test_quality_marginals_by_enumeration():
     assert np.allclose(crf.marginals(s), want)
 
 
+def test_quality_gradient_and_segments(monkeypatch):
+    """The gradient is that of the likelihood; chains cut for training lose no line."""
+    rng = np.random.default_rng(3)
+    docs = [(rng.normal(size=(n, quality.N_MEASURES)), y) for n, y in ((1, 0), (5, 1), (3, 0), (9, 1))]
+    crf = quality.LineCRF(quality._cuts([x for x, _ in docs]), np.zeros(1), np.zeros((2, 2)))
+    monkeypatch.setattr(quality, "SEGMENT", 4)
+    monkeypatch.setattr(quality, "CHUNK_LINES", 8)
+    chunks = quality._chunks(crf, docs)
+    assert len(chunks) > 1 and sum(len(c.ids) for c in chunks) == sum(len(x) for x, _ in docs)
+    n = 3 * quality.N_MEASURES * (quality._BINS + 1)
+    params = rng.normal(size=n + 4) / 5
+    said = lambda p: sum(c.gradient(p[:n], p[n:].reshape(2, 2))[0] for c in chunks)
+    grad = sum(c.gradient(params[:n], params[n:].reshape(2, 2))[1] for c in chunks)
+    for i in [*np.flatnonzero(grad)[:12], n, n + 1, n + 2, n + 3]:
+        step = np.zeros_like(params)
+        step[i] = 1e-5
+        assert abs((said(params + step) - said(params - step)) / 2e-5 - grad[i]) < 1e-4
+
+
+def test_quality_long_documents_train(spark):
+    """Labelled documents of many lines are in the sample, whole; the sample's bounds count documents and lines."""
+    long = "\n".join(["good words in a line here"] * 900)
+    rows = [(i, long if i % 2 else "!!! 000 $$$\n" * 700) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    crf = quality.fit(frame(spark, rows), labels)
+    assert crf.score(long) > 0.9 and crf.score("!!! 000 $$$\n" * 700) < 0.1
+    assert quality.fit(frame(spark, rows), labels, max_lines=1).score("any") == 0.5
+    repeated = quality.fit(frame(spark, rows + rows[:5]), labels)
+    assert repeated.score(long) == crf.score(long)
+
+
+def test_quality_score_is_plain_forward_backward(spark, corpus):
+    """Scores of a trained model against sums over label paths in logarithms."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    crf = quality.fit(frame(spark, corpus), labels)
+    got = {r.doc_id: r.score for r in quality.score(frame(spark, corpus), crf).collect()}
+    for d, t in corpus[:60]:
+        x, lengths = quality.measures(t)
+        s, n, weigh = crf.emissions(crf.bins(x)), len(x), np.logaddexp.reduce
+        alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
+        alpha[0] = (0, s[0])
+        for i in range(1, n):
+            alpha[i] = [weigh(alpha[i - 1] + crf.trans[:, y]) + y * s[i] for y in (0, 1)]
+        for i in range(n - 2, -1, -1):
+            beta[i] = [weigh(crf.trans[y] + np.array([0, s[i + 1]]) + beta[i + 1]) for y in (0, 1)]
+        p = np.exp((alpha + beta)[:, 1] - weigh(alpha + beta, axis=1))
+        assert abs(np.average(p, weights=lengths) - got[d]) < 1e-6
+
+
 def test_quality_odd(spark):
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (None, 0), (6, None)], "doc_id long, quality int")
     docs = frame(spark, ODD)
@@ -268,12 +317,15 @@ def test_neardup_is_brute_force(spark, corpus):
     assert neardup.near_duplicates(frame(spark, ODD[:0])).count() == 0
 
 
-def test_neardup_blocks(spark, monkeypatch):
-    """Many small blocks give the same components."""
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+@pytest.mark.parametrize("changed", [{"BLOCK": 4}, {"BLOCK_SHINGLES": 300}, {"FILTER_BYTES": 0, "HOT_KEYS": 5}])
+def test_neardup_blocks(spark, monkeypatch, changed):
+    """Many small blocks, joins without filters and spread hot lists give the same components."""
+    for name, value in changed.items():
+        monkeypatch.setattr(common if hasattr(common, name) else neardup, name, value)
     rows = planted(9)
     got = neardup.near_duplicates(frame(spark, rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_neardup(rows)
+    assert len({r[1] for r in brute_neardup(rows)}) > 5 or "BLOCK" not in changed
 
 
 def test_components(spark):
@@ -364,19 +416,38 @@ def test_lines_are_brute_force(spark, corpus, monkeypatch):
         assert left.columns == docs.columns
         assert sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in left.collect()) == sorted(r[3] for r in brute_lines(rows))
     monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(linededup, "filters", lambda r, n, shard_keys=7, f=linededup.filters: f(r, n, 7))
-    monkeypatch.setattr(linededup, "flagged", lambda d, s, n, shard_keys=7, f=linededup.flagged: f(d, s, n, 7))
-    assert rows_of(linededup.dedup_lines(frame(spark, LINES + corpus))) == brute_lines(LINES + corpus)
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 7)
+    monkeypatch.setattr(common, "FILTER_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    assert rows_of(linededup.dedup_lines(frame(spark, LINES + ODD + corpus))) == brute_lines(LINES + ODD + corpus)
     assert linededup.dedup_lines(frame(spark, ODD[:0])).count() == 0
 
 
-def test_lines_are_reversible(spark):
-    first, second = frame(spark, LINES[:10]), frame(spark, LINES[10:])
-    table = linededup.references(first)
-    both = linededup.insert(table, second)
-    assert rows_of(linededup.counts(both)) == rows_of(linededup.counts(linededup.references(frame(spark, LINES))))
-    back = linededup.delete(both, second.select("doc_id"))
-    assert rows_of(back) == rows_of(table) and rows_of(linededup.counts(back)) == rows_of(linededup.counts(table))
+def held_keys(index):
+    """All state of an index: references, counts, and the keys that its filters hold."""
+    keys = {bytes(r.key) for r in index.references.select("key").distinct().collect()}
+    sieves = {r.shard: linededup.CuckooFilter.load(bytes(r.filter)) for r in index.sieves.collect()}
+    inside = {k for k in keys if (f := sieves.get(linededup.shard_of(k, index.shards))) is not None and k in f}
+    taken = sum(int((f.table != 0).sum()) + len(f.overflow) for f in sieves.values())
+    return rows_of(index.references), rows_of(index.repeated), inside, taken
+
+
+@pytest.mark.parametrize("shard_keys", [50_000, 1])
+def test_index_follows_insertions_and_deletions(spark, monkeypatch, shard_keys):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", shard_keys)
+    rows = LINES + [(100 + i, f"a line of the later documents only, number {i % 9}") for i in range(40)]
+    start = linededup.empty_index(spark)
+    once = held_keys(linededup.insert_documents(start, frame(spark, rows)))
+    first = linededup.insert_documents(start, frame(spark, rows[:30]))
+    both = linededup.insert_documents(first, frame(spark, rows[25:]))
+    assert held_keys(both) == once and once[2] >= {r[0] for r in once[1]} and once[3] == len(once[1])
+    back = linededup.delete_documents(both, frame(spark, rows[30:]))
+    assert held_keys(back) == held_keys(first)
+    again = linededup.insert_documents(back, frame(spark, rows[30:]))
+    assert held_keys(again) == once
+    assert linededup.delete_documents(again, frame(spark, rows)).references.count() == 0
+    lost = {r.doc_id: len(r["keys"]) for r in linededup.dropped_lines(frame(spark, rows), again).collect()}
+    assert lost == {r.doc_id: len(r["keys"]) for r in linededup.dropped_lines(frame(spark, rows), linededup.insert_documents(start, frame(spark, rows))).collect()}
 
 
 def test_cuckoo_filter():
@@ -395,20 +466,6 @@ def test_cuckoo_filter():
     assert small.overflow and all(k in linededup.CuckooFilter.load(small.dump()) for k in keys[:50])
 
 
-def test_stored_filters_follow_insertions_and_deletions(spark):
-    lines = LINES + [(100 + i, f"a line of the later documents only, number {i % 9}") for i in range(40)]
-    early = linededup.counts(linededup.references(frame(spark, LINES[:10]))).cache()
-    late = linededup.counts(linededup.references(frame(spark, lines))).cache()
-    keys = {n: {bytes(r.key) for r in c.collect()} for n, c in (("early", early), ("late", late))}
-    n = len(keys["early"])
-    held = lambda sieves: {k for k in keys["late"] | keys["early"] for r in sieves if r.shard == linededup.shard_of(k, max(1, -(-n // 1))) and k in linededup.CuckooFilter.load(bytes(r.filter))}
-    stored = linededup.filters(early, n, 1)
-    more = linededup.updated(stored, early, late, n, 1)
-    back = linededup.updated(more, late, early, n, 1)
-    assert keys["early"] < keys["late"] and held(more.collect()) == keys["late"]
-    assert held(back.collect()) == held(stored.collect()) == keys["early"]
-
-
 # --- 7
 
 
@@ -562,6 +619,34 @@ def test_pipeline_is_brute_force(spark):
     assert [n for n, _ in cp.STAGES][0] == "quality classifier" and len(cp.STAGES) == 5
 
 
+def test_stages_survive_clashing_names(spark):
+    """Columns that differ from the stages' own in case only, or are called as their intermediate ones."""
+    import corpus_pipeline as cp
+
+    line = "a line that four documents hold, twenty characters long"
+    rows = [(None, None), (None, "nobody\n" + line), (1, f"{line}\none two three four five six"), (2, line + "\nx"), (3, line), (4, line + "\nfour"), (5, "same words here again and again"), (6, "same words here again and again"), (6, "same words here again and again"), (7, None), (8, "")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, TEXT string, DOC_ID string, _row long, row long, _gone string, _lost_keys int, lost_keys int, _c0 int, `a b.c` int, value long, QUALITY int"
+    docs = spark.createDataFrame([(d, t, "en", None, 3, "T", "D", 70 + i, 80, "g", 5, 6, 7, 8, 9, 10) for i, (d, t) in enumerate(rows)], names)
+    want = {"MinHash near-dedup": [1, 2, 5, 7, 8, None, None], "line dedup": sorted([d for d, _ in rows], key=repr)}
+    for name, f in cp.STAGES[:-1]:
+        got = f(spark, docs, DATA)
+        assert got.columns == docs.columns
+        out = [tuple(r) for r in got.collect()]
+        assert {r[5:7] + r[8:] for r in out} <= {("T", "D", 80, "g", 5, 6, 7, 8, 9, 10)} and {r[7] for r in out} <= set(range(70, 81))
+        if name in want:
+            assert sorted([r[0] for r in out], key=repr) == sorted(want[name], key=repr)
+    many = spark.createDataFrame([(i, f"w{i} " * 20) for i in range(30)], "item_id long, text string")
+    kept = decontam.clean_only(docs, many, max_patterns=50)
+    assert kept.columns == docs.columns and sorted(r[7] for r in kept.collect()) == list(range(70, 81))
+    for op in (pii.pii_spans, secrets.secret_spans, neardup.near_duplicates, linededup.dedup_lines, bpe.round_trip, tokencount.token_counts):
+        assert sorted([r.doc_id for r in op(docs).collect()], key=repr) == sorted([d for d, _ in rows], key=repr)
+    assert decontam.contamination(docs, many, max_patterns=50).count() == decontam.contamination(docs, many).count() == len(rows)
+    pages = spark.createDataFrame([(1, "u", "h", "X", 2), (2, None, None, "Y", 3)], "page_id long, url string, html string, HTML string, PAGE_ID int")
+    assert sorted(r.page_id for r in warc.archived(pages).collect()) == [1, 2]
+    vectors = spark.createDataFrame([(i, [1.0 * i, 2.0], [0.0], "v") for i in range(4)], "vec_id long, embedding array<float>, EMBEDDING array<float>, Vec_Id string")
+    assert topk.top_products(vectors).count() == 3
+
+
 def test_stages_keep_columns(spark):
     import corpus_pipeline as cp
 
