@@ -8,9 +8,15 @@ the document. A base64 run is decoded at each of its four phases, line by line a
 single line breaks; its findings have the span of the run, so a secret in one of several lines may have
 two. Every member of a compressed layer is inflated to its end, or up to damage.
 
-Edge cases: null and empty texts have no spans; a null doc_id stays null; repeated rows are each
-scanned; decoded bytes are scanned whatever they are, readable or not. A decoded layer of more than
-max_layer_bytes is kept in a temporary file and scanned whole; n_oversize counts these.
+URL and Unicode escapes are undone level by level, and each level is scanned, up to DEPTH levels. Escapes nested
+deeper are all undone in one pass, so that a tower of escapes costs linear time. No pattern holds an
+escape's first character, so what a skipped level shows is still there, perhaps as part of more, in the last one.
+
+Edge cases: null and empty texts have no spans; a text of any length is scanned whole; a null doc_id stays null; equal
+rows are each scanned; findings of one place are ordered by kind; an empty table gives no rows; other columns, also
+ones whose names differ from doc_id or text in case only, play no part; decoded bytes are scanned whatever they
+are, readable or not. A decoded layer of more than max_layer_bytes is kept in a temporary file and scanned
+whole; n_oversize counts these.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ BASE_KINDS = ("assign", "access", "hex")
 _RANK = {k: i for i, k in enumerate((*BASE_KINDS, "decoded_assign", "decoded_access", "decoded_hex"))}
 #: Decoded layers beyond this are kept in a temporary file, so that decompression bombs do not fill the memory.
 MAX_LAYER_BYTES = 16 << 20
+#: Levels of nested escapes that are undone and scanned one by one.
+DEPTH = 8
 #: Bytes decoded at a time; a multiple of 4.
 _STEP = 1 << 16
 
@@ -76,6 +84,9 @@ class _Layer:
     def __init__(self, text: str, starts: Sequence[int] | None = None, ends: Sequence[int] | None = None):
         self.text, self.starts, self.ends = text, starts, ends
 
+    def origins(self, a: int, b: int) -> tuple[Sequence[int], Sequence[int]]:
+        return (range(a, b), range(a + 1, b + 1)) if self.starts is None else (self.starts[a:b], self.ends[a:b])
+
     def origin(self, a: int, b: int) -> tuple[int, int]:
         if self.starts is None:
             return a, b
@@ -198,18 +209,83 @@ def _escape_bytes(m: re.Match) -> bytes:
     return chr(code).encode("utf-8", "surrogatepass") if code <= 0x10FFFF else bytes(m[0])
 
 
-def _inside(data, limit: int) -> Iterator[_Blob]:
-    """The layers directly inside decoded bytes."""
-    if _holds(data, b"%"):
-        yield from _rewritten(data, _PERCENT_BYTES, _percent_bytes, limit)
-    if _holds(data, b"\\", b"&#"):
-        yield from _rewritten(data, _ESCAPE_BYTES, _escape_bytes, limit)
+_HEX_CODES, _DIGIT_CODES = frozenset(b"0123456789abcdefABCDEF"), frozenset(b"0123456789")
+
+
+def _ended(codes: list[int]) -> tuple[int, int] | None:
+    """(length, code) of the escape that the codes end in."""
+    last = codes[-1]
+    if last in _HEX_CODES:
+        for head, digits in ((b"%", 2), (b"\\x", 2), (b"\\u", 4)):
+            n = len(head) + digits
+            if len(codes) >= n and codes[-n] == head[0] and codes[-n : len(codes) - digits] == list(head) and all(c in _HEX_CODES for c in codes[-digits:]):
+                return n, int(bytes(codes[-digits:]), 16)
+    elif last == 0x3B:  # ;
+        for n in range(4, 12):
+            if len(codes) >= n and codes[-n] == 0x26 and codes[1 - n] == 0x23:
+                body = codes[2 - n : -1]
+                base = 16 if body[0] == 0x78 else 10  # x
+                body = body[1:] if base == 16 else body
+                if body and len(body) <= (6 if base == 16 else 7) and all(c in (_HEX_CODES if base == 16 else _DIGIT_CODES) for c in body):
+                    code = int(bytes(body), base)
+                    return (n, code) if code <= 0x10FFFF else None
+                return None
+    return None
+
+
+def _settled(layer: _Layer) -> _Layer | None:
+    """The layer with all its escapes undone in one pass, nested ones too: a decoded character may end an escape that began before it."""
+    out, starts, ends, changed = [], [], [], False
+    for i, c in enumerate(map(ord, layer.text)):
+        a, b = layer.origin(i, i + 1)
+        out.append(c)
+        starts.append(a)
+        ends.append(b)
+        while (found := _ended(out)) is not None:
+            n, changed = found[0], True
+            a, b = starts[-n], ends[-1]
+            del out[-n:], starts[-n:], ends[-n:]
+            out.append(found[1])
+            starts.append(a)
+            ends.append(b)
+    return _Layer("".join(map(chr, out)), starts, ends) if changed else None
+
+
+def _settled_bytes(data, limit: int) -> Iterator[_Blob]:
+    """The same of decoded bytes. What is no byte becomes UTF-8."""
+    out, changed = [], False
+    for c in bytes(data):
+        out.append(c)
+        while (found := _ended(out)) is not None:
+            changed = True
+            del out[-found[0] :]
+            if found[1] < 256:
+                out.append(found[1])
+            else:
+                out.extend(chr(found[1]).encode("utf-8", "surrogatepass"))
+    if changed:
+        blob = _Blob(limit)
+        blob.write(bytes(out))
+        yield blob.done()
+
+
+def _inside(blob: _Blob, limit: int, deep: bool) -> Iterator[_Blob]:
+    """The layers directly inside decoded bytes; deep: with nested escapes undone at once, where they are in memory."""
+    data = blob.data
+    if deep and blob.file is None:
+        if _holds(data, b"%", b"\\", b"&#"):
+            yield from _settled_bytes(data, limit)
+    else:
+        if _holds(data, b"%"):
+            yield from _rewritten(data, _PERCENT_BYTES, _percent_bytes, limit)
+        if _holds(data, b"\\", b"&#"):
+            yield from _rewritten(data, _ESCAPE_BYTES, _escape_bytes, limit)
     for m in _B64_LINES_BYTES.finditer(data):
         yield from _unbased(data, *m.span(), limit)
     at = 0 if _holds(data, *_MAGIC) else len(data)
     while m := _MEMBER.search(data, at):
-        blob, at = _inflated(data, m.start(), limit)
-        yield blob
+        inner, at = _inflated(data, m.start(), limit)
+        yield inner
 
 
 def _closure(word: bytes, limit: int) -> tuple[set[str], int]:
@@ -224,7 +300,7 @@ def _closure(word: bytes, limit: int) -> tuple[set[str], int]:
             seen.add(key)
             large += blob.file is not None
             found |= blob.kinds()
-            stack.append(_inside(blob.data, limit))
+            stack.append(_inside(blob, limit, len(stack) > DEPTH))
     return found, large
 
 
@@ -235,10 +311,9 @@ def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
         chars = decode(m)
         changed = True
         parts.append(text[at : m.start()])
-        for i in range(at, m.start()):
-            a, b = layer.origin(i, i + 1)
-            starts.append(a)
-            ends.append(b)
+        kept = layer.origins(at, m.start())
+        starts.extend(kept[0])
+        ends.extend(kept[1])
         for c, a, b in chars:
             a, b = layer.origin(a, b)
             parts.append(c)
@@ -247,10 +322,9 @@ def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
         at = m.end()
     if not changed:
         return None
-    for i in range(at, len(text)):
-        a, b = layer.origin(i, i + 1)
-        starts.append(a)
-        ends.append(b)
+    kept = layer.origins(at, len(text))
+    starts.extend(kept[0])
+    ends.extend(kept[1])
     parts.append(text[at:])
     return _Layer("".join(parts), starts, ends)
 
@@ -280,8 +354,11 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]]:
     return out
 
 
-def unwrap(layer: _Layer) -> Iterator[_Layer | None]:
-    """The layer with its URL and Unicode regions decoded in place."""
+def unwrap(layer: _Layer, deep: bool = False) -> Iterator[_Layer | None]:
+    """The layer with its URL and Unicode regions decoded in place; deep: to the last level at once."""
+    if deep:
+        yield _settled(layer) if any(c in layer.text for c in ("%", "\\", "&#")) else None
+        return
     if "%" in layer.text:
         yield _replaced(layer, _PERCENT, _percent)
     if "\\" in layer.text or "&#" in layer.text:
@@ -301,14 +378,14 @@ def find(text: str | None, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[str
     if not text:
         return [], [], 0
     base, extra, oversize = [], set(), 0
-    seen, work, words, known_words = set(), deque([(_Layer(text), True)]), set(), {}
+    seen, work, words, known_words = set(), deque([(_Layer(text), 0)]), set(), {}
     while work:
-        layer, first = work.popleft()
+        layer, depth = work.popleft()
         if (key := layer.key()) in seen:
             continue
         seen.add(key)
         for kind, a, b in scan(layer.text):
-            if first:
+            if not depth:
                 base.append((kind, a, b))
             else:
                 extra.add((f"decoded_{kind}", *layer.origin(a, b)))
@@ -321,7 +398,7 @@ def find(text: str | None, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[str
             kinds, large = known_words[m[0]]
             extra.update((f"decoded_{kind}", *place[1:]) for kind in kinds)
             oversize += large
-        work.extend((inner, False) for inner in unwrap(layer) if inner is not None)
+        work.extend((inner, depth + 1) for inner in unwrap(layer, depth >= DEPTH) if inner is not None)
     order = lambda s: (s[1], _RANK[s[0]], s[2])
     base.sort(key=order)
     known = set(base)
