@@ -7,8 +7,11 @@ Base kinds: email, ip, card, phone (leftmost, non-overlapping for each kind; a m
 check is dropped and not tried again). Added kinds: intl_email (letters beyond ASCII), userinfo
 (name and password in a URL), iban (mod 97), account (digits after an account cue).
 
+Cues count in any mixture of upper and lower case.
+
 Edge cases: null and empty texts have no spans; a null doc_id stays null; repeated rows are each
-scanned; texts of any length are scanned whole.
+scanned; texts of any length are scanned whole; spans that begin together are ordered by kind; an empty table gives no
+rows; other columns, also ones whose names differ from doc_id or text in case only, play no part.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -35,8 +39,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USERINFO = re.compile(r"://[^\s/@:]+:[^\s/@]+@")
 _IBAN = re.compile(r"[ :#.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
-_ACCOUNT = re.compile(r"(?:s|t)?(?: ?(?:no|nr|number|id))?[ .:#=]{1,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
-_CUES = {"iban": "iban", "IBAN": "iban", "Iban": "iban", "account": "account", "Account": "account", "ACCOUNT": "account", "acct": "account", "Acct": "account", "Konto": "account", "konto": "account"}
+_ACCOUNT = re.compile(r"(?:s|t)?(?: ?(?:no|nr|number|id))?[ .:#=]{1,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I | re.A)
+_CUES = {"iban": "iban", "account": "account", "acct": "account", "konto": "account"}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -52,7 +56,8 @@ def automaton() -> ahocorasick.Automaton:
     a.add_word("@", ("at", 1))
     a.add_word("://", ("scheme", 3))
     for cue, kind in _CUES.items():
-        a.add_word(cue, (kind, len(cue)))
+        for form in product(*((c, c.upper()) for c in cue)):
+            a.add_word("".join(form), (kind, len(cue)))
     a.make_automaton()
     return a
 
