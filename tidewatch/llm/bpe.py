@@ -7,8 +7,12 @@ vocabulary strings. Pieces repeat, so a bounded cache keeps their ids.
 
 The vocabulary file's path is a parameter; its content (of fixed size) is broadcast.
 
+The pieces are those of a byte-level vocabulary: a file with another normalizer or pre-tokenizer is refused.
+
 Edge cases: null and empty texts have no ids and decode to an empty text; a null doc_id stays null; repeated rows
-are each encoded; the heap keeps very long pieces at n log n.
+are each encoded; a text of any length is encoded whole, and the heap keeps very long pieces at n log n; of equal ranks the
+leftmost pair is merged first; an empty table gives no rows; other columns, also ones whose names differ from doc_id or
+text in case only, play no part.
 """
 
 from __future__ import annotations
@@ -66,6 +70,9 @@ class BPE:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, spec: dict, specials: bool = True):
+        split = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError("only byte-level vocabularies without a normalizer or a prefix space are supported")
         letters = byte_letters()
         to_bytes = lambda s: bytes(letters[c] for c in s)
         vocab = spec["model"]["vocab"]
