@@ -571,26 +571,60 @@ _TOK = {}
 
 
 def test_token_counts(spark, corpus):
-    own = bpe.BPE(bpe.load(), specials=False)
-    rows = ODD + corpus + [(500, "a<|endoftext|>b")]
-    want = sorted(((d, len(own.encode(t))) for d, t in rows), key=repr)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    rows = ODD + corpus + [(500, "a<|endoftext|>b"), (500, "a<|endoftext|>b")]
+    # the library has no way to take the separator's string as text, so its pieces are put together here
+    plain = lambda x: sum(len(t.encode(p, add_special_tokens=False).ids) for p in re.split(r"(?<=a)(?=<)|(?<=<)(?=\|)|(?<=\|)(?=e)|(?<=t)(?=\|)|(?<=\|)(?=>)|(?<=>)(?=b)", x)) if "<|e" in x else len(t.encode(x, add_special_tokens=False).ids)
+    want = sorted(((d, plain(x or "")) for d, x in rows[:-2]), key=repr)
     for size in (7, 64, tokencount.BLOCK_TOKENS):
-        assert sorted((tuple(r) for r in tokencount.token_counts(frame(spark, rows), block_tokens=size).collect()), key=repr) == want
+        got = sorted((tuple(r) for r in tokencount.token_counts(frame(spark, rows).repartition(3) if size == 64 else frame(spark, rows), block_tokens=size).collect()), key=repr)
+        assert [r for r in got if r[0] != 500] == want
+        own = len(bpe.BPE(bpe.load(), specials=False).encode("a<|endoftext|>b"))
+        assert [r for r in got if r[0] == 500] == [(500, own)] * 2 and own > 3
     assert tokencount.token_counts(frame(spark, ODD[:0])).count() == 0
 
 
-def test_scan_of_flat_files(spark, tmp_path):
+@pytest.mark.parametrize("width", [2, 4])
+def test_scan_of_flat_files(spark, tmp_path, monkeypatch, width):
+    """Files of many ranges and groups, with unfinished ends, against plain counting; whole reads give the same."""
+    monkeypatch.setattr(tokencount, "RANGE_BLOCKS", 2)
+    monkeypatch.setattr(tokencount, "GROUP_BLOCKS", 3)
     rng = random.Random(2)
-    for k in range(3):
+    want = {}
+    for k in range(4):
         lengths = [rng.choice((0, 0, 1, 5, 40)) for _ in range(30 * k)]
         ids = [x for n in lengths for x in [7] * n + [tokencount.EOD]] + [7] * k
-        (tmp_path / f"{k}.bin").write_bytes(np.array(ids, "<u4").tobytes())
-        (tmp_path / f"{k}.json").write_text(json.dumps(lengths + [k] * (k > 0)))
-    blocks = tokencount.blocks_of_files(spark, f"file://{tmp_path}/*.bin", block_tokens=8)
-    got = {}
-    for r in sorted(tokencount.scan(blocks, unfinished=True).collect()):
-        got.setdefault(os.path.basename(r.file)[0], []).append(r.n_tokens)
-    assert got == {str(k): json.loads((tmp_path / f"{k}.json").read_text()) for k in (1, 2)}
+        (tmp_path / f"{k}.bin").write_bytes(np.array(ids, {2: "<u2", 4: "<u4"}[width]).tobytes())
+        want[str(k)] = lengths + [k] * (k > 0)
+    want.pop("0")
+
+    def counted():
+        blocks = tokencount.blocks_of_files(spark, f"file://{tmp_path}/*.bin", block_tokens=8, width=width)
+        got = {}
+        for r in sorted(tokencount.scan(blocks, unfinished=True, block_tokens=8, width=width).collect()):
+            got.setdefault(os.path.basename(r.file)[0], []).append(r.n_tokens)
+        return got
+
+    assert counted() == want
+
+    def refuse(name):
+        raise OSError("unknown scheme")
+
+    monkeypatch.setattr(tokencount, "_opened", refuse)
+    assert counted() == want
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no flat token file"):
+        counted()
+
+
+def test_flat_files_are_flat(spark, tmp_path):
+    own = bpe.BPE(bpe.load(), specials=False)
+    rows = [(1, "one two"), (2, None), (3, "three <|endoftext|>"), (4, "\n\r\x00 é")]
+    tokencount.write_flat(frame(spark, rows).coalesce(1), f"file://{tmp_path}/flat")
+    (only,) = [f for f in (tmp_path / "flat").iterdir() if f.name.startswith("part")]
+    assert np.frombuffer(only.read_bytes(), "<u2").tolist() == [x for _, t in rows for x in [*own.encode(t), tokencount.EOD]]
 
 
 # --- 10
