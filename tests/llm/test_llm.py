@@ -516,7 +516,7 @@ def test_cuckoo_filter():
 # --- 7
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path, monkeypatch):
     big, html = "y" * 700_000, "<p>" + "é" * 60
     rows = [(5, "u5", html), (3, "u\n3", html), (9, None, html), (9, "again", html), (1, "u", ""), (2, "u", None), (7, "u", "short"), (8, "u", "short"), (None, "u", html), (10, "u", big), (11, "u", big)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, refers_to string")
@@ -528,12 +528,33 @@ def test_warc(spark):
         again = len(data) >= 100 and p is not None and p != first
         want.append((p, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first if again else None))
     assert got == sorted(want, key=repr)
-    archives = warc.bundles(warc.marked(pages), frame_bytes=300, bundle_bytes=2000).cache()
-    assert {(r.page_id, bytes(r.payload).decode()) for r in warc.lookup(archives, [10, 7]).collect()} == {(10, big), (7, "short")}
     import zstandard
 
-    whole = zstandard.ZstdDecompressor().stream_reader(bytes(archives.first().content), read_across_frames=True).read()
-    assert whole.startswith(b"WARC/1.1\r\n")
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(common, "FILTER_BYTES", 0)
+            monkeypatch.setattr(common, "HOT_KEYS", 2)
+        folder = f"{tmp_path}/bundles{small}"
+        warc.write_bundles(pages, f"file://{folder}", frame_bytes=300, bundle_bytes=200)
+        files = sorted(f for f in os.listdir(folder) if f.startswith("part"))
+        assert len(files) > 3
+        # any Zstandard reader sees records one after the other, and each frame can be inflated alone
+        total = 0
+        for f in files:
+            content = open(f"{folder}/{f}", "rb").read()
+            whole = zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True).read()
+            reader = warc.BundleReader(content)
+            assert whole.startswith(b"WARC/1.1\r\n") and b"".join(reader.frame(k) for k in range(len(reader.at))) == whole
+            total += len(reader.index())
+            assert len({i for i, *_ in reader.index()} | {b"x"}) > 1
+        assert total == len(rows)
+        archives = warc.stored(spark, f"file://{folder}")
+        assert sorted((tuple(r) for r in warc.read_back(archives).collect()), key=repr) == sorted(want, key=repr)
+        index = warc.index_of(archives)
+        assert index.count() == len(rows)
+        assert {(r.page_id, bytes(r.payload).decode()) for r in warc.lookup(index, [10, 7, 99]).collect()} == {(10, big), (7, "short")}
+        assert warc.lookup(index, [99]).count() == 0
+    assert warc._target("http://h/a b\n<é%20>") == "http://h/a%20b%0A%3Cé%20%3E"
     assert warc.archived(pages.limit(0)).count() == 0
 
 
