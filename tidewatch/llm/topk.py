@@ -1,7 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors become integers floor(scale * x). Queries are broadcast in portions of fixed size; each portion is one pass over
-the vectors. A task sorts its vectors by length and cuts them into buckets. For each bucket and query the score
+Vectors become integers floor(scale * x), and are dealt out by ranges of their length (and id, so that many of one length are
+no single task's). Queries are broadcast in portions of fixed size; each portion is one pass over
+the vectors. A task's vectors, of like lengths, are sorted by length and cut into buckets. For each bucket and query the score
 to beat, divided by the two lengths, is a local cosine threshold: above 1 the query skips this and all later
 buckets; when high, the query's largest coordinates bound the same coordinates of any vector that can still
 win; otherwise length alone prunes. Whatever is left is verified by full integer products. Scores to beat start from
@@ -11,7 +12,9 @@ Equal vectors of a task count once with their k + 1 smallest ids: no more of the
 
 Edge cases: vectors that are null, or hold null or non-finite components, and rows with a null vec_id take no part; a
 query and a vector of different dimensions have no product; rows with the query's own vec_id are no candidates of
-it; equal rows of one vec_id are one query; products are clipped to 64 bits.
+it; equal rows of one vec_id are one query; ties go to the smaller vec_id; products are clipped to 64 bits; vectors of any dimension
+are taken whole; without vectors or queries there are no rows; other columns, also ones whose names differ from vec_id or
+embedding in case only, play no part. The number of portions depends on the number of queries and changes no row.
 """
 
 from __future__ import annotations
@@ -149,7 +152,7 @@ class Retriever:
 def top_products(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY, portion: int = PORTION) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, its k best rows of all."""
     spark = vectors.sparkSession
-    data = written(quantised(vectors, scale), "vectors")
+    data = written(quantised(vectors, scale).repartitionByRange(F.desc("norm"), "vec_id"), "vectors")
     queries = data.where(F.col("vec_id") % every == 0).select("vec_id", "dim", "v").distinct()
     total = queries.count()
     schema = arrow_schema("query_id long, twin long, vec_id long, score long")
