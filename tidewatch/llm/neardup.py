@@ -10,13 +10,15 @@ Equal sets form one class, and all later work is on classes.
    documents share (common passages) seldom become lists.
 2. Every class is paired with the most central class of each of its lists: a star instead of all pairs.
 3. The union-sketch estimate drops pairs; full sets verify the rest.
-4. Lists of three or more whose members are still in different components are compared member by member
-   inside a task, in blocks of bounded size that are dealt by (value, block, block), so no task
-   ever holds a whole hot list and no list is expanded into pairs. Only blocks whose set sizes are
-   near enough meet. A pair is compared only in the first list that both are in. Sets that fit into the
+4. Lists of three or more whose members are still in different components are compared member by member.
+   Lists with the same smallest member form one group, so that a family of documents that share many
+   values travels once for a group and not once for a list. Groups are compared inside tasks, in
+   blocks of bounded size that are dealt by (group, block, block), so no task ever holds a whole hot group
+   and none is expanded into pairs. Only blocks whose set sizes are near enough meet. Only members that share
+   a list are compared, and only in the first group in which they do. Sets that fit into the
    sketch are verified right there; a task returns at most one edge for each of its members. Others go to
    step 3. Every pair that shares a list and is not connected is compared: no link between components is lost.
-   A list of M unlike members of like sizes costs M * M / BLOCK rows and M * M comparisons.
+   A group of M unlike members of like sizes costs M * M / BLOCK rows and up to M * M comparisons.
 5. Components: alternating large-star and small-star passes until nothing changes.
 
 Plans that depend on sizes, with the same rows either way: where the ids that a join selects fit into a bit
@@ -94,25 +96,24 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(value, node, n, central, entered): the lists that each class enters; entered marks which of its LIST_K values are lists."""
+    """(value, node, n, central): the lists that each class enters; central counts its LIST_K values that others hold too."""
 
     def start():
         def row(node: int, n: int, low: bytes) -> Iterator[tuple]:
-            for i, v in enumerate(np.frombuffer(low, np.int64).tolist()):
-                yield v, node, n, i
+            for v in np.frombuffer(low, np.int64).tolist():
+                yield v, node, n
 
         return row
 
-    held = map_rows(classes.select("node", "n", "low"), start, "value long, node long, n long, i int")
+    held = map_rows(classes.select("node", "n", "low"), start, "value long, node long, n long")
     shared = written(held.groupBy("value").agg(F.count("*").alias("freq")).where("freq > 1"), "values")
     size = F.least(F.col("n"), F.lit(LIST_K))
     need = F.when(F.col("n") <= LIST_K * 3 // 4, F.ceil(F.col("n") * 3 / 4)).otherwise(F.lit(NEED))
-    mine = spread_join(held, shared, "value", "freq", "node").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "value", "i"))).alias("vs"))
+    mine = spread_join(held, shared, "value", "freq", "node").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "value"))).alias("vs"))
     # values that no other class holds come first in the order of rarity and make no list
     left = F.greatest(F.lit(0), size - need + 1 - (size - F.size("vs")))
     chosen = mine.select("node", "n", F.size("vs").alias("central"), F.slice("vs", F.lit(1), left.cast("int")).alias("vs"))
-    entered = F.aggregate("vs", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), v["i"])))
-    return chosen.withColumn("entered", entered).select("node", "n", "central", "entered", F.explode("vs").alias("v")).select(F.col("v.value").alias("value"), "node", "n", "central", "entered")
+    return chosen.select("node", "n", "central", F.explode("vs.value").alias("value")).select("value", "node", "n", "central")
 
 
 def _sketches_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -249,41 +250,33 @@ def _dense(part: tuple, n: int) -> np.ndarray:
     return out
 
 
-def _entered(value: int, entered: list[int], sketch: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(member, list value) of the lists below value that the members are in."""
-    at = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
-    rows, items = [], []
-    for k, (mask, s) in enumerate(zip(entered, sketch, strict=True)):
-        low = s[:LIST_K]
-        own = low[((mask >> np.arange(len(low), dtype=np.int64)) & 1).astype(bool)]
-        own = own[own < at]
-        rows.append(np.full(len(own), k))
-        items.append(own)
-    return np.concatenate(rows), np.concatenate(items)
+def _held(lists: list[np.ndarray], n: int) -> Iterator[np.ndarray]:
+    return _common(np.repeat(np.arange(n), [len(x) for x in lists]), np.concatenate(lists), n)
 
 
-def compare_block(value: int, side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, entered: list[int], sketch: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """(a, b, 1: linked or -1: unsure) among the members of one block pair that are in different components.
+def compare_block(side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, here: list[np.ndarray], before: list[np.ndarray], sketch: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(a, b, 1: linked or -1: unsure) among the members of one block pair that are in different components and share a
+    list of here, but none of before.
 
     side: 0 and 1 for the two blocks of a pair; 2 for all members of a block that is compared with itself.
     """
     order = np.argsort(n, kind="stable")
     node, comp, n, side = node[order], comp[order], n[order], side[order]
-    sketch, entered = [sketch[i] for i in order], [entered[i] for i in order]
+    sketch, here, before = ([x[i] for i in order] for x in (sketch, here, before))
     size = len(sketch)
     held, union, out, todo = np.minimum(n, SKETCH_K), _Union(), [], []
-    for k, met in enumerate(_common(*_entered(value, entered, sketch), size)):
+    for k, (share, met) in enumerate(zip(_held(here, size), _held(before, size), strict=True)):
         # sorted by n: a row and the columns behind it
         top = k * STRIP
         rows = np.arange(top, top + len(met))[:, None]
-        open_ = (met == 0) & (np.arange(size)[None, :] > rows) & (comp[rows] != comp[None, :]) & (4 * n[rows] >= 3 * n[None, :]) & ((side[rows] == 2) | (side[rows] != side[None, :]))
+        open_ = (share > 0) & (met == 0) & (np.arange(size)[None, :] > rows) & (comp[rows] != comp[None, :]) & (4 * n[rows] >= 3 * n[None, :]) & ((side[rows] == 2) | (side[rows] != side[None, :]))
         i, j = np.nonzero(open_)
         if len(i):
             todo.append((top, i, j))
     if not todo:
         return []
     many = sum(len(i) for _, i, _ in todo) > 4 * size
-    strips = _common(np.repeat(np.arange(size), [len(x) for x in sketch]), np.concatenate(sketch), size) if many else iter(())
+    strips = _held(sketch, size) if many else iter(())
     at_strip = -STRIP
     for top, i, j in todo:
         while many and at_strip < top:
@@ -312,21 +305,28 @@ def _band():
 
 def _residual(lists: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
     """Compare, inside tasks, the members of each list that are still in different components. Lists of two were compared as stars."""
-    marked = lists.select("value", "node", "entered", _band().alias("band")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    bands = marked.groupBy("value", "band").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_lists = bands.groupBy("value").agg(F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("band", "size")).alias("bands")).where("lo < hi and size > 2")
-    # a list that fits into one block is one; others have blocks for each band of sizes
+    marked = lists.select("value", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = marked.groupBy("value").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("grp"))
+    open_lists = written(found.where("lo < hi and size > 2").select("value", "size", "grp"), "openlists")
+    # a node is in a bounded number of lists; those of one group go together
+    entered = spread_join(marked, open_lists, "value", "size", "node").groupBy("node", "n", "comp").agg(F.collect_list(F.struct("grp", "value")).alias("vs"))
+    each = entered.select("node", "n", "comp", "vs", F.explode(F.array_distinct("vs.grp")).alias("grp"))
+    of = lambda keep: F.transform(F.filter("vs", keep), lambda v: v["value"])
+    members = written(each.select("grp", "node", "comp", _band().alias("band"), of(lambda v: v["grp"] == F.col("grp")).alias("here"), of(lambda v: v["grp"] < F.col("grp")).alias("before")), "members")
+    bands = members.groupBy("grp", "band").agg(F.count("*").alias("size"))
+    # a group that fits into one block is one; others have blocks for each band of sizes
     blocks = F.map_from_entries(F.transform("bands", lambda x: F.struct(x["band"], F.ceil(x["size"] / BLOCK))))
-    open_lists = written(open_lists.select("value", "size", F.when(F.col("size") > BLOCK, blocks).alias("blocks")), "openlists")
+    groups = bands.groupBy("grp").agg(F.sum("size").alias("size"), F.collect_list(F.struct("band", "size")).alias("bands"))
+    groups = written(groups.select("grp", "size", F.when(F.col("size") > BLOCK, blocks).alias("blocks")), "groups")
     chunks = lambda band: F.coalesce(F.try_element_at("blocks", band), F.lit(0).cast("long"))
     block = lambda band, k: band * (1 << 32) + k
     own = F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(block(F.col("band"), F.pmod(F.xxhash64("node", F.lit(5)), chunks(F.col("band")))))
     met = lambda band: F.when(chunks(band) > 0, F.transform(F.sequence(F.lit(0).cast("long"), chunks(band) - 1), lambda k: block(band, k))).otherwise(F.array().cast("array<long>"))
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.concat(*[met(F.col("band") + d) for d in (-1, 0, 1)]))
     dealt = (
-        spread_join(marked, open_lists, "value", "size", "node")
-        .select("value", "node", "comp", "entered", own.alias("own"), F.explode(others).alias("other"))
-        .select("value", "node", "comp", "entered", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
+        spread_join(members, groups, "grp", "size", "node")
+        .select("grp", "node", "comp", "here", "before", own.alias("own"), F.explode(others).alias("other"))
+        .select("grp", "node", "comp", "here", "before", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
         .join(known.select("node", "n", "sketch"), "node")
     )
 
@@ -337,23 +337,24 @@ def _residual(lists: DataFrame, labels: DataFrame, known: DataFrame) -> DataFram
         def flush():
             if len(held) < 2 or len({h[1] for h in held}) < 2:
                 return None
-            node, comp, n, entered, side, sketch = zip(*held, strict=True)
-            found = compare_block(key[0], np.array(side), np.array(node), np.array(comp), np.array(n), list(entered), [np.frombuffer(x, np.uint64) for x in sketch])
+            node, comp, n, side, here, before, sketch = zip(*held, strict=True)
+            arrays = [[np.array(x, np.int64) for x in lists] for lists in (here, before)]
+            found = compare_block(np.array(side), np.array(node), np.array(comp), np.array(n), *arrays, [np.frombuffer(x, np.uint64) for x in sketch])
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema) if found else None
 
         for batch in batches:
-            for v, i, j, *rest in zip(*[batch.column(c).to_pylist() for c in ("value", "i", "j", "node", "comp", "n", "entered", "side", "sketch")], strict=True):
-                if (v, i, j) != key:
+            for g, i, j, *rest in zip(*[batch.column(c).to_pylist() for c in ("grp", "i", "j", "node", "comp", "n", "side", "here", "before", "sketch")], strict=True):
+                if (g, i, j) != key:
                     if (made := flush()) is not None:
                         yield made
-                    key, held = (v, i, j), []
+                    key, held = (g, i, j), []
                 held.append(rest)
         if (made := flush()) is not None:
             yield made
         held = []
         release()
 
-    return dealt.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "node").mapInArrow(run, "a long, b long, j int").distinct()
+    return dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node").mapInArrow(run, "a long, b long, j int").distinct()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
