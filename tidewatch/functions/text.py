@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Fixed value: the tokens of the reports.
 TOKEN = r"[a-zа-яёіїєґ0-9]+(?:'[a-zа-яёіїєґ0-9]+)*"
 
 
@@ -65,7 +66,8 @@ def norm_text(title: Column, text: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    return F.translate(nfkc(c), "’ʼ‘", "'''")
+    """NFKC with the three marks that stand for apostrophes as one. Null is empty."""
+    return F.translate(nfkc(F.coalesce(c, F.lit(""))), "’ʼ`", "'''")
 
 
 def alias_pattern(alias: Column) -> Column:
@@ -73,9 +75,23 @@ def alias_pattern(alias: Column) -> Column:
     return F.concat(F.lit(r"(?U)(?<!\w)\Q"), alias, F.lit(r"\E(?!\w)"))
 
 
+def _cut(c: Column, n: int) -> Column:
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
+
+
 def preview(c: Column, n: int) -> Column:
-    flat = F.replace(c, F.lit("\n"), F.lit(" "))
-    return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n), F.lit("…"))).otherwise(flat)
+    return _cut(F.replace(c, F.lit("\n"), F.lit(" ")), n)
+
+
+def titled_preview(title: Column, text: Column, n: int) -> Column:
+    """The title where there is one, else the text."""
+    return preview(F.coalesce(F.when(title != "", title), text, F.lit("")), n)
+
+
+def collapsed_preview(c: Column, n: int) -> Column:
+    """White space collapsed, and none before the ellipsis."""
+    flat = collapse(F.coalesce(c, F.lit("")))
+    return F.when(F.length(flat) > n, F.concat(F.regexp_replace(F.substring(flat, 1, n), r"(?U)\s+$", ""), F.lit("…"))).otherwise(flat)
 
 
 def context_snippet(text: Column, start: Column, end: Column, around: int = 300) -> Column:
@@ -83,6 +99,8 @@ def context_snippet(text: Column, start: Column, end: Column, around: int = 300)
     return F.substring(text, lo + 1, F.least(F.length(text), end + around) - lo)
 
 
+# A fence around a whole response, quoted evidence.
+QUOTE = r"«([^»]+)»|\"([^\"]+)\""
 FENCE = r"(?s)^\s*```(?:json)?\s*\n(.*?)\n?```\s*$"
 
 
@@ -108,8 +126,19 @@ def resolve_span(text: Column, span: Column) -> Column:
 
 
 def quotes(c: Column) -> Column:
-    found = F.concat(F.regexp_extract_all(c, F.lit("«([^»]*)»"), F.lit(1)), F.regexp_extract_all(c, F.lit('"([^"]*)"'), F.lit(1)))
-    return F.filter(found, lambda q: q != "")
+    """What stands in angle or double quotes, in the order of the text."""
+    inside = [F.regexp_extract_all(c, F.lit(QUOTE), F.lit(i)) for i in (1, 2)]
+    return F.zip_with(*inside, lambda a, b: F.when(a != "", a).otherwise(b))
+
+
+def payload_prompt(template: str, payload: Column) -> Column:
+    """The one placeholder <<PAYLOAD_JSON>> replaced by a struct as JSON, nulls included: nothing inside a value can leave its string."""
+    return F.replace(F.lit(template), F.lit("<<PAYLOAD_JSON>>"), F.to_json(payload, {"ignoreNullFields": "false"}))
+
+
+def groundable(claim_text: Column, span: Column, title: Column, snippet: Column) -> Column:
+    """The text that quotes are looked for in: four lines, the title's empty where it is null."""
+    return F.concat(claim_text, F.lit("\n"), span, F.lit("\n"), F.coalesce(title, F.lit("")), F.lit("\n"), snippet)
 
 
 def fill(template: str, **values: Column) -> Column:
@@ -129,23 +158,28 @@ def is_content_token(t: Column, stopwords: list[str]) -> Column:
 
 
 def ngrams(toks: Column, n: int, stopwords: list[str]) -> Column:
-    """Terms of n tokens. Longer ones begin and end with content tokens and hold two or more."""
+    """Terms of n tokens. Longer ones begin and end with content tokens and hold two or more.
+
+    toks should be a column of its own, as it is named several times: n shifted slices side by side make the terms, so
+    that the work is linear in the tokens.
+    """
     if n == 1:
         return F.filter(toks, lambda t: is_content_token(t, stopwords))
-    grams = F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(toks) - n + 1)), lambda i: F.slice(toks, i, n))).otherwise(F.array().cast("array<array<string>>"))
-    kept = F.filter(grams, lambda g: is_content_token(g[0], stopwords) & is_content_token(g[n - 1], stopwords))
-    return F.transform(kept, lambda g: F.array_join(g, " "))
+    count = F.greatest(F.lit(0), F.size(toks) - (n - 1))
+    side_by_side = F.arrays_zip(*[F.slice(toks, k + 1, count).alias(f"w{k}") for k in range(n)])
+    kept = F.filter(side_by_side, lambda g: is_content_token(g["w0"], stopwords) & is_content_token(g[f"w{n - 1}"], stopwords))
+    return F.transform(kept, lambda g: F.concat_ws(" ", *[g[f"w{k}"] for k in range(n)]))
 
 
 def clean_text(text: Column, source_names: Column, rules: list[dict]) -> Column:
-    """Source-bound rules first, then general ones, then the names of the sources themselves."""
-    out = text
+    """Normalized text without boilerplate: source-bound rules first, then general ones, then the names of the sources themselves."""
+    out = normalize_text(text)
     for rule in sorted(rules, key=lambda r: not r.get("source_names")):
         gone = F.regexp_replace(out, "(?isU)" + rule["pattern"], " ")
         names = rule.get("source_names")
         out = F.when(F.arrays_overlap(source_names, F.array(*map(F.lit, names))), gone).otherwise(out) if names else gone
     plain = F.transform(source_names, lambda s: F.regexp_replace(s, r"\s*\([^)]*\)\s*$", ""))
-    names = F.filter(F.array_distinct(F.concat(source_names, plain)), lambda s: F.length(s) >= 3)
+    names = F.filter(F.array_distinct(F.transform(F.concat(source_names, plain), strip)), lambda s: F.length(s) >= 3)
     out = F.aggregate(names, out, lambda t, s: F.regexp_replace(t, F.concat(F.lit(r"(?iU)(?<!\w)\Q"), s, F.lit(r"\E(?!\w)")), F.lit(" ")))
     return collapse(out)
 
@@ -164,6 +198,26 @@ def needs_proxy(url: Column) -> Column:
 
 
 def normalized_tokens(c: Column, lang: Column, languages: list[str], stopwords: list[str], rules: list[dict], lemma=lambda t: t) -> Column:
-    """Tokens without punctuation: surface stopwords stay, others become lemmas. Other languages have no tokens. lemma maps a token column; the default keeps the surface."""
-    kept = F.transform(tokens(c), lambda t: F.when(t.isin(stopwords), t).otherwise(lemma_override(lang, t, lemma(t), rules)))
-    return F.when(lang.isin(languages), F.coalesce(kept, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    """Tokens without punctuation: surface stopwords stay, others become lemmas. Texts of other languages keep their surface tokens. lemma maps a token column; the default keeps the surface."""
+    known = F.coalesce(lang.isin(languages), F.lit(False))
+    kept = F.transform(tokens(c), lambda t: F.when(~known | t.isin(stopwords), t).otherwise(lemma_override(lang, t, lemma(t), rules)))
+    return F.coalesce(kept, F.array().cast("array<string>"))
+
+
+@F.pandas_udf(StringType())
+def detected_language(s: pd.Series) -> pd.Series:
+    """A stand-in for a language model over the first 4000 characters: the script and a few letters and words tell uk, ru and en; else null."""
+    return s.map(lambda x: guess_language(x[:4000]), na_action="ignore")
+
+
+# Fixed values of the stand-in: letters and words that one of the languages has and the others lack.
+_UK, _RU, _EN = frozenset("іїєґ"), frozenset("ыэъё"), frozenset("the and of to in is that for with was".split())
+
+
+def guess_language(text: str) -> str | None:
+    low = text.lower()
+    uk, ru = sum(c in _UK for c in low), sum(c in _RU for c in low)
+    if uk or ru:
+        return "uk" if uk >= ru else "ru"
+    words = low.split()
+    return "en" if words and 20 * sum(w.strip(".,;:!?") in _EN for w in words) >= len(words) else None
