@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,28 +50,51 @@ def missing_facets(rules: DataFrame, registry: DataFrame) -> DataFrame:
     return rules.select("contour_id", "facet").exceptAll(registry.where("active").select("contour_id", "facet"))
 
 
-def structural_hits(content: DataFrame, numbers: dict[str, int], unit_terms: list[str], near: int = 80, col: str = "norm") -> DataFrame:
-    """(content_id, name): the number that a name begins with, within near characters of a unit term, in either order."""
-    units = "(?:" + "|".join(unit_terms) + ")"
-    gap = f".{{0,{near}}}?"
-    tried = [F.when(F.col(col).rlike(rf"(?isU)(?<!\w){n}(?!\w){gap}{units}|{units}{gap}(?<!\w){n}(?!\w)"), F.lit(name)) for name, n in numbers.items()]
+def structural_hits(content: DataFrame, names: list[str], unit_terms: list[str], near: int = 80, col: str = "norm") -> DataFrame:
+    """(content_id, name): the number that a registered name begins with, within near characters of a unit term, in either order. Names without a number find nothing."""
+    units, gap = "(?:" + "|".join(unit_terms) + ")", f".{{0,{near}}}"
+    tried = [F.when(F.col(col).rlike(rf"(?U)(?:(?<!\w){n}(?!\w){gap}{units}|{units}{gap}(?<!\w){n}(?!\w))"), F.lit(name)) for name in names if (n := number_of(name))]
+    if not tried:
+        return content.select("content_id", F.lit("").alias("name")).limit(0)
     return content.select("content_id", F.explode(F.filter(F.array(*tried), lambda x: x.isNotNull())).alias("name"))
 
 
+def number_of(name: str) -> str:
+    """The leading number of a registered name, '' without one: leading_number() for the registry's names on the driver."""
+    m = re.match(r"\s*(\d{1,4})\b", name)
+    return m[1] if m else ""
+
+
 def leading_number(c: Column) -> Column:
     return F.regexp_extract(c, r"^\s*(\d{1,4})\b", 1)
 
 
-def signal_counts(content: DataFrame, **sets: DataFrame) -> DataFrame:
-    """content_id, one flag for each named set of content ids, and their sum; content in no set goes."""
-    out = content.select("content_id")
-    for name, s in sets.items():
-        out = out.join(s.select("content_id").distinct().withColumn(name, F.lit(1)), "content_id", "left")
-    flags = [F.coalesce(F.col(n), F.lit(0)) for n in sets]
-    total = flags[0]
-    for f in flags[1:]:
-        total = total + f
-    return out.select("content_id", *[f.alias(n) for f, n in zip(flags, sets, strict=True)], total.alias("signals")).where("signals > 0")
+def lexical_cues(content: DataFrame, cues: dict[str, str], col: str = "norm") -> DataFrame:
+    """(content_id, labels): the labels of all cue patterns that match, in registry order; content without any has no row."""
+    labels = F.filter(F.array(*[F.when(F.col(col).rlike("(?U)" + p), F.lit(name)) for name, p in cues.items()]), lambda x: x.isNotNull())
+    return content.select("content_id", labels.alias("labels")).where(F.size("labels") > 0)
+
+
+def recall_gap(content_ids: DataFrame, semantic: DataFrame, exact: DataFrame, lexical: DataFrame, structural: DataFrame, top: int = 120) -> DataFrame:
+    """(content_id, signals, score, labels, names): content that exact matching lacks and a signal names, best first.
+
+    Signals: lexical cues, structural hits, and being one of the top by semantic score (content_id, score) among content without an exact
+    hit. Ranked by their number, then by score, -1 where there is none. All counts are bounded joins on content_id.
+    """
+    sure = exact.select("content_id").distinct()
+    best = semantic.join(sure, "content_id", "left_anti").orderBy(F.desc("score"), F.desc("content_id")).limit(top).select("content_id", F.lit(1).alias("top"))
+    named = structural.groupBy("content_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    out = content_ids.select("content_id").join(sure, "content_id", "left_anti")
+    out = out.join(lexical.select("content_id", "labels"), "content_id", "left").join(named, "content_id", "left").join(best, "content_id", "left").join(semantic.select("content_id", "score"), "content_id", "left")
+    signals = F.col("labels").isNotNull().cast("int") + F.col("names").isNotNull().cast("int") + F.coalesce("top", F.lit(0))
+    none = F.array().cast("array<string>")
+    found = out.withColumn("signals", signals).where("signals > 0")
+    return found.select("content_id", "signals", F.coalesce("score", F.lit(-1.0)).alias("score"), F.coalesce("labels", none).alias("labels"), F.coalesce("names", none).alias("names")).orderBy(F.desc("signals"), F.desc("score"), F.desc("content_id"))
+
+
+def without_embedding(anchored: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Anchored content that has no vector."""
+    return anchored.select("content_id").distinct().join(vectors.select("content_id"), "content_id", "left_anti")
 
 
 def threshold_grid(scored: DataFrame, col: str, flag: str, cuts: list[float]) -> DataFrame:

@@ -42,11 +42,16 @@ def overlap_pairs(members: DataFrame) -> DataFrame:
     return both.groupBy("seed_a", "seed_b").agg(F.array_sort(F.collect_set("claim_id")).alias("shared"))
 
 
-def fold(pairs: list[tuple[int, int, int]], claims: dict[int, frozenset], judge: Callable[[frozenset, frozenset], str], home: dict[int, int]) -> list[tuple]:
+Judge = Callable[[frozenset, frozenset], tuple[str, str | None]]
+
+
+def fold(pairs: list[tuple[int, int, int]], claims: dict[int, frozenset], judge: Judge, home: dict[int, int]) -> list[tuple]:
     """Sequential merge by order. pairs: (order, a, b); home: seed to canonical event so far, changed in place.
 
     Each pair sees the state its predecessors left: two free seeds are compared with each other, a seed and a canonical
-    event by the event's whole packet; same event on both sides: skipped; different events: deferred.
+    event by the event's whole packet; same event on both sides: skipped; different events: deferred. judge gives
+    (decision, summary), or invalid or transport_error as the decision, which change nothing. Returns (order, a, b,
+    outcome, event, summary); an event is named by the smaller seed of its founding pair.
     """
     packets: dict[int, set] = {}
     for seed, event in home.items():
@@ -55,32 +60,53 @@ def fold(pairs: list[tuple[int, int, int]], claims: dict[int, frozenset], judge:
     for order, a, b in sorted(pairs):
         ea, eb = home.get(a), home.get(b)
         if ea is not None and ea == eb:
-            out.append((order, a, b, "skipped_same", ea))
+            out.append((order, a, b, "skipped_same", ea, None))
         elif ea is not None and eb is not None:
-            out.append((order, a, b, "deferred", None))
+            out.append((order, a, b, "deferred", None, None))
         else:
             left = frozenset(packets[ea]) if ea is not None else claims[a]
             right = frozenset(packets[eb]) if eb is not None else claims[b]
-            said = judge(left, right)
+            said, summary = judge(left, right)
             event = None
             if said == "same_event":
                 event = ea if ea is not None else eb if eb is not None else min(a, b)
                 for s in (a, b):
                     home[s] = event
                 packets.setdefault(event, set()).update(claims[a], claims[b])
-            out.append((order, a, b, said if said != "same_event" else ("extended" if ea is not None or eb is not None else "created"), event))
+                said = "extended" if ea is not None or eb is not None else "created"
+            out.append((order, a, b, said, event, summary))
     return out
 
 
-def overlap_judge(a: frozenset, b: frozenset) -> str:
-    """Deterministic stand-in for the merge model."""
+def overlap_judge(a: frozenset, b: frozenset) -> tuple[str, str | None]:
+    """Deterministic stand-in for the merge model: by shared claims. Pairs with an odd number of claims in all and little in common stand for answers that break the contract."""
     share = len(a & b) / min(len(a), len(b))
-    return "same_event" if share >= 0.5 else "insufficient" if share >= 0.34 else "different_event"
+    if share >= 0.5:
+        return "same_event", f"{len(a | b)} claims"
+    return ("insufficient" if share >= 0.34 else "invalid" if len(a | b) % 5 == 0 else "different_event"), None
+
+
+def canonical_events(merged: DataFrame) -> DataFrame:
+    """(event_id, created, updated, summary): each extension overwrites the summary and moves updated; both are places in the merge's order."""
+    made = merged.where("outcome in ('created', 'extended')")
+    return made.groupBy("event_id").agg(F.min("seq").alias("created"), F.max("seq").alias("updated"), F.max_by("summary", "seq").alias("summary"))
+
+
+def event_members(merged: DataFrame) -> DataFrame:
+    """(event_id, seed_id, added): the seeds of each event, with the place in the order that brought them."""
+    sides = merged.where("outcome in ('created', 'extended')").select("event_id", "seq", F.explode(F.array("seed_a", "seed_b")).alias("seed_id"))
+    return sides.groupBy("event_id", "seed_id").agg(F.min("seq").alias("added"))
+
+
+def event_packets(event_seeds: DataFrame, members: DataFrame) -> DataFrame:
+    """(event_id, claim_id, role): the union of an event's seed members, a claim's role being that in the seed that came first."""
+    return event_seeds.join(members.select("seed_id", "claim_id", "role"), "seed_id").groupBy("event_id", "claim_id").agg(F.min_by("role", F.struct("added", "seed_id")).alias("role"))
 
 
 def merge(pairs: DataFrame, members: DataFrame, components: Callable[[DataFrame], DataFrame], judge: Callable = overlap_judge, limit: int | None = None, known: DataFrame | None = None) -> DataFrame:
-    """(seq within its component, seed_a, seed_b, outcome, event_id). The backlog order and limit come first; then each component of
-    the pairs (and of what is merged already) is folded on its own, which equals the global fold."""
+    """(seq within its component, seed_a, seed_b, outcome, event_id, summary). The backlog order and limit come first; then each component of
+    the pairs (and of what is merged already) is folded on its own, which equals the global fold. A fold is sequential by its nature:
+    a task holds one component's pairs and claim ids, nothing else."""
     batch = pairs.withColumn("n", F.size("shared")).select("seed_a", "seed_b", "n").orderBy(F.desc("n"), "seed_a", "seed_b")
     batch = (batch.limit(limit) if limit is not None else batch).withColumn("seq", -F.col("n"))
     ties = batch.select(F.col("seed_a").alias("a"), F.col("seed_b").alias("b"))
@@ -104,9 +130,9 @@ def merge(pairs: DataFrame, members: DataFrame, components: Callable[[DataFrame]
         before = {int(s): int(e) for s, e in zip(nodes["seed_a"], nodes["event_id"], strict=True) if pd.notna(e)}
         turns = sorted((int(r.seq), int(r.seed_a), int(r.seed_b)) for r in todo.itertuples())
         done = fold([(k, a, b) for k, (_, a, b) in enumerate(turns, 1)], claims, judge, before)
-        return pd.DataFrame(done, columns=["seq", "seed_a", "seed_b", "outcome", "event_id"]).astype({"event_id": "Int64"})
+        return pd.DataFrame(done, columns=["seq", "seed_a", "seed_b", "outcome", "event_id", "summary"]).astype({"event_id": "Int64"})
 
-    return rows.groupBy("comp").applyInPandas(run, "seq int, seed_a long, seed_b long, outcome string, event_id long")
+    return rows.groupBy("comp").applyInPandas(run, "seq int, seed_a long, seed_b long, outcome string, event_id long, summary string")
 
 
 def label_components(edges: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -9,29 +9,32 @@ MIN_LENGTH = 30
 
 
 def outcomes(raw: DataFrame, known_occurrences: DataFrame | None = None, known_content: DataFrame | None = None) -> DataFrame:
-    """raw with outcome: what a sequential pass by arrival would say, as two windows.
+    """raw with outcome: what a sequential pass by arrival would say.
 
     The first accepted delivery of a (source, reference), or the stored one, fixes its hash: later ones are
-    dup_occurrence or changed_unprocessed. Of the first ones, the first of a new hash is new_content.
+    dup_occurrence or changed_unprocessed. Of the first ones, the first of a new hash is new_content: the smallest arrival of
+    a hash, found by an aggregation that combines before the shuffle, so a text that very many deliveries hold is no
+    single task's. References are short lists; rejected deliveries are in none.
     """
-    accepted = F.length("canonical_text") >= MIN_LENGTH
-    by_ref = Window.partitionBy("source_id", "external_ref", "_ok").orderBy("arrival")
-    by_hash = Window.partitionBy("content_hash", "_first").orderBy("arrival")
-    df = raw.withColumn("_ok", F.coalesce(accepted, F.lit(False)))
+    df = raw.withColumn("_ok", F.coalesce(F.length("canonical_text") >= MIN_LENGTH, F.lit(False)))
+    # rejected deliveries fall where they like: each is its own group
+    by_ref = Window.partitionBy("source_id", "external_ref", F.when(F.col("_ok"), F.lit(None)).otherwise(F.col("arrival"))).orderBy("arrival")
     if known_occurrences is not None:
         df = df.join(known_occurrences.select("source_id", "external_ref", F.col("content_hash").alias("_stored")), ["source_id", "external_ref"], "left")
     else:
         df = df.withColumn("_stored", F.lit(None).cast("string"))
-    if known_content is not None:
-        df = df.join(known_content.select("content_hash", F.lit(True).alias("_known")), "content_hash", "left")
-    else:
-        df = df.withColumn("_known", F.lit(False))
     df = df.withColumn("_rn", F.row_number().over(by_ref)).withColumn("_hash", F.coalesce("_stored", F.first("content_hash").over(by_ref)))
-    df = df.withColumn("_first", F.col("_ok") & (F.col("_rn") == 1) & F.col("_stored").isNull()).withColumn("_hn", F.row_number().over(by_hash))
+    df = df.withColumn("_first", F.col("_ok") & (F.col("_rn") == 1) & F.col("_stored").isNull())
+    oldest = df.where("_first").groupBy("content_hash").agg(F.min("arrival").alias("_arrival"))
+    if known_content is not None:
+        oldest = oldest.join(known_content.select("content_hash"), "content_hash", "left_anti")
+    # one row for each hash with its arrival: the join finds the delivery that brings it
+    founders = oldest.select(F.col("content_hash").alias("_new"), "_arrival")
+    df = df.join(founders, (F.col("content_hash") == F.col("_new")) & (F.col("arrival") == F.col("_arrival")) & F.col("_first"), "left")
     outcome = (
         F.when(~F.col("_ok"), "rejected")
         .when(~F.col("_first"), F.when(F.col("_hash") == F.col("content_hash"), "dup_occurrence").otherwise("changed_unprocessed"))
-        .when((F.col("_hn") == 1) & ~F.coalesce("_known", F.lit(False)), "new_content")
+        .when(F.col("_new").isNotNull(), "new_content")
         .otherwise("new_occurrence")
     )
     return df.select(*raw.columns, outcome.alias("outcome"))

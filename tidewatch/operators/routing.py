@@ -38,6 +38,18 @@ def top_per_group(df: DataFrame, group: list[str], order: list, n: int, rank: st
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
 
 
+def placed(df: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
+    """df with each row's place in its group."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def listing(old: DataFrame, new: DataFrame, key: str, changes: list[tuple[str, str]]) -> DataFrame:
+    """(key, old, new, margin, place) of the decisions that changed in one of the named ways, the highest new margin first in each."""
+    both = new.select(key, F.col("decision").alias("new"), "margin").join(old.select(key, F.col("decision").alias("old")), key)
+    kept = both.where(F.concat_ws(">", "old", "new").isin(*[f"{a}>{b}" for a, b in changes]))
+    return placed(kept, ["old", "new"], [F.desc("margin"), F.col(key)], "place").select(key, "old", "new", "margin", "place")
+
+
 def hash_order(key: str, seed: int = 42) -> Column:
     """An order that depends on the key and the seed alone, and that other engines can repeat."""
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
