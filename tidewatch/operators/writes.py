@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +47,48 @@ def backlog(rows: DataFrame, done: DataFrame, keys: list[str], order: list[Colum
     """Rows not yet processed, in their order."""
     todo = rows.join(done.select(*keys).distinct(), keys, "left_anti").orderBy(*order)
     return todo if limit is None else todo.limit(limit)
+
+
+def insert_counts(ranked: DataFrame, inserted: DataFrame) -> DataFrame:
+    """One row (attempted, inserted): how many were offered and how many were new."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(ranked, "attempted").crossJoin(count(inserted, "inserted"))
+
+
+def insert_decisions(decisions: DataFrame, target: DataFrame, version: str, revision: str) -> DataFrame:
+    """The routing decisions to append: those that this version has not made yet."""
+    new = decisions.withColumn("routing_version", F.lit(version)).withColumn("code_revision", F.lit(revision))
+    return new.join(target.select("content_id", "routing_version"), ["content_id", "routing_version"], "left_anti")
+
+
+def append_runs(runs: DataFrame, children: DataFrame, root: str, stored: Callable[[DataFrame], DataFrame], key: str = "run_id") -> dict[str, int]:
+    """Append runs and what hangs on them: the children first, the runs last, so that a run in the table means that all of it is there.
+    Runs that the table has are not written again. Returns the count of each status."""
+    spark = runs.sparkSession
+    runs = stored(runs)
+    known = read_or_none(spark, f"{root}/runs", runs)
+    new = runs if known is None else stored(runs.join(known.select(key), key, "left_anti"))
+    children.join(new.select(key), key, "left_semi").write.mode("append").parquet(f"{root}/children")
+    new.write.mode("append").parquet(f"{root}/runs")
+    return {r.status: r["count"] for r in new.groupBy("status").count().collect()}
+
+
+def committed_children(spark: SparkSession, root: str, ids: list[str], key: str = "run_id") -> DataFrame:
+    """The children of runs that are in the run table, each once: what a batch that broke off left behind does not count."""
+    return spark.read.parquet(f"{root}/children").join(spark.read.parquet(f"{root}/runs").select(key), key, "left_semi").dropDuplicates(ids)
+
+
+def read_or_none(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException:
+        return None
+
+
+def written_or_shown(df: DataFrame, path: str, revision: str, write: bool = False) -> DataFrame:
+    """A dry run unless write is set: the rows as they would be written. Writing refuses a revision with changes."""
+    if write:
+        if revision.endswith("+dirty"):
+            raise ValueError("the working tree has changes")
+        df.write.mode("append").parquet(path)
+    return df

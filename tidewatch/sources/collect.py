@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from xml.etree.ElementTree import ParseError, XMLPullParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,73 @@ POST_CLASS, TEXT_CLASS, DATE_CLASS = "tgme_widget_message", "tgme_widget_message
 POST_URL = "https://t.me/"
 
 
+def fetched(sources: DataFrame, client: Callable[[], Callable[[str, bool], tuple[int, str]]], delay: float = 1.0, parallelism: int = 8) -> DataFrame:
+    """(source_id, body, status, error): one request for each source (source_id, url), some through the proxy. What goes wrong with one source is
+    its row and stops no other; status is ok, http_<code> or failed. Requests of a task are delay seconds apart."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get, first = client(), True
+        for pdf in frames:
+            out = []
+            for source, url, proxy in zip(pdf["source_id"], pdf["url"], pdf["proxy"], strict=True):
+                if not first:
+                    time.sleep(delay)
+                first = False
+                try:
+                    code, body = get(url, bool(proxy))
+                    out.append((source, body, "ok", None) if code == 200 else (source, None, f"http_{code}", None))
+                except Exception as e:  # noqa: BLE001  any error is this source's alone
+                    out.append((source, None, "failed", f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["source_id", "body", "status", "error"])
+
+    asked = sources.select("source_id", "url", T.needs_proxy(F.col("url")).alias("proxy")).repartition(parallelism, "source_id")
+    return asked.mapInPandas(run, "source_id string, body string, status string, error string")
+
+
+#: The names that a feed's fields have in either format, without their namespaces.
+_FIELDS = {"title": ("title",), "link": ("link",), "summary": ("description", "summary", "content"), "published": ("pubDate", "published", "updated", "date")}
+
+
+def entries(body: str | None) -> list[tuple[str | None, str | None, str | None, str | None]]:
+    """(link, title, summary, published) of the items or entries of a feed; one that breaks off or is malformed keeps what came before."""
+    parser, out = XMLPullParser(events=("end",)), []
+    try:
+        parser.feed(body or "")
+        parser.close()
+    except ParseError:
+        pass
+    try:
+        for _, e in parser.read_events():
+            if _local(e.tag) not in ("item", "entry"):
+                continue
+            found: dict[str, str | None] = {}
+            for name, tags in _FIELDS.items():
+                for t in tags:
+                    child = next((c for c in e if _local(c.tag) == t and (t != "link" or c.get("rel", "alternate") == "alternate")), None)
+                    if child is not None:
+                        found[name] = child.get("href") if child.get("href") else "".join(child.itertext())
+                        break
+            out.append(tuple(found.get(k) for k in ("link", "title", "summary", "published")))
+    except ParseError:
+        pass
+    return out
+
+
+def _local(tag: object) -> str:
+    return str(tag).rpartition("}")[2]
+
+
+def feed_entries(bodies: DataFrame) -> DataFrame:
+    """Fetched feeds (source_id, body) as entries in the form that parse_feed takes; RSS items and Atom entries alike."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = [(s, *e) for s, b in zip(pdf["source_id"], pdf["body"], strict=True) for e in entries(b)]
+            yield pd.DataFrame(out, columns=["source_id", "link", "title", "summary", "published"])
+
+    return bodies.select("source_id", "body").mapInPandas(run, "source_id string, link string, title string, summary string, published string")
+
+
 def read_feed(spark: SparkSession, path: str, source_id: str) -> DataFrame:
     """Entries of RSS files, in the form that parse_feed takes. Files without items give no rows."""
     items = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)

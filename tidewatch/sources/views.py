@@ -32,8 +32,12 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The one registered embedding model of the test tables.
+MODEL_ID = 1
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("content_id"), "embedding", "label")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("content_id"), "embedding", "label", F.lit(MODEL_ID).alias("embedding_model_id"))
 
 
 def prototypes(spark: SparkSession, sf_dir: str) -> dict[str, list[tuple[str, list[float]]]]:
@@ -58,8 +62,10 @@ def read_prototype_sets(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("m").alias("set_name", "texts")).select("set_name", F.posexplode("texts").alias("ordinal", "text"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: str, where: str | None = None) -> DataFrame:
+    """One object a line; lines that are none raise."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return rows if where is None else rows.where(where)
 
 
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
@@ -79,5 +85,5 @@ def parse_feed(entries: DataFrame) -> DataFrame:
     return entries.select(
         "source_id", F.coalesce(T.canonical_url(F.col("link")), F.lit("")).alias("external_ref"), "title",
         T.canonical_text(F.col("title"), T.strip_html(F.coalesce("summary", F.lit("")))).alias("canonical_text"),
-        F.try_to_timestamp(F.regexp_replace("published", r"^[A-Za-z]+,\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")).alias("published_at"),
+        F.coalesce(F.try_to_timestamp(F.regexp_replace("published", r"^[A-Za-z]+,\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("published")).alias("published_at"),
     )

@@ -20,12 +20,20 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 OCCURRENCES = "source_id string, external_ref long, content_id long, content_hash string, collected_at timestamp"
+REQUIRED = ("doc_id", "source_id", "external_ref", "arrival", "content_hash", "collected_at")
 CONTENT = "content_id long, content_hash string, canonical_text string, first_seen timestamp"
 
 
 def ingest_batch(batch: DataFrame, root: str) -> dict[str, int]:
-    """Append one batch: occurrences and content by anti-join, raw rows with their outcome last. A replayed batch adds nothing but raw rows."""
+    """Append one batch: occurrences and content by anti-join, raw rows with their outcome last. A replayed batch adds nothing but raw rows.
+    Deliveries that lack what ingestion needs go to a table of their own with the reason and stop nothing."""
     spark = batch.sparkSession
+    lacks = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED]), lambda x: x.isNotNull())
+    bad = batch.withColumn("reason", F.concat(F.lit("no "), F.array_join(lacks, ", "))).where(F.size(lacks) > 0)
+    n_bad = bad.count()
+    if n_bad:
+        bad.write.mode("append").parquet(f"{root}/dead_letter")
+        batch = batch.dropna(subset=list(REQUIRED))
     occ, content = stored(spark, f"{root}/occurrences", OCCURRENCES), stored(spark, f"{root}/content", CONTENT)
     # a cache would be refreshed by the appends below and then see them; a staged table is not
     staged = f"{root}/_staging/{uuid.uuid4().hex}"
@@ -36,7 +44,8 @@ def ingest_batch(batch: DataFrame, root: str) -> dict[str, int]:
     known = stored(spark, f"{root}/content", CONTENT)
     ingest.item_occurrences(done, known).write.mode("append").parquet(f"{root}/occurrences")
     done.write.mode("append").parquet(f"{root}/raw")
-    return {r.outcome: r["count"] for r in done.groupBy("outcome").count().collect()}
+    counts = {r.outcome: r["count"] for r in done.groupBy("outcome").count().collect()}
+    return counts | {"dead_letter": n_bad} if n_bad else counts
 
 
 def ingest_stream(deliveries: DataFrame, root: str, checkpoint: str, once: bool = True, every: str = "300 seconds"):
