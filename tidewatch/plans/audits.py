@@ -26,15 +26,15 @@ PROVENANCE = SOURCES + "," + ROUTED + ", prov AS (SELECT DISTINCT o.content_id F
 def flagged(spark, sf):
     """noised with inside: was the content seen in a source of contour 2?"""
     occ = Q.ingested(spark, sf)[2]
-    seen = occ.join(F.broadcast(V.sources(spark, sf).where("contour_id = 2").select("source_id")), "source_id")
+    seen = occ.join(V.sources(spark, sf).where("contour_id = 2").select("source_id"), "source_id")
     return audits.with_flag(Q.noised(spark, sf), "content_id", seen, "inside")
 
 
-@query("keyword_audit", ROUTED + f", k AS (SELECT r.content_id, list_filter([{', '.join(repr(k) for k in KEYWORDS)}], lambda x: contains(lower(left(c.canonical_text, 200)), x)) AS m FROM routed r JOIN content c ON c.content_id = r.content_id WHERE r.decision = 'skip') SELECT content_id, array_to_string(m, ',') AS matched FROM k WHERE len(m) > 0")
+@query("keyword_audit", ROUTED + f", k AS (SELECT r.content_id, list_filter([{', '.join(repr(k) for k in KEYWORDS)}], lambda x: contains(lower(c.canonical_text), x)) AS m FROM routed r JOIN content c ON c.content_id = r.content_id WHERE r.decision = 'skip') SELECT content_id, array_to_string(m, ',') AS matched FROM k WHERE len(m) > 0")
 def _(spark, sf):
-    content = Q.ingested(spark, sf)[1].select("content_id", "canonical_text")
+    content = Q.contents(spark, sf).select("content_id", "canonical_text")
     rows = Q.routed(spark, sf).where("decision = 'skip'").select("content_id").join(content, "content_id")
-    return audits.keyword_hits(rows, F.substring("canonical_text", 1, 200), KEYWORDS).select("content_id", F.array_join("matched", ",").alias("matched"))
+    return audits.keyword_hits(rows, F.col("canonical_text"), KEYWORDS).select("content_id", F.array_join("matched", ",").alias("matched"))
 
 
 @query("score_quadrants", PROVENANCE + ", cut AS (SELECT list_sort(list(noise_score))[1 + CAST(floor(0.75 * (count(*) - 1)) AS INTEGER)] AS hi, list_sort(list(noise_score))[1 + CAST(floor(0.5 * (count(*) - 1)) AS INTEGER)] AS mid FROM noised), q AS (SELECT CASE WHEN noise_score >= hi AND inside THEN 'high_in' WHEN noise_score >= hi THEN 'high_out' WHEN noise_score < mid AND inside THEN 'low_in' END AS quadrant FROM flagged, cut) SELECT quadrant, count(*) AS n FROM q WHERE quadrant IS NOT NULL GROUP BY quadrant")
@@ -70,11 +70,10 @@ def _(spark, sf):
     return audits.pool(hits.where("object_id = 6"), hits.where("object_id <> 6"), contours.rule_hits(norm, RULES).where("facet in ('contact', 'licence')"))
 
 
-@query("extraction_report", "v AS (SELECT doc_id % 3 <> 0 AS ok FROM documents) SELECT count(*) AS n, count(*) FILTER (WHERE ok) AS n_valid, CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE ok) / count(*), 3) END AS pass_rate FROM v")
+@query("extraction_report", Q.CLAIM_ERRORS + ", v AS (SELECT len(errors) = 0 AS ok FROM ce) SELECT count(*) AS n, count(*) FILTER (WHERE ok) AS n_valid, CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE ok) / count(*), 3) END AS pass_rate FROM v")
 def _(spark, sf):
-    raw = F.to_json(F.struct(F.lit("claim-extraction/1").alias("schema_version"), F.col("doc_id").cast("string").alias("evidence_id"), F.array().cast("array<string>").alias("claims")))
-    d = V.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("oops")).otherwise(raw).alias("raw"), "text")
-    return audits.run_report(d.select(validators.claim_errors_udf("raw", F.col("doc_id").cast("string"), "text").alias("errors")), F.size("errors") == 0)
+    told = Q.claim_responses(spark, sf).select(validators.claim_errors_udf("raw", F.col("doc_id").cast("string"), "text").alias("errors"))
+    return audits.run_report(told, F.size("errors") == 0)
 
 
 @query("alias_modes", f"al(reference_id, object_id, alias) AS (VALUES {Q._ALIAS_ROWS}), ob(object_id, canonical_name) AS (VALUES {', '.join(f'({o}, {c!r})' for o, c in CANONICAL)}) SELECT CAST(reference_id AS INTEGER) AS reference_id, CASE alias " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RENAMED.items()) + " ELSE alias END AS alias, CASE WHEN ob.object_id IS NULL THEN 'exact' ELSE 'both' END AS match_mode FROM al LEFT JOIN ob ON ob.object_id = al.object_id AND ob.canonical_name = al.alias")
@@ -84,8 +83,8 @@ def _(spark, sf):
     return audits.renamed(out, "alias", RENAMED).select("reference_id", "alias", "match_mode")
 
 
-@query("normalized_terms", "t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-zа-яёіїєґ0-9]+(?:''[a-zа-яёіїєґ0-9]+)*')) AS w FROM documents WHERE lang IN ('en', 'de', 'fr')), m AS (SELECT lang, CASE WHEN w IN ('the', 'die') THEN w WHEN lang = 'de' AND w = 'und' THEN 'sowie' WHEN lang = 'en' AND w = 'with' THEN 'by' ELSE w END AS term FROM t) SELECT lang, term, count(*) AS n FROM m GROUP BY lang, term HAVING count(*) >= 20")
+@query("normalized_terms", "t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-zа-яёіїєґ0-9]+(?:''[a-zа-яёіїєґ0-9]+)*')) AS w FROM documents), m AS (SELECT lang, CASE WHEN lang NOT IN ('en', 'de', 'fr') OR w IN ('the', 'die') THEN w WHEN lang = 'de' AND w = 'und' THEN 'sowie' WHEN lang = 'en' AND w = 'with' THEN 'by' ELSE w END AS term FROM t) SELECT lang, term, count(*) AS n FROM m GROUP BY lang, term")
 def _(spark, sf):
-    d = V.table(spark, sf, "documents").where(F.col("lang").isin(LANGUAGES))
+    d = V.table(spark, sf, "documents")
     terms = d.select("lang", F.explode(T.normalized_tokens(F.col("text"), F.col("lang"), LANGUAGES, KEPT, LEMMA_RULES)).alias("term"))
-    return terms.groupBy("lang", "term").agg(F.count("*").alias("n")).where("n >= 20")
+    return terms.groupBy("lang", "term").agg(F.count("*").alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import contours, events, expectations, ingest, pairs, reporting, routing, search, validators, writes
+from ..sources import registry
 from ..sources import views as V
 from ..streaming import jobs
 
@@ -25,7 +26,13 @@ NOISE = ["src", "http", "www", "der", "pour"]
 ALIASES = [(1, 1, "that"), (2, 1, "with"), (3, 2, "nicht"), (4, 2, "einheit"), (5, 3, "para"), (6, 3, "los"), (7, 4, "elle"), (8, 4, "pour"), (9, 5, "from"), (10, 5, "for"), (11, 6, "mail3"), (12, 6, "which")]
 RULES = {"money": [r"\b[0-9]{4} ?[0-9]{4}"], "contact": [r"@mail[0-9]", r"\+1 \("], "licence": [r"licen[cs]e", r"copyright"], "list": [r" \| "]}
 RULE_CONTOUR = {"money": 2, "contact": 3, "licence": 4, "list": 2}
-NUMBERS = {"7 unit": 7, "22 unit": 22, "555 unit": 555}
+NUMBERED = ["1 unit", "555 depot", " 233 corps", "0 base", "staff without a number"]
+UNIT_TERMS = ["tion", "ment"]
+CUES = {"mail": r"(?<!\w)mail[0-9]", "call": r"\+1 \(", "card": r"[0-9]{4} [0-9]{4} [0-9]{4}"}
+BOILERPLATE = [
+    {"name": "footer", "pattern": r"The and attion to thanedble the, anea\."}, {"name": "bound", "pattern": "Nicht aulich für sch", "source_names": ["src3", "src8"]},
+    {"name": "mail", "pattern": r"[a-z0-9.]+@mail[0-9][a-z.]*"},
+]
 PAIRS_N = 400
 PER_PAGE_ENTITIES = ["&middot;", "&copy;", "&quot;", "&amp;"]
 
@@ -40,15 +47,25 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+_OWN_DIR: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or one folder of our own where that is unset and all runs in one process."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if home:
+        return home.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _OWN_DIR:
+        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tidewatch-"))
+    return _OWN_DIR[0]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from a table in the shared folder, so that iterations do not grow the plan."""
+    """df from a table in the shared folder, so that iterations do not grow the plan and nothing is computed twice."""
     spark = df.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not home:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        home = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-    path = f"{home}/engine-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -91,12 +108,12 @@ CLAIMS = (
     + INGEST
     + """,
 csets AS (SELECT o.content_id, list_sort(list(DISTINCT s.contour_id)) AS contours FROM occ o JOIN sources s ON s.source_id = o.source_id WHERE s.contour_id IS NOT NULL GROUP BY o.content_id),
-claims AS (SELECT e.vec_id AS claim_id, e.embedding, c.contours FROM embeddings e JOIN csets c ON c.content_id = e.vec_id)"""
+claims AS (SELECT e.vec_id AS claim_id, e.vec_id // 2 AS run_id, e.embedding, c.contours FROM embeddings e JOIN csets c ON c.content_id = e.vec_id)"""
 )
 CANDIDATES = (
     CLAIMS
     + f""",
-scored AS (SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, round({DOT.format("a.embedding", "b.embedding")}, 6) AS score FROM claims a JOIN claims b ON a.claim_id < b.claim_id WHERE NOT list_has_any(a.contours, b.contours)),
+scored AS (SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, round({DOT.format("a.embedding", "b.embedding")}, 6) AS score FROM claims a JOIN claims b ON a.claim_id < b.claim_id WHERE a.run_id <> b.run_id AND NOT list_has_any(a.contours, b.contours)),
 cand AS (SELECT * FROM scored ORDER BY score DESC, claim_a, claim_b LIMIT {PAIRS_N})"""
 )
 JUDGED = (
@@ -115,15 +132,22 @@ overlap AS (SELECT a.seed_id AS seed_a, b.seed_id AS seed_b, list_sort(list(DIST
 )
 
 
+def contents(spark: SparkSession, sf: str) -> DataFrame:
+    """New content, for plans that read it once."""
+    return ingest.content_items(ingest.outcomes(V.raw_items(spark, sf)))
+
+
 def ingested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    done = ingest.outcomes(V.raw_items(spark, sf))
+    """(outcomes, content, occurrences) from outcomes that are staged once."""
+    done = checkpointed(ingest.outcomes(V.raw_items(spark, sf)))
     content = ingest.content_items(done)
     return done, content, ingest.item_occurrences(done, content)
 
 
 def eligible(spark: SparkSession, sf: str) -> DataFrame:
-    content = ingested(spark, sf)[1]
-    return V.vectors(spark, sf).where("content_id >= 56").join(content.select("content_id"), "content_id", "left_semi")
+    """Vectors of the one registered model whose content is stored."""
+    v, c = V.vectors(spark, sf).where("content_id >= 56").alias("v"), contents(spark, sf).alias("c")
+    return v.join(c, (F.col("v.content_id") == F.col("c.content_id")) & (F.col("v.embedding_model_id") == V.MODEL_ID), "left_semi")
 
 
 def routed(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,15 +162,16 @@ def noised(spark: SparkSession, sf: str) -> DataFrame:
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     _, _, occ = ingested(spark, sf)
     sets = pairs.group_sets(occ, V.sources(spark, sf))
-    return V.vectors(spark, sf).join(sets, "content_id").select(F.col("content_id").alias("claim_id"), "embedding", "contours")
+    # two neighbouring contents stand for one run's claims
+    return V.vectors(spark, sf).join(sets, "content_id").select(F.col("content_id").alias("claim_id"), F.floor(F.col("content_id") / 2).alias("run_id"), "embedding", "contours")
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.ranked_pairs(claims(spark, sf), PAIRS_N)
+    return pairs.ranked_pairs(claims(spark, sf), PAIRS_N, checkpointed)
 
 
 def seeded(spark: SparkSession, sf: str) -> DataFrame:
-    return events.seeds(events.qualifying_edges(events.judged(candidates(spark, sf))))
+    return checkpointed(events.seeds(events.qualifying_edges(events.judged(candidates(spark, sf)))))
 
 
 # ---------------------------------------------------------------- routing
@@ -227,9 +252,9 @@ def _(spark, sf):
     return both.select("content_id", "category", "noise_score", "margin").orderBy(F.desc("noise_score"), "content_id").limit(40)
 
 
-@query("routing_delta", ROUTED + " SELECT round(avg(abs(rel - irr)), 6) AS mean_abs, round(max(abs(rel - irr)), 6) AS max_abs, count(*) AS n FROM maxes")
+@query("routing_delta", ROUTED + " SELECT round(avg(abs(rel - irr)), 6) AS mean_abs, round(max(abs(rel - irr)), 6) AS max_abs, count(*) AS n, max(abs(rel - irr)) > 0.01 AS warn FROM maxes")
 def _(spark, sf):
-    return routed(spark, sf).agg(F.round(F.avg(F.abs("margin")), 6).alias("mean_abs"), F.round(F.max(F.abs("margin")), 6).alias("max_abs"), F.count("*").alias("n"))
+    return routed(spark, sf).agg(F.round(F.avg(F.abs("margin")), 6).alias("mean_abs"), F.round(F.max(F.abs("margin")), 6).alias("max_abs"), F.count("*").alias("n"), (F.max(F.abs("margin")) > 0.01).alias("warn"))
 
 
 # ---------------------------------------------------------------- ingestion
@@ -247,7 +272,7 @@ def _(spark, sf):
 
 @query("content_items", INGEST + " SELECT content_id, content_hash, length(canonical_text) AS n_chars FROM content")
 def _(spark, sf):
-    return ingested(spark, sf)[1].select("content_id", "content_hash", F.length("canonical_text").cast("long").alias("n_chars"))
+    return contents(spark, sf).select("content_id", "content_hash", F.length("canonical_text").cast("long").alias("n_chars"))
 
 
 @query("item_occurrences", INGEST + " SELECT source_id, external_ref, content_id FROM occ")
@@ -260,10 +285,10 @@ def _(spark, sf):
     return V.active_sources(V.sources(spark, sf), "rss").select("source_id", "source_type", "source_group", "contour_id")
 
 
-@query("insert_if_absent", RAW + ", t AS (SELECT DISTINCT content_hash FROM raw WHERE doc_id % 3 = 0), b AS (SELECT content_hash, min(arrival) AS arrival FROM raw WHERE doc_id % 2 = 0 GROUP BY content_hash) SELECT content_hash, arrival FROM b WHERE content_hash NOT IN (SELECT content_hash FROM t)")
+@query("insert_if_absent", RAW + ", t AS (SELECT DISTINCT content_hash FROM raw WHERE doc_id % 3 = 0), b AS (SELECT content_hash, min(arrival) AS arrival FROM raw GROUP BY content_hash) SELECT content_hash, arrival FROM b WHERE content_hash NOT IN (SELECT content_hash FROM t)")
 def _(spark, sf):
     raw = V.raw_items(spark, sf).select("doc_id", "content_hash", "arrival")
-    return writes.insert_if_absent(raw.where("doc_id % 3 = 0"), raw.where("doc_id % 2 = 0"), ["content_hash"], [F.col("arrival")]).select("content_hash", "arrival")
+    return writes.insert_if_absent(raw.where("doc_id % 3 = 0"), raw, ["content_hash"], [F.col("arrival")]).select("content_hash", "arrival")
 
 
 @query("registry_upsert", SOURCES + ", fresh AS (SELECT source_id, 'updated' AS source_group, n FROM sources WHERE n % 3 = 0 UNION ALL SELECT 'new' || CAST(n AS VARCHAR), 'added', n FROM sources WHERE n < 4) SELECT coalesce(s.source_id, f.source_id) AS source_id, coalesce(f.source_group, s.source_group) AS source_group, coalesce(s.n, f.n) AS n FROM sources s FULL JOIN fresh f ON s.source_id = f.source_id")
@@ -302,9 +327,15 @@ def _(spark, sf):
     return V.raw_items(spark, sf).where(F.length("canonical_text") < 30).select("doc_id", F.length("canonical_text").cast("long").alias("n_chars"))
 
 
-@query("previews", INGEST + " SELECT content_id, CASE WHEN length(canonical_text) > 40 THEN left(canonical_text, 40) || '…' ELSE canonical_text END AS preview FROM content")
+_CUT = "CASE WHEN length({0}) > {1} THEN {2} || '…' ELSE {0} END"
+_PREVIEWS = INGEST + ", p AS (SELECT content_id, canonical_text AS x, CASE WHEN content_id % 2 = 0 THEN left(canonical_text, 60) ELSE '' END AS t FROM content), q AS (SELECT *, CASE WHEN t <> '' THEN t ELSE x END AS y FROM p) SELECT content_id, " + _CUT.format("x", 40, "left(x, 40)") + " AS preview, " + _CUT.format("y", 50, "left(y, 50)") + " AS titled, " + _CUT.format("x", 30, "rtrim(left(x, 30))") + " AS collapsed FROM q"
+
+
+@query("previews", _PREVIEWS)
 def _(spark, sf):
-    return ingested(spark, sf)[1].select("content_id", T.preview(F.col("canonical_text"), 40).alias("preview"))
+    x = F.col("canonical_text")
+    title = F.when(F.col("content_id") % 2 == 0, F.substring(x, 1, 60)).otherwise("")
+    return contents(spark, sf).select("content_id", T.preview(x, 40).alias("preview"), T.titled_preview(title, x, 50).alias("titled"), T.collapsed_preview(x, 30).alias("collapsed"))
 
 
 _SPAN = "t AS (SELECT doc_id, text, split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS span FROM documents WHERE text <> ''), c AS (SELECT *, CASE WHEN length(span) > 0 THEN (length(text) - length(replace(text, span, ''))) // length(span) ELSE 0 END AS k FROM t)"
@@ -336,10 +367,13 @@ def _(spark, sf):
     return V.table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(T.strip_fence(fenced), 256).alias("inside"))
 
 
-@query("quotes", "q AS (SELECT page_id, list_filter(list_concat(regexp_extract_all(html, '«([^»]*)»', 1), regexp_extract_all(html, '\"([^\"]*)\"', 1)), lambda x: x <> '') AS qs FROM pages) SELECT page_id, len(qs) AS n_quotes, qs[1] AS first_quote FROM q")
+_QUOTED = "regexp_extract_all(html, '«([^»]+)»|\"([^\"]+)\"', {0})"
+
+
+@query("quotes", f"q AS (SELECT page_id, list_transform(list_zip({_QUOTED.format(1)}, {_QUOTED.format(2)}), lambda z: CASE WHEN coalesce(z[1], '') <> '' THEN z[1] ELSE z[2] END) AS qs FROM pages) SELECT page_id, len(qs) AS n_quotes, qs[1] AS first_quote, qs[-1] AS last_quote FROM q")
 def _(spark, sf):
     q = V.table(spark, sf, "pages").select("page_id", T.quotes(F.col("html")).alias("qs"))
-    return q.select("page_id", F.size("qs").cast("long").alias("n_quotes"), F.try_element_at("qs", F.lit(1)).alias("first_quote"))
+    return q.select("page_id", F.size("qs").cast("long").alias("n_quotes"), F.try_element_at("qs", F.lit(1)).alias("first_quote"), F.try_element_at("qs", F.lit(-1)).alias("last_quote"))
 
 
 # ---------------------------------------------------------------- backlogs and linkage
@@ -348,20 +382,20 @@ def _(spark, sf):
 @query("embed_backlog", INGEST + " SELECT content_id, first_seen FROM content c WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = c.content_id AND e.vec_id % 2 = 0) ORDER BY first_seen, content_id LIMIT 100")
 def _(spark, sf):
     done = V.vectors(spark, sf).where("content_id % 2 = 0")
-    return writes.backlog(ingested(spark, sf)[1].select("content_id", "first_seen"), done, ["content_id"], [F.col("first_seen"), F.col("content_id")], 100)
+    return writes.backlog(contents(spark, sf).select("content_id", "first_seen"), done, ["content_id"], [F.col("first_seen"), F.col("content_id")], 100)
 
 
 @query("claim_backlog", SOURCES + "," + ROUTED + ", rec AS (SELECT o.content_id, max(o.collected_at) AS recent FROM occ o JOIN sources s ON s.source_id = o.source_id WHERE s.contour_id = 2 GROUP BY o.content_id) SELECT r.content_id, r.decision, rec.recent FROM routed r JOIN rec ON rec.content_id = r.content_id WHERE r.decision IN ('analyze', 'maybe') ORDER BY rec.recent DESC, r.content_id LIMIT 50")
 def _(spark, sf):
     _, _, occ = ingested(spark, sf)
-    recent = occ.join(F.broadcast(V.sources(spark, sf).where("contour_id = 2").select("source_id")), "source_id").groupBy("content_id").agg(F.max("collected_at").alias("recent"))
+    recent = occ.join(V.sources(spark, sf).where("contour_id = 2").select("source_id"), "source_id").groupBy("content_id").agg(F.max("collected_at").alias("recent"))
     rows = routed(spark, sf).where(F.col("decision").isin("analyze", "maybe")).join(recent, "content_id")
     return rows.select("content_id", "decision", "recent").orderBy(F.desc("recent"), "content_id").limit(50)
 
 
 @query("contour_recency", SOURCES + "," + INGEST + " SELECT s.contour_id, max(o.collected_at) AS recent, count(DISTINCT o.content_id) AS n FROM occ o JOIN sources s ON s.source_id = o.source_id GROUP BY s.contour_id")
 def _(spark, sf):
-    j = ingested(spark, sf)[2].join(F.broadcast(V.sources(spark, sf)), "source_id")
+    j = ingested(spark, sf)[2].join(V.sources(spark, sf), "source_id")
     return j.groupBy("contour_id").agg(F.max("collected_at").alias("recent"), F.count_distinct("content_id").alias("n"))
 
 
@@ -374,7 +408,7 @@ def _query_vector(spark, sf):
 
 @query("semantic_topk", INGEST + f" SELECT e.vec_id AS content_id, round({DOT.format('e.embedding', _Q0)}, 6) AS similarity FROM embeddings e JOIN content c ON c.content_id = e.vec_id ORDER BY similarity DESC, content_id LIMIT 10")
 def _(spark, sf):
-    v = V.vectors(spark, sf).join(ingested(spark, sf)[1].select("content_id"), "content_id", "left_semi")
+    v = V.vectors(spark, sf).join(contents(spark, sf).select("content_id"), "content_id", "left_semi")
     return search.top_k(v, _query_vector(spark, sf), 10)
 
 
@@ -450,7 +484,7 @@ def _(spark, sf):
 
 @query("seed_order", SEEDS + " SELECT seed_id, claim_id, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY role DESC, rank NULLS FIRST) AS INTEGER) AS place FROM members")
 def _(spark, sf):
-    return routing.top_per_group(events.seed_members(seeded(spark, sf)), ["seed_id"], [F.desc("role"), F.asc_nulls_first("rank")], 1000, "place").select("seed_id", "claim_id", "place")
+    return routing.placed(events.seed_members(seeded(spark, sf)), ["seed_id"], [F.desc("role"), F.asc_nulls_first("rank")], "place").select("seed_id", "claim_id", "place")
 
 
 @query("overlap_pairs", SEEDS + " SELECT seed_a, seed_b, array_to_string(shared, ',') AS shared FROM overlap")
@@ -474,7 +508,7 @@ def _(spark, sf):
 
 
 def _norm(spark, sf):
-    return contours.norm(ingested(spark, sf)[1])
+    return contours.norm(contents(spark, sf))
 
 
 _NORM = INGEST + ", nc AS (SELECT content_id, replace(lower(canonical_text), 'ß', 'ss') AS t FROM content)"
@@ -509,16 +543,45 @@ def _(spark, sf):
     return noised(spark, sf).join(anchored, "content_id", "left_semi")
 
 
-@query("structural_hits", _NORM + " " + " UNION ALL ".join(f"SELECT content_id, '{n}' AS name FROM nc WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_]){k}($|[^\\p{{L}}\\p{{N}}_].{{0,79}}?(mail|555)|(mail|555))|(mail|555)') AND regexp_matches(t, '(?s)(^|[^\\p{{L}}\\p{{N}}_]){k}([^\\p{{L}}\\p{{N}}_].{{0,79}}?)(mail|555)') OR regexp_matches(t, '(?s)(mail|555)(.{{0,79}}?[^\\p{{L}}\\p{{N}}_]){k}($|[^\\p{{L}}\\p{{N}}_])')" for n, k in NUMBERS.items()))
+_W, _UNITS = r"[^\p{L}\p{N}_]", "(" + "|".join(UNIT_TERMS) + ")"
+_STRUCT = " UNION ALL ".join(
+    f"SELECT content_id, '{name}' AS name FROM nc WHERE regexp_matches(t, '(^|{_W}){k}{_W}.{{0,79}}{_UNITS}') OR regexp_matches(t, '{_UNITS}.{{0,79}}{_W}{k}($|{_W})')" for name in NUMBERED if (k := contours.number_of(name))
+)
+
+
+@query("structural_hits", _NORM + " " + _STRUCT)
+def _(spark, sf):
+    return contours.structural_hits(_norm(spark, sf), NUMBERED, UNIT_TERMS)
+
+
+_CUES_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{n}' END" for n, p in (("mail", f"(^|{_W})mail[0-9]"), *((n, p) for n, p in CUES.items() if n != "mail"))) + "], lambda x: x IS NOT NULL)"
+
+
+@query("lexical_cues", _NORM + f", l AS (SELECT content_id, {_CUES_SQL} AS labels FROM nc) SELECT content_id, array_to_string(labels, ',') AS labels FROM l WHERE len(labels) > 0")
 def _(spark, sf):
-    return contours.structural_hits(_norm(spark, sf), NUMBERS, ["mail", "555"])
+    return contours.lexical_cues(_norm(spark, sf), CUES).select("content_id", F.array_join("labels", ",").alias("labels"))
+
+
+_GAP = (
+    ROUTED
+    + _HITS[len(INGEST) :]
+    + f""", ex AS (SELECT DISTINCT content_id FROM hits WHERE object_id = 1),
+lx AS (SELECT content_id, {_CUES_SQL} AS labels FROM nc), st AS ({_STRUCT}), sn AS (SELECT content_id, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM st GROUP BY content_id),
+top AS (SELECT content_id FROM noised WHERE content_id NOT IN (SELECT content_id FROM ex) ORDER BY noise_score DESC, content_id DESC LIMIT 120),
+j AS (SELECT c.content_id, coalesce(n.noise_score, -1.0) AS score, array_to_string(lx.labels, ',') AS labels, coalesce(sn.names, '') AS names,
+    CAST(len(lx.labels) > 0 AS INTEGER) + CAST(sn.names IS NOT NULL AS INTEGER) + CAST(top.content_id IS NOT NULL AS INTEGER) AS signals
+    FROM content c JOIN lx ON lx.content_id = c.content_id LEFT JOIN sn ON sn.content_id = c.content_id LEFT JOIN top ON top.content_id = c.content_id LEFT JOIN noised n ON n.content_id = c.content_id WHERE c.content_id NOT IN (SELECT content_id FROM ex))
+SELECT * FROM j WHERE signals > 0"""
+)
 
 
-@query("recall_gap", _HITS + f", ru AS ({_RULES_SQL}), sg AS (SELECT content_id, CAST(content_id IN (SELECT content_id FROM hits WHERE object_id = 6) AS INTEGER) AS exact, CAST(content_id IN (SELECT content_id FROM ru WHERE facet = 'contact') AS INTEGER) AS lexical, CAST(content_id IN (SELECT content_id FROM ru WHERE facet = 'list') AS INTEGER) AS listed FROM nc) SELECT *, exact + lexical + listed AS signals FROM sg WHERE exact + lexical + listed > 0")
+@query("recall_gap", _GAP)
 def _(spark, sf):
-    n = _norm(spark, sf)
-    rules = contours.rule_hits(n, RULES)
-    return contours.signal_counts(n, exact=contours.alias_hits(n, ALIASES).where("object_id = 6"), lexical=rules.where("facet = 'contact'"), listed=rules.where("facet = 'list'"))
+    n = checkpointed(_norm(spark, sf).select("content_id", "norm"))
+    exact = contours.alias_hits(n, ALIASES).where("object_id = 1")
+    semantic = noised(spark, sf).select("content_id", F.col("noise_score").alias("score"))
+    found = contours.recall_gap(n, semantic, exact, contours.lexical_cues(n, CUES), contours.structural_hits(n, NUMBERED, UNIT_TERMS))
+    return found.select("content_id", "signals", "score", F.array_join("labels", ",").alias("labels"), F.array_join("names", ",").alias("names"))
 
 
 @query("anchor_ablation", ROUTED + ", nc AS (SELECT content_id, replace(lower(canonical_text), 'ß', 'ss') AS t FROM content), top AS (SELECT * FROM (SELECT n.content_id, n.category, row_number() OVER (PARTITION BY category ORDER BY noise_score DESC, n.content_id) AS rank FROM noised n) WHERE rank <= 100) SELECT category, count(*) AS n, count(*) FILTER (WHERE regexp_matches(t, '@mail[0-9]|\\+1 \\(', 'i')) AS n_pass FROM top JOIN nc USING (content_id) GROUP BY category")
@@ -546,14 +609,10 @@ def _(spark, sf):
     return eligible(spark, sf).select(best.alias("l")).agg(F.count("*").alias("n"), F.count_if(F.col("l")[0] - F.col("l")[1] < 0.03).alias("ambiguous"))
 
 
-@query("hierarchy_closure", "RECURSIVE e(child, parent) AS (SELECT CAST(x AS INTEGER), CAST(x // 3 AS INTEGER) FROM range(1, 40) t(x)), up(node, ancestor, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT up.node, e.parent, up.depth + 1 FROM up JOIN e ON e.child = up.ancestor) SELECT node, ancestor, depth FROM up")
+@query("hierarchy_closure", "RECURSIVE e(child, parent) AS (SELECT vec_id, vec_id // 3 FROM embeddings WHERE vec_id > 0), up(node, ancestor, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT up.node, e.parent, up.depth + 1 FROM up JOIN e ON e.child = up.ancestor) SELECT node, ancestor, depth FROM up")
 def _(spark, sf):
-    edges = spark.range(1, 40).select(F.col("id").cast("int").alias("child"), F.floor(F.col("id") / 3).cast("int").alias("parent"))
-    up = level = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    for d in range(2, 5):  # the registry's depth
-        level = level.join(edges, level["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor"), F.lit(d).alias("depth"))
-        up = up.union(level)
-    return up
+    edges = V.vectors(spark, sf).where("content_id > 0").select(F.col("content_id").alias("child"), F.floor(F.col("content_id") / 3).alias("parent"))
+    return registry.closure(edges, checkpointed)
 
 
 @query("seeded_sample", ROUTED + " SELECT content_id, decision FROM routed ORDER BY md5(CAST(content_id AS VARCHAR) || ':42'), content_id LIMIT 50")
@@ -572,12 +631,23 @@ def _(spark, sf):
 # ---------------------------------------------------------------- reports
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+def _clean_sql(text: str, names: str) -> str:
+    """The cleaning of a text: bound rules, general rules, source names, white space."""
+    for r in sorted(BOILERPLATE, key=lambda r: not r.get("source_names")):
+        gone = f"regexp_replace({text}, '{r['pattern']}', ' ', 'gis')"
+        text = f"(CASE WHEN list_has_any({names}, {r['source_names']!r}) THEN {gone} ELSE {text} END)" if r.get("source_names") else gone
+    # a source's name in these tables is a word of letters and digits
+    text = f"regexp_replace({text}, '\\b(' || array_to_string({names}, '|') || ')\\b', ' ', 'gi')"
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
 DOCS = (
     SOURCES
     + ","
     + INGEST
-    + """,
-rd AS (SELECT DISTINCT o.content_id, s.source_group AS grp, c.canonical_text FROM occ o JOIN sources s ON s.source_id = o.source_id JOIN content c ON c.content_id = o.content_id WHERE s.source_group IN ('group_a', 'group_b')),
+    + f""",
+seen AS (SELECT o.content_id, s.source_group AS grp, list_sort(list(DISTINCT s.source_id)) AS names FROM occ o JOIN sources s ON s.source_id = o.source_id WHERE s.source_group IN ('group_a', 'group_b') GROUP BY ALL),
+rd AS (SELECT content_id, grp, {_clean_sql("canonical_text", "names")} AS canonical_text FROM seen JOIN content USING (content_id)),
 tok AS (SELECT content_id, grp, regexp_extract_all(lower(canonical_text), '[a-zа-яёіїєґ0-9]+(?:''[a-zа-яёіїєґ0-9]+)*') AS t FROM rd)"""
 )
 _OK = f"(length(replace(x, '''', '')) >= 2 AND NOT list_contains([{_STOP}], x))"
@@ -597,7 +667,7 @@ _COUNTS = ", tc AS (SELECT grp, term, count(*) AS tf, count(DISTINCT content_id)
 
 def _report(spark, sf):
     _, content, occ = ingested(spark, sf)
-    return reporting.documents(content, occ, V.sources(spark, sf), ["group_a", "group_b"])
+    return checkpointed(reporting.cleaned(reporting.documents(content, occ, V.sources(spark, sf), ["group_a", "group_b"]), BOILERPLATE).drop("names"))
 
 
 def _top_terms(n: int, min_df: int):
@@ -631,11 +701,15 @@ half AS (SELECT content_id, first_seen, CASE WHEN content_id % 2 = 0 THEN 'new'
 rd AS (SELECT content_id, grp, canonical_text FROM half), tok AS (SELECT content_id, grp, regexp_extract_all(lower(canonical_text), '[a-zа-яёіїєґ0-9]+(?:''[a-zа-яёіїєґ0-9]+)*') AS t FROM rd)""" + _term_sql(1)[len(DOCS):]
 
 
-@query("temporal_shift", _SHIFT + _COUNTS + _ALIGN.format(a="new", b="old") + _ENDS)
+_DELTA = "round(CASE WHEN n_a > 0 THEN 100.0 * df_a / n_a ELSE 0 END - CASE WHEN n_b > 0 THEN 100.0 * df_b / n_b ELSE 0 END, 6)"
+_MOVED = _ENDS.replace("score DESC, df_a DESC", "score DESC, delta DESC, df_a DESC").replace("score, df_b DESC", "score, delta, df_b DESC")
+
+
+@query("temporal_shift", _SHIFT + _COUNTS + _ALIGN.format(a="new", b="old").replace(" AS score FROM al", " AS score, " + _DELTA + " AS delta FROM al") + _MOVED)
 def _(spark, sf):
-    docs = ingested(spark, sf)[1].select("content_id", F.when(F.col("content_id") % 2 == 0, "new").otherwise("old").alias("grp"), "canonical_text")
+    docs = contents(spark, sf).select("content_id", F.when(F.col("content_id") % 2 == 0, "new").otherwise("old").alias("grp"), "canonical_text")
     scored = reporting.aligned(reporting.term_counts(docs, 1, STOPWORDS), reporting.totals(docs), "new", "old", 5)
-    return reporting.both_ends(scored, 25)
+    return reporting.shift_ends(scored, 25)
 
 
 @query("cloud_weights", _term_sql(1) + _COUNTS + " SELECT grp, term, CAST(tf AS BIGINT) AS tf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY tf DESC, term) AS rank FROM tc WHERE NOT regexp_full_match(term, '[0-9]+') AND term NOT IN (" + ", ".join(f"'{w}'" for w in NOISE) + ")) WHERE rank <= 100")
@@ -647,33 +721,77 @@ def _(spark, sf):
 # ---------------------------------------------------------------- validation, expectations, streams
 
 
-@query("claim_validation")
+def claim_responses(spark, sf):
+    """(doc_id, text, raw): a response for each document with one claim about its first twenty characters, broken in one way for most residues."""
+    k = F.col("doc_id") % 6
+    span = F.substring("text", 1, 20)
+    end = F.when(k == 5, F.lit(21)).otherwise(F.lit(20))
+
+    def response(start):
+        claim = F.struct(
+            F.lit("c1").alias("claim_local_id"), F.lit("said").alias("claim_text"), span.alias("evidence_span"), start.alias("evidence_start"), end.alias("evidence_end"), F.lit("asserted").alias("epistemic_status"),
+            F.lit(None).cast("string").alias("claim_time_text"), F.when(k == 2, " NULL ").alias("attribution_text"),
+        )
+        named = F.when(k == 3, F.lit("other")).otherwise(F.col("doc_id").cast("string"))
+        return F.to_json(F.struct(F.lit("claim-extraction/1").alias("schema_version"), named.alias("evidence_id"), F.array(claim).alias("claims")), {"ignoreNullFields": "false"})
+
+    raw = F.when(k == 0, "oops").when(k == 4, response(F.lit("0"))).otherwise(response(F.lit(0)))
+    return V.table(spark, sf, "documents").select("doc_id", "text", raw.alias("raw"))
+
+
+CLAIM_ERRORS = """
+cv AS (SELECT doc_id, doc_id % 6 AS k, length(text) AS n FROM documents),
+ce AS (SELECT doc_id, CASE WHEN k = 0 THEN ['not valid JSON'] ELSE list_filter([
+    CASE WHEN k = 3 THEN 'wrong evidence_id' END, CASE WHEN k = 2 THEN 'claim 0: attribution_text is blank or ''null''' END,
+    CASE WHEN n = 0 THEN 'claim 0: empty evidence_span' END, CASE WHEN k = 4 THEN 'claim 0: evidence_start is not an integer' END,
+    CASE WHEN n > 0 AND k <> 4 AND n < (CASE WHEN k = 5 THEN 21 ELSE 20 END) THEN 'claim 0: offsets are outside of the text' END,
+    CASE WHEN k = 5 AND n >= 21 THEN 'claim 0: span is not at its offsets' END], lambda x: x IS NOT NULL) END AS errors FROM cv)"""
+
+
+@query("claim_validation", CLAIM_ERRORS + " SELECT doc_id, array_to_string(errors, '; ') AS errors FROM ce")
 def _(spark, sf):
-    raw = F.to_json(F.struct(F.lit("claim-extraction/1").alias("schema_version"), F.col("doc_id").cast("string").alias("evidence_id"), F.array().cast("array<string>").alias("claims")))
-    d = V.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("oops")).otherwise(raw).alias("raw"), "text")
-    return d.select("doc_id", validators.claim_errors_udf("raw", F.col("doc_id").cast("string"), "text").alias("errors"))
+    return claim_responses(spark, sf).select("doc_id", F.array_join(validators.claim_errors_udf("raw", F.col("doc_id").cast("string"), "text"), "; ").alias("errors"))
+
 
+_RV = JUDGED + """, rv AS (SELECT claim_a, claim_b, (claim_a + claim_b) % 4 AS k, relation_label <> 'related' AS sure FROM judged)
+SELECT claim_a, claim_b, array_to_string(list_filter([CASE WHEN k = 3 THEN 'wrong pair_id' END, CASE WHEN k = 0 AND sure THEN 'confirmed without a quote' END, CASE WHEN k = 2 AND sure THEN 'no quote is verbatim' END], lambda x: x IS NOT NULL), '; ') AS errors FROM rv"""
 
-@query("relation_validation")
+
+@query("relation_validation", _RV)
 def _(spark, sf):
-    j = events.judged(candidates(spark, sf))
-    raw = F.to_json(F.struct(F.lit("relation-judgment/2").alias("schema_version"), F.concat_ws("-", "claim_a", "claim_b").alias("pair_id"), F.col("referent_status").alias("shared_referent_status"), F.lit('"x"').alias("shared_referent_evidence"), "relation_label", F.lit("why").alias("rationale_text")))
-    return j.select("claim_a", "claim_b", validators.relation_errors_udf(raw, F.concat_ws("-", "claim_a", "claim_b"), F.lit("x y"), F.lit("z")).alias("errors"))
+    j, k = events.judged(candidates(spark, sf)), (F.col("claim_a") + F.col("claim_b")) % 4
+    pair = F.concat_ws("-", "claim_a", "claim_b")
+    evidence = F.when(k == 0, "nothing").when(k == 2, '"q" and «»').otherwise('«no» and "x"')
+    raw = F.to_json(F.struct(F.lit("relation-judgment/2").alias("schema_version"), F.when(k == 3, "other").otherwise(pair).alias("pair_id"), F.col("referent_status").alias("shared_referent_status"), evidence.alias("shared_referent_evidence"), "relation_label", F.lit("why").alias("rationale_text")))
+    raw = F.when(k == 1, F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).otherwise(raw)
+    return j.select("claim_a", "claim_b", F.array_join(validators.relation_errors_udf(raw, pair, F.lit("x y"), F.lit("z")), "; ").alias("errors"))
+
+
+_EV = SEEDS + """, ev AS (SELECT seed_id, seed_id % 5 AS k, count(*) AS n FROM members GROUP BY seed_id)
+SELECT seed_id, CASE k WHEN 1 THEN 'accepted without a summary' WHEN 2 THEN 'members differ from the seed' WHEN 3 THEN 'accepted without the anchor and a neighbour' WHEN 4 THEN 'member 0: claim_id is no string; members differ from the seed' ELSE '' END AS errors FROM ev"""
 
 
-@query("event_validation")
+@query("event_validation", _EV)
 def _(spark, sf):
     m = events.seed_members(seeded(spark, sf)).withColumn("c", F.col("claim_id").cast("string"))
     g = m.groupBy("seed_id").agg(F.array_sort(F.collect_set("c")).alias("expected"))
-    member = lambda c: F.struct(c.alias("claim_id"), F.lit(True).alias("included"), F.lit("same").alias("member_rationale"))
-    raw = F.to_json(F.struct(F.lit("event-verification/1").alias("schema_version"), F.col("seed_id").cast("string").alias("event_candidate_id"), F.lit("accepted_seed").alias("event_decision"), F.lit("sum").alias("event_summary"), F.transform("expected", member).alias("members"), F.lit("why").alias("rationale_text")))
-    return g.select("seed_id", validators.event_errors_udf(raw, F.col("seed_id").cast("string"), F.col("seed_id").cast("string"), "expected").alias("errors"))
+    k, seed = F.col("seed_id") % 5, F.col("seed_id").cast("string")
+    member = lambda c: F.struct(c.alias("claim_id"), F.when(k == 3, c == seed).otherwise(F.lit(True)).alias("included"), F.lit("same").alias("member_rationale"))
+    named = F.when(k == 2, F.slice("expected", 2, 99)).otherwise(F.col("expected"))
+    raw = F.to_json(F.struct(F.lit("event-verification/1").alias("schema_version"), seed.alias("event_candidate_id"), F.lit("accepted_seed").alias("event_decision"), F.when(k != 1, "sum").alias("event_summary"), F.transform(named, member).alias("members"), F.lit("why").alias("rationale_text")), {"ignoreNullFields": "false"})
+    raw = F.when(k == 4, F.regexp_replace(raw, r'"members":\[\{"claim_id":"[0-9]+"', '"members":[{"claim_id":["x"]')).otherwise(raw)
+    return g.select("seed_id", F.array_join(validators.event_errors_udf(raw, seed, seed, "expected"), "; ").alias("errors"))
+
+
+_MV = r"mv AS (SELECT conv_id, turn, turn % 3 AS k, trim(regexp_replace(text, '\s+', ' ', 'g')) <> '' AS filled FROM conversations) SELECT conv_id, turn, CASE WHEN k = 0 AND NOT filled THEN 'same_event without a summary' WHEN k = 1 THEN 'a summary belongs to same_event alone' ELSE '' END AS errors FROM mv"
 
 
-@query("merge_validation")
+@query("merge_validation", _MV)
 def _(spark, sf):
-    raw = F.to_json(F.struct(F.when(F.col("turn") % 2 == 0, "same_event").otherwise("insufficient").alias("decision"), F.col("text").alias("merged_event_summary"), F.lit("why").alias("rationale_text")))
-    return V.table(spark, sf, "conversations").select("conv_id", "turn", validators.merge_errors_udf(raw).alias("errors"))
+    k = F.col("turn") % 3
+    raw = F.to_json(F.struct(F.when(k == 0, "same_event").otherwise("insufficient").alias("decision"), F.when(k != 2, F.col("text")).alias("merged_event_summary"), F.lit("why").alias("rationale_text")), {"ignoreNullFields": "false"})
+    raw = F.when(k == 2, F.concat(F.lit("```\n"), raw, F.lit("\n``` "))).otherwise(raw)
+    return V.table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(validators.merge_errors_udf(raw), "; ").alias("errors"))
 
 
 @query("expectation_report", "v AS (SELECT 'doc_unique' AS name, count(*) AS violations FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) UNION ALL SELECT 'labels_known', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'order_before_ship', count(*) FROM orders WHERE NOT (o_totalprice > 1000) UNION ALL SELECT 'customer_nation', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)) SELECT * FROM v")
