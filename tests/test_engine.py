@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import scores as S
 from tidewatch.functions import text as T
 from tidewatch.operators import contours, events, expectations, ingest, models, pairs, reporting, routing, search, validators, writes
-from tidewatch.plans import audits as _audits  # noqa: F401  registers its queries
+from tidewatch.plans import audits as _audits, stages as _stages  # noqa: F401  register their queries
 from tidewatch.plans import queries as Q
 from tidewatch.sources import views as V
 from tidewatch.streaming import jobs
@@ -104,11 +104,11 @@ def test_text(spark):
     assert f(T.canonical_url(F.col("x")), x="http://h/a?b=1//#t#u") == "http://h/a?b=1"
     assert f(T.canonical_text(F.col("x"), F.col("y")), x=" T", y="b \n") == "T\nb"
     assert f(T.norm_text(F.col("x"), F.col("y")), x="Straße", y=" A  B") == "strasse a b"
-    assert f(T.normalize_text(F.col("x")), x="ﬁ’s") == "fi's"
+    assert f(T.normalize_text(F.col("x")), x="ﬁ’sʼ`") == "fi's''"
     assert f(T.strip_fence(F.col("x")), x="```json\n{}\n```") == "{}" and f(T.strip_fence(F.col("x")), x="a ```b```") == "a ```b```"
     assert tuple(f(T.resolve_span(F.col("x"), F.col("y")), x="a\U0001f600b c", y="b")) == ("resolved", 2, 3)
     assert f(T.resolve_span(F.col("x"), F.col("y")), x="b b", y="b")[0] == "ambiguous" and f(T.resolve_span(F.col("x"), F.col("y")), x="a", y="b")[0] == "not_found"
-    assert f(T.quotes(F.col("x")), x='«a» "b" ""') == ["a", "b"]
+    assert f(T.quotes(F.col("x")), x='"b" «a» ""') == ["b", "a"] and f(T.quotes(F.col("x")), x='""b"') == ["b"]
     toks = T.tokens(F.col("x"))
     assert f(toks, x="Don't stop м'яч café") == ["don't", "stop", "м'яч", "caf"]
     assert f(T.ngrams(toks, 3, ["of"]), x="house of cards of") == ["house of cards"] and f(T.ngrams(toks, 2, ["of"]), x="house") == []
@@ -126,7 +126,8 @@ def test_aliases_are_word_bounded_in_any_script(spark):
     c = spark.createDataFrame([(1, "про кит тут"), (2, "китами"), (3, "kit, kat")], "content_id long, norm string")
     got = contours.alias_hits(c, [(9, 1, "кит"), (4, 2, "kit"), (3, 2, "kat")]).collect()
     assert sorted((r.content_id, r.object_id, r.reference_id) for r in got) == [(1, 1, 9), (3, 2, 3)]
-    assert contours.structural_hits(c.withColumn("norm", F.lit("the 7th. 7 big units")), {"7 u": 7}, ["unit"]).count() == 3
+    assert contours.structural_hits(c.withColumn("norm", F.lit("the 7th. 7 big units")), ["7 u", "units"], ["unit"]).count() == 3
+    assert contours.structural_hits(c.withColumn("norm", F.lit("7" + " x" * 41 + " unit")), ["7 u"], ["unit"]).count() == 0 and contours.structural_hits(c, ["units"], ["unit"]).count() == 0
     assert one(spark, contours.leading_number(F.col("x")), x=" 12 group") == "12"
     reg = spark.createDataFrame([(1, "a", True), (1, "b", False)], "contour_id int, facet string, active boolean")
     assert [tuple(r) for r in contours.missing_facets(reg, reg).collect()] == [(1, "b")]
@@ -155,12 +156,18 @@ def test_floor_ranks(spark, values):
     assert [tuple(r) for r in got] == [tuple(kept[int(p * (len(kept) - 1))] if kept else None for p in (0.0, 1 / 3, 0.75, 1.0))]
 
 
-def test_pairs_are_all_pairs(spark):
+def test_pairs_are_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    rows = [(i, sorted(set(rng.integers(1, 5, rng.integers(1, 3)).tolist())), [float(x) for x in np.float32(rng.normal(size=4))]) for i in range(80)]
-    got = [tuple(r) for r in pairs.ranked_pairs(spark.createDataFrame(rows, "claim_id long, contours array<int>, embedding array<float>"), 60).collect()]
-    want = sorted(((round(float(np.dot(a[2], b[2])), 6), a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and not set(a[1]) & set(b[1])), key=lambda x: (-x[0], x[1], x[2]))[:60]
-    assert [(x[0], x[1]) for x in got] == [(x[1], x[2]) for x in want]
+    rows = [(i, f"r{i // 4}", sorted(set(rng.integers(1, 5, rng.integers(1, 3)).tolist())), [float(x) for x in np.float32(rng.normal(size=4))]) for i in range(80)]
+    frame = spark.createDataFrame(rows, "claim_id long, run_id string, contours array<int>, embedding array<float>")
+    want = sorted(((round(float(np.dot(a[3], b[3])), 6), a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and not set(a[2]) & set(b[2])), key=lambda x: (-x[0], x[1], x[2]))
+    # the sample sets the score to beat: all claims, few of them, and too few to set any
+    for sample, block, n in ((2048, 512, 60), (20, 7, 60), (2, 512, 5000)):
+        monkeypatch.setattr(pairs, "SAMPLE", sample)
+        monkeypatch.setattr(pairs, "BLOCK", block)
+        got = [tuple(r) for r in pairs.ranked_pairs(frame, n, Q.checkpointed).collect()]
+        assert [(x[0], x[1]) for x in got] == [(x[1], x[2]) for x in want[:n]]
+    assert pairs.ranked_pairs(frame.limit(0), 5, Q.checkpointed).count() == 0
 
 
 def test_merge_fold_by_component_is_the_global_fold(spark):
@@ -177,8 +184,22 @@ def test_merge_fold_by_component_is_the_global_fold(spark):
             claims.setdefault(s, set()).add(c)
         turns = sorted((-len(r.shared), r.seed_a, r.seed_b) for r in p.collect())[:limit]
         want = events.fold([(i, a, b) for i, (_, a, b) in enumerate(turns)], {s: frozenset(c) for s, c in claims.items()}, events.overlap_judge, dict(before))
-        assert got == {(a, b): (o, e) for _, a, b, o, e in want}
-        assert {o for o, _ in got.values()} >= {"created", "different_event"}
+        assert got == {(a, b): (o, e) for _, a, b, o, e, _ in want}
+        assert {o for o, _ in got.values()} >= {"created", "different_event"} and (limit or "insufficient" in {o for o, _ in got.values()})
+        # canonical events by hand: each extension overwrites the summary
+        made, seeds = {}, {}
+        for k, a, b, o, e, summary in want:
+            if o in ("created", "extended"):
+                made.setdefault(e, []).append(summary)
+                seeds.setdefault(e, set()).update((a, b))
+        if not before:
+            folded = Q.checkpointed(events.merge(p, m, lambda e: events.label_components(e, Q.checkpointed), limit=limit))
+            assert {r.event_id: r.summary for r in events.canonical_events(folded).collect()} == {e: x[-1] for e, x in made.items()}
+            held = events.event_members(folded)
+            assert {(r.event_id, r.seed_id) for r in held.collect()} == {(e, x) for e, xs in seeds.items() for x in xs}
+            roles = m.withColumn("role", F.when(F.col("claim_id") % 2 == 0, "anchor").otherwise("neighbor"))
+            packets = {(r.event_id, r.claim_id) for r in events.event_packets(held, roles).collect()}
+            assert packets == {(e, c) for e, xs in seeds.items() for x in xs for c in claims[x]}
 
 
 CLAIM = {"claim_local_id": "c1", "claim_text": "t", "evidence_span": "ab", "evidence_start": 1, "evidence_end": 3, "epistemic_status": "asserted", "claim_time_text": None, "attribution_text": None}
@@ -188,7 +209,10 @@ CLAIM = {"claim_local_id": "c1", "claim_text": "t", "evidence_span": "ab", "evid
     ("change", "top", "ok"),
     [
         ({}, {}, True), ({"claim_time_text": "null"}, {}, False), ({"attribution_text": " "}, {}, False), ({"extra": 1}, {}, False), ({}, {"summary": 1}, False), ({"evidence_span": ""}, {}, False),
-        ({"evidence_span": "zz"}, {}, False), ({"evidence_start": True}, {}, False), ({"evidence_start": 0}, {}, False), ({"epistemic_status": "sure"}, {}, False), ({"claim_text": " "}, {}, False), ({}, {"evidence_id": "e2"}, False),
+        ({"evidence_span": "zz"}, {}, False), ({"attribution_text": " NULL "}, {}, False), ({"claim_time_text": 5}, {}, False), ({"evidence_end": 99}, {}, False), ({"evidence_end": -1}, {}, False), ({"evidence_start": 3, "evidence_end": 1}, {}, False),
+        ({"claim_local_id": " "}, {}, True), ({"claim_local_id": ""}, {}, False), ({"claim_local_id": ["c1"]}, {}, False), ({"epistemic_status": ["asserted"]}, {}, False), ({"claim_text": None}, {}, False), ({}, {"claims": {}}, False), ({}, {"claims": [1]}, False), ({}, {"event": {"type": "x"}}, False), ({}, {"relations": []}, False),
+        ({"claim_time_text": "May", "attribution_text": "he"}, {}, True), ({}, {"schema_version": "claim-extraction/2"}, False), ({}, {"claims": []}, True),
+        ({"evidence_start": True}, {}, False), ({"evidence_start": 0}, {}, False), ({"epistemic_status": "sure"}, {}, False), ({"claim_text": " "}, {}, False), ({}, {"evidence_id": "e2"}, False),
     ],
 )
 def test_claim_validator(change, top, ok):
@@ -200,14 +224,23 @@ def test_other_validators():
     assert validators.claim_errors("```json\n{}\n```", "e", "") and validators.claim_errors("", "e", "") and validators.claim_errors(None, "e", "")
     twice = json.dumps({"schema_version": "claim-extraction/1", "evidence_id": "e1", "claims": [CLAIM, CLAIM]})
     assert validators.claim_errors(twice, "e1", "xabx") == ["claim 1: repeated claim_local_id"]
+    assert validators.claim_errors(twice, "e1", None) and validators.claim_errors("[" * 100_000, "e1", "x") and validators.claim_errors("[1]", "e1", "x")
+    no_span = json.dumps({"schema_version": "claim-extraction/1", "evidence_id": "e1", "claims": [{k: v for k, v in CLAIM.items() if k != "evidence_span"}]})
+    assert validators.claim_errors(no_span, "e1", "xabx") == ["claim 0: missing key: evidence_span", "claim 0: empty evidence_span"]
     rel = {"schema_version": "relation-judgment/2", "pair_id": "p", "shared_referent_status": "confirmed", "shared_referent_evidence": "«ab» \"no\"", "relation_label": "same_fact", "rationale_text": "r"}
     said = lambda **k: validators.relation_errors(json.dumps(rel | k), "p", "xabx", "y")
     assert said() == [] and said(shared_referent_status="insufficient") and said(shared_referent_evidence="none") and said(shared_referent_evidence='"zz"')
     assert said(shared_referent_status="insufficient", relation_label="related") == []
+    assert validators.relation_errors("```json\n" + json.dumps(rel) + "\n```", "p", "xabx", None) == [] and said(relation_label=["same_fact"]) and said(shared_referent_status={}) and said(extra=1)
+    assert validators.relation_errors(json.dumps(rel), "p", None, None) == ["no quote is verbatim"] and said(shared_referent_evidence='""ab"') == []
     ev = {"schema_version": "event-verification/1", "event_candidate_id": "e", "event_decision": "accepted_seed", "event_summary": "s", "members": [{"claim_id": c, "included": True, "member_rationale": "r"} for c in "ab"], "rationale_text": "r"}
     said = lambda **k: validators.event_errors(json.dumps(ev | k), "e", "a", ["a", "b"])
     assert said() == [] and said(event_summary=None) and said(members=ev["members"][:1]) and said(event_decision="rejected_seed", event_summary=None) == []
     assert said(members=[ev["members"][0], ev["members"][1] | {"included": False}])
+    assert said(members=[ev["members"][0], ev["members"][1] | {"claim_id": ["b"]}]) and said(members=[1]) and said(members=None) and said(event_decision=[]) and said(members=[ev["members"][0], ev["members"][1] | {"included": 1}])
+    assert said(event_decision="rejected_seed", event_summary=None, members=[m | {"included": False} for m in ev["members"]]) == []
+    assert validators.event_errors("```\n" + json.dumps(ev) + "\n```", "e", "a", ["a", "b"]) == []
+    assert validators.merge_errors("```json\n{\"decision\": \"insufficient\", \"merged_event_summary\": null, \"rationale_text\": \"r\"}\n```") == [] and validators.merge_errors('{"decision": [], "merged_event_summary": null, "rationale_text": "r"}')
     ok = {"decision": "same_event", "merged_event_summary": "s", "rationale_text": "r"}
     assert validators.merge_errors(json.dumps(ok)) == [] and validators.merge_errors(json.dumps(ok | {"decision": "insufficient"})) and validators.merge_errors(json.dumps(ok | {"decision": "insufficient", "merged_event_summary": None})) == []
 
@@ -271,7 +304,33 @@ def test_reports(spark):
     assert one(spark, S.percentage(F.lit(1), F.col("n")), n=0) is None
 
 
-SAMPLE = ["routing_decisions", "seeded_sample", "stratified_sample", "score_quadrants", "prototype_ablation", "routing_floor_rank", "routing_leakage", "noise_terciles", "routing_transition", "noise_argmax", "ingest_outcomes", "page_text", "candidate_pairs", "event_seeds", "overlap_pairs", "alias_hits", "contour_assignments", "trigrams", "contrastive_terms", "events_session", "hierarchy_closure"]
+def test_ngrams_of_long_texts_are_linear(spark):
+    """A text of 20,000 tokens in seconds; the terms are those of plain slicing."""
+    import time
+
+    words = [f"w{i % 701}" if i % 3 else "of" for i in range(20_000)]
+    d = spark.createDataFrame([(1, "a", " ".join(words))], "content_id long, grp string, canonical_text string")
+    began = time.time()
+    for n in (2, 3):
+        got = {r.term: r.tf for r in reporting.term_counts(d, n, ["of"]).collect()}
+        grams = [words[i : i + n] for i in range(len(words) - n + 1)]
+        want = {}
+        for g in grams:
+            if g[0] != "of" and g[-1] != "of":
+                want[" ".join(g)] = want.get(" ".join(g), 0) + 1
+        assert got == want
+    assert time.time() - began < 30
+
+
+def test_ingest_of_hot_texts_and_references(spark):
+    """One text held by most deliveries, rejected ones among them, has one content; the window of references holds no rejected delivery."""
+    rows = [(i, "s", "x" * 40 if i % 3 else "short", i % 50, i, dt.datetime(2024, 1, 1), "hx" if i % 3 else "hs") for i in range(600)]
+    got = ingest.outcomes(spark.createDataFrame(rows, RAW)).select("doc_id", "outcome").collect()
+    assert sorted(map(tuple, got)) == sequential(rows)
+
+
+SAMPLE = ["bigrams", "quotes", "temporal_shift", "recall_gap", "claim_validation", "relation_validation", "event_validation", "merge_validation", "seed_order", "keyword_audit",
+    "routing_decisions", "seeded_sample", "stratified_sample", "score_quadrants", "prototype_ablation", "routing_floor_rank", "routing_leakage", "noise_terciles", "routing_transition", "noise_argmax", "ingest_outcomes", "page_text", "candidate_pairs", "event_seeds", "overlap_pairs", "alias_hits", "contour_assignments", "trigrams", "contrastive_terms", "events_session", "hierarchy_closure"]
 
 
 @pytest.fixture(scope="module")
