@@ -37,6 +37,11 @@ def rule_hits(content: DataFrame, rules: dict[str, list[str]], col: str = "norm"
     return content.select("content_id", F.explode(F.filter(labels, lambda x: x.isNotNull())).alias("facet"))
 
 
+def facet_passes(content: DataFrame, facets: dict[str, list[str]], col: str = "norm") -> DataFrame:
+    """content_id with a boolean for each facet: does any of its anchors match? One pass for all facets."""
+    return content.select("content_id", *[F.col(col).rlike("(?U)" + "|".join(f"(?:{p})" for p in ps)).alias(f) for f, ps in facets.items()])
+
+
 def assignments(content: DataFrame, aliases: list[tuple[int, int, str]], rules: dict[str, list[str]], contour_of: dict[str, int]) -> DataFrame:
     """(content_id, contour_id, facet, object_id, method): positives only, one row for each key."""
     exact = alias_hits(content, aliases).select("content_id", F.lit(1).alias("contour_id"), F.lit(None).cast("string").alias("facet"), "object_id", F.lit("alias").alias("method"))

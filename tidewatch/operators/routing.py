@@ -50,6 +50,13 @@ def listing(old: DataFrame, new: DataFrame, key: str, changes: list[tuple[str, s
     return placed(kept, ["old", "new"], [F.desc("margin"), F.col(key)], "place").select(key, "old", "new", "margin", "place")
 
 
+def regression_cases(decisions: DataFrame, cases: DataFrame, key: str) -> DataFrame:
+    """(key, expected, actual, ok) for a short list of named cases; content without a decision is missing."""
+    found = cases.join(decisions.select(key, "decision"), key, "left")
+    actual = F.coalesce("decision", F.lit("missing"))
+    return found.select(key, "expected", actual.alias("actual"), (actual == F.col("expected")).alias("ok"))
+
+
 def hash_order(key: str, seed: int = 42) -> Column:
     """An order that depends on the key and the seed alone, and that other engines can repeat."""
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))

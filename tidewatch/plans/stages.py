@@ -287,6 +287,26 @@ def _(spark, sf):
     return routing.listing(r, new, "content_id", [("skip", "maybe"), ("skip", "analyze"), ("maybe", "analyze")])
 
 
+#: Named cases: content and the decision that any version must give it.
+CASES = [(60, "maybe"), (61, "analyze"), (62, "skip"), (100, "maybe"), (7, "maybe")]
+
+
+@query("routing_cases", ROUTED + f", ca(content_id, expected) AS (VALUES {', '.join(f'{c}' for c in CASES)}) SELECT ca.content_id, expected, coalesce(decision, 'missing') AS actual, coalesce(decision, 'missing') = expected AS ok FROM ca LEFT JOIN routed r ON r.content_id = ca.content_id")
+def _(spark, sf):
+    return routing.regression_cases(Q.routed(spark, sf), spark.createDataFrame(CASES, "content_id long, expected string"), "content_id")
+
+
+#: Five facets, each with its own anchors.
+FACETS = {"contact": [r"@mail[0-9]", r"\+1 \("], "licence": [r"licen[cs]e"], "number": [r"[0-9]{3}", r"[0-9]{2}-[0-9]{2}"], "list": [r" \| "], "common": ["that", "nicht", "para", "elle"]}
+
+
+@query("facet_ablation", ROUTED + ", nc AS (SELECT content_id, replace(lower(canonical_text), 'ß', 'ss') AS t FROM content), top AS (SELECT * FROM (SELECT content_id, category, row_number() OVER (PARTITION BY category ORDER BY noise_score DESC, content_id) AS rank FROM noised) WHERE rank <= 20) SELECT category, count(*) AS n, " + ", ".join("count(*) FILTER (WHERE " + " OR ".join(f"regexp_matches(t, '{p}')" for p in ps) + f") AS {f}" for f, ps in FACETS.items()) + " FROM top JOIN nc USING (content_id) GROUP BY category")
+def _(spark, sf):
+    top = routing.top_per_group(Q.noised(spark, sf), ["category"], [F.desc("noise_score"), F.col("content_id")], 20)
+    passed = contours.facet_passes(Q._norm(spark, sf), FACETS)
+    return top.join(passed, "content_id").groupBy("category").agg(F.count("*").alias("n"), *[F.count_if(f).alias(f) for f in FACETS])
+
+
 @query("decision_inserts", ROUTED + " SELECT content_id, decision, 'v1' AS routing_version FROM routed WHERE content_id % 4 <> 0")
 def _(spark, sf):
     r = Q.routed(spark, sf).select("content_id", "decision")
@@ -301,15 +321,20 @@ def _(spark, sf):
     return writes.insert_counts(c, writes.top_then_insert(c.where("claim_a % 2 = 0 and claim_b % 3 = 0"), c, ["claim_a", "claim_b"], order, Q.PAIRS_N))
 
 
+#: 2024-01-01 12:00 UTC
+_NOON = 1_704_110_400
+
+
 def _window(name, sql_where, **options):
     @query(name, SOURCES + "," + INGEST + f" SELECT o.content_id, s.source_group AS grp, array_to_string(list_sort(list(DISTINCT s.source_id)), ',') AS names FROM occ o JOIN sources s ON s.source_id = o.source_id JOIN content c ON c.content_id = o.content_id WHERE s.source_group IN ('group_a', 'group_b') AND {sql_where} GROUP BY ALL")
     def _(spark, sf):
         _, content, occ = Q.ingested(spark, sf)
-        return reporting.documents(content, occ, V.sources(spark, sf), ["group_a", "group_b"], **options).select("content_id", "grp", F.array_join("names", ",").alias("names"))
+        at = {k: F.timestamp_seconds(F.lit(v)) if k in ("now", "start", "end") else v for k, v in options.items()}
+        return reporting.documents(content, occ, V.sources(spark, sf), ["group_a", "group_b"], **at).select("content_id", "grp", F.array_join("names", ",").alias("names"))
 
 
-_window("report_since", "c.first_seen >= TIMESTAMP '2024-01-01 06:00:00'", since_hours=6, now="2024-01-01 12:00:00")
-_window("report_between", "s.source_group = 'group_b' AND c.first_seen >= TIMESTAMP '2024-01-01 02:00:00' AND c.first_seen < TIMESTAMP '2024-01-01 10:00:00'", source_group="group_b", start="2024-01-01 02:00:00", end="2024-01-01 10:00:00")
+_window("report_since", "c.first_seen >= TIMESTAMP '2024-01-01 06:00:00'", since_hours=6, now=_NOON)
+_window("report_between", "s.source_group = 'group_b' AND c.first_seen >= TIMESTAMP '2024-01-01 02:00:00' AND c.first_seen < TIMESTAMP '2024-01-01 10:00:00'", source_group="group_b", start=_NOON - 10 * 3600, end=_NOON - 2 * 3600)
 
 
 @query("payload_hashes", "p AS (SELECT event_id, sha256('{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}') AS payload_hash FROM events) SELECT * FROM p")
@@ -335,7 +360,7 @@ def _(spark, sf):
     return collect.channel_posts(pages).select("source_id", "external_ref", F.sha2("canonical_text", 256).alias("text_hash"), "title")
 
 
-@query("feed_deliveries", f"d AS (SELECT source AS source_id, 'http://h/' || doc_id AS external_ref, {_FLAT} AS t, doc_id FROM documents) SELECT source_id, external_ref, 't' || doc_id AS title, sha256(trim('t' || doc_id || chr(10) || t, ' ' || chr(10))) AS text_hash, TIMESTAMP '2024-01-02 03:04:05' AS published FROM d")
+@query("feed_deliveries", f"d AS (SELECT source AS source_id, 'http://h/' || doc_id AS external_ref, {_FLAT} AS t, doc_id FROM documents) SELECT source_id, external_ref, 't' || doc_id AS title, sha256(trim('t' || doc_id || chr(10) || t, ' ' || chr(10))) AS text_hash, CAST(1704164645 AS BIGINT) AS published FROM d")
 def _(spark, sf):
     """Half of the feeds are RSS, half Atom; the last item of each is followed by a break."""
     key, text = F.col("doc_id").cast("string"), F.replace(F.replace(_marked(), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
@@ -345,7 +370,7 @@ def _(spark, sf):
     items = V.table(spark, sf, "documents").select(F.col("source").alias("source_id"), "doc_id", rss.alias("rss"), atom.alias("atom")).groupBy("source_id", F.floor(F.col("doc_id") / 100)).agg(F.array_join(F.collect_list(F.when(even, F.col("rss")).otherwise(F.col("atom"))), "").alias("items"))
     body = F.when(even, F.concat(F.lit("<rss><channel><title>c</title>"), "items", F.lit("<item><title>broken"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "items", F.lit("</feed>")))
     found = V.parse_feed(collect.feed_entries(items.select("source_id", body.alias("body"))))
-    return found.select("source_id", "external_ref", "title", F.sha2("canonical_text", 256).alias("text_hash"), F.col("published_at").cast("timestamp_ntz").alias("published"))
+    return found.select("source_id", "external_ref", "title", F.sha2("canonical_text", 256).alias("text_hash"), F.unix_timestamp("published_at").alias("published"))
 
 
 # ---------------------------------------------------------------- reference registry
