@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import text as T
 from tidewatch.operators import contours, models, reporting, search, stages, writes
 from tidewatch.plans import queries as Q
+from tidewatch.plans import readers as _readers  # noqa: F401  registers its queries
 from tidewatch.plans import stages as P
 from tidewatch.sources import collect, registry
 from tidewatch.sources import views as V
@@ -18,6 +19,8 @@ SF = "/root/testdata/sf0.001"
 STAGED = [
     "extraction_runs", "extracted_claims", "claim_meta", "relation_judgments", "event_verifications", "repeated_attempts", "verification_backlog", "seed_relations", "embedding_stage", "content_search", "claim_search", "search_document",
     "transition_listing", "routing_cases", "facet_ablation", "decision_inserts", "report_since", "report_between", "payload_hashes", "channel_deliveries", "feed_deliveries", "alias_seeds", "object_hierarchy", "semantic_references", "verified_references", "unembedded_anchors",
+    "lexicon_terms", "prototype_sets", "jsonl_filter", "evidence_items", "boilerplate_rules", "prompt_registry", "channel_sources", "source_by_url", "fetch_outcomes", "text_expressions", "report_lines", "missing_facets", "registry_checks", "model_answers", "seed_inserts",
+    "streamed_ingestion", "batched_ingestion", "events_tumbling_stream",
 ]
 
 
