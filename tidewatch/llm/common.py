@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
 import tempfile
 import uuid
 import zlib
@@ -57,10 +56,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
+#: What this process has put into the shared folder, oldest first.
+WRITTEN: list[str] = []
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    WRITTEN.append(f"{shared_dir(spark)}/tidewatch-{label}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def drop_written(spark: SparkSession, mark: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete what was written since WRITTEN had mark entries: for callers who have stored the result and read nothing of it again."""
+    for path in [p for p in WRITTEN[mark:] if p not in keep]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        WRITTEN.remove(path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewatch-{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     schema = df.schema
     # small row groups: a writing task holds one in memory
     df.write.option("parquet.block.size", 32 << 20).parquet(path)
@@ -181,7 +198,3 @@ def held_by(sent) -> Callable:
 
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
-
-
-def own_folder() -> str | None:
-    return _OWN_DIR[0] if _OWN_DIR and os.path.isdir(_OWN_DIR[0][7:]) else None

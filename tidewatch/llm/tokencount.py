@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import on_worker, send
-from .common import arrow_schema, map_rows, pick, shared_dir, small_batches, written
+from .common import arrow_schema, map_rows, new_path, pick, small_batches, written
 
 EOD, WIDTH = 50256, 2
 #: Ids of a block, blocks of a range that a task reads at a time, blocks of a group of the prefix scan.
@@ -154,7 +153,7 @@ def token_counts(docs: DataFrame, path: str | None = None, eod: int = EOD, block
     docs = pick(docs, "doc_id", "text")
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = written(docs, "documents")
-    folder = f"{shared_dir(docs.sparkSession)}/tidewatch-flat-{uuid.uuid4().hex}"
+    folder = new_path(docs.sparkSession, "flat")
     write_flat(docs, folder, path, eod, width)
     counted = scan(blocks_of_files(docs.sparkSession, folder, block_tokens, width), eod, False, block_tokens, width)
     counted = counted.select(F.regexp_extract("file", r"part-([0-9]+)-[^/]*$", 1).cast("long").alias("part"), "ordinal", "n_tokens")

@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -33,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, arrow_schema, held_by, id_filter, map_rows, pick, shared_dir, small_batches, spread_join, utf8, written
+from .common import SLICE_ROWS, arrow_schema, held_by, id_filter, map_rows, new_path, pick, small_batches, spread_join, utf8, written
 
 MIN_REVISIT_BYTES = 100
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 16 << 20
@@ -221,7 +220,7 @@ def read_back(archives: DataFrame) -> DataFrame:
 def archived(pages: DataFrame) -> DataFrame:
     """Write all pages to bundle files in the shared folder and read the archives back."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/tidewatch-warc-{uuid.uuid4().hex}"
+    folder = new_path(spark, "warc")
     write_bundles(pages, folder)
     return read_back(stored(spark, folder))
 
