@@ -5,12 +5,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import bpe, decontam, linededup, neardup, quality
-from tidewatch.llm.common import shared_dir, table
+from tidewatch.llm.common import WRITTEN, drop_written, new_path, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is written in the shared folder and read again. What a stage wrote on its way goes
+    when its result is there; results of earlier stages go too."""
+    docs, mark = table(spark, sf_dir, "documents"), len(WRITTEN)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/tidewatch-stage{k}-{uuid.uuid4().hex}"
+            path = new_path(spark, f"stage{k}")
             docs.write.parquet(path)
+            drop_written(spark, mark, keep=(path,))
             docs = spark.read.parquet(path)
     return docs
