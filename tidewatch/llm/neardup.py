@@ -47,7 +47,7 @@ WORDS, SKETCH_K, LIST_K, NEED = 5, 256, 48, 16
 #: Under this estimate no pair of sketches of SKETCH_K values belongs to sets with similarity 0.75 (6 sigma).
 LEAST_ESTIMATE = 0.58
 #: Members of a block of a list, rows compared at once, and shingles of a block of full sets.
-BLOCK, STRIP, BLOCK_SHINGLES = 1024, 256, 2_000_000
+BLOCK, STRIP, BLOCK_SHINGLES = 512, 256, 2_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
