@@ -36,6 +36,8 @@ from .common import held_by, id_filter, map_rows, pick, positional, small_batche
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys that one filter shard is made for: an index with more keys a shard gets more shards.
 SHARD_KEYS = 50_000
+#: Parts of a reference table before they are written as one.
+MAX_PARTS = 16
 #: Filters up to this size in all are broadcast; larger ones are joined by shard.
 BROADCAST_BYTES = 32 << 20
 _STRIP = " \t\n\x0b\x0c\r"
@@ -169,13 +171,14 @@ REFERENCES, COUNTS, SIEVES = "key binary, doc_id long", "key binary, keeper long
 
 @dataclass(frozen=True)
 class LineIndex:
-    """Stored tables: references (key, doc_id), each once; repeated (key, keeper, n_docs); sieves (shard, filter)."""
+    """Stored tables: references (key, doc_id), each once, in a number of parts; repeated (key, keeper, n_docs); sieves (shard, filter)."""
 
     references: DataFrame
     repeated: DataFrame
     sieves: DataFrame
     shards: int
     min_docs: int
+    parts: int = 1
 
 
 def empty_index(spark: SparkSession, min_docs: int = MIN_DOCS) -> LineIndex:
@@ -189,17 +192,21 @@ def insert_documents(index: LineIndex, docs: DataFrame) -> LineIndex:
     if index.shards:
         fresh = fresh.join(index.references, ["key", "doc_id"], "left_anti")
     fresh = written(fresh, "references")
-    return _moved(index, index.references.union(fresh) if index.shards else fresh, fresh)
+    if not index.shards:
+        return _moved(index, fresh, fresh, 1)
+    table = index.references.union(fresh)
+    # after many insertions the parts become one table
+    return _moved(index, table, fresh, index.parts + 1) if index.parts < MAX_PARTS else _moved(index, written(table, "references"), fresh, 1)
 
 
 def delete_documents(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     """The index without the documents named in doc_ids."""
     named = pick(doc_ids, "doc_id").distinct()
     gone = written(index.references.join(named, "doc_id", "left_semi").select("key", "doc_id"), "deleted")
-    return _moved(index, written(index.references.join(named, "doc_id", "left_anti").select("key", "doc_id"), "references"), gone)
+    return _moved(index, written(index.references.join(named, "doc_id", "left_anti").select("key", "doc_id"), "references"), gone, 1)
 
 
-def _moved(index: LineIndex, table: DataFrame, touched: DataFrame) -> LineIndex:
+def _moved(index: LineIndex, table: DataFrame, touched: DataFrame, parts: int) -> LineIndex:
     """index with a new reference table, whose keys in touched are counted anew."""
     if index.shards:
         keys = touched.select("key").distinct()
@@ -211,7 +218,7 @@ def _moved(index: LineIndex, table: DataFrame, touched: DataFrame) -> LineIndex:
     # with more shards every key has another home: all filters are made again
     same = shards == index.shards
     old = empty_index(table.sparkSession) if not same else index
-    return LineIndex(table, now, written(updated(old.sieves, old.repeated, now, shards), "sieves"), shards, index.min_docs)
+    return LineIndex(table, now, written(updated(old.sieves, old.repeated, now, shards), "sieves"), shards, index.min_docs, parts)
 
 
 def flagged(docs: DataFrame, index: LineIndex) -> DataFrame:
