@@ -482,6 +482,7 @@ def held_keys(index):
 @pytest.mark.parametrize("shard_keys", [50_000, 1])
 def test_index_follows_insertions_and_deletions(spark, monkeypatch, shard_keys):
     monkeypatch.setattr(linededup, "SHARD_KEYS", shard_keys)
+    monkeypatch.setattr(linededup, "MAX_PARTS", min(shard_keys, 16))
     rows = LINES + [(100 + i, f"a line of the later documents only, number {i % 9}") for i in range(40)]
     start = linededup.empty_index(spark)
     once = held_keys(linededup.insert_documents(start, frame(spark, rows)))
