@@ -2,42 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_LENGTH = 30
 
 
 def outcomes(raw: DataFrame, known_occurrences: DataFrame | None = None, known_content: DataFrame | None = None) -> DataFrame:
-    """raw with outcome: what a sequential pass by arrival would say.
+    """raw with outcome: what a sequential pass by arrival would say. Arrivals are distinct.
 
     The first accepted delivery of a (source, reference), or the stored one, fixes its hash: later ones are
-    dup_occurrence or changed_unprocessed. Of the first ones, the first of a new hash is new_content: the smallest arrival of
-    a hash, found by an aggregation that combines before the shuffle, so a text that very many deliveries hold is no
-    single task's. References are short lists; rejected deliveries are in none.
+    dup_occurrence or changed_unprocessed. Of the first ones, the first of a new hash is new_content. Both are aggregations that
+    combine before the shuffle, over hashes and arrivals alone; the deliveries themselves, with their texts, move once,
+    to meet their reference's row, in a join whose hot keys Spark can split.
     """
-    df = raw.withColumn("_ok", F.coalesce(F.length("canonical_text") >= MIN_LENGTH, F.lit(False)))
-    # rejected deliveries fall where they like: each is its own group
-    by_ref = Window.partitionBy("source_id", "external_ref", F.when(F.col("_ok"), F.lit(None)).otherwise(F.col("arrival"))).orderBy("arrival")
+    accepted = F.coalesce(F.length("canonical_text") >= MIN_LENGTH, F.lit(False))
+    refs = raw.where(accepted).groupBy("source_id", "external_ref").agg(F.min("arrival").alias("_arrival"), F.min_by("content_hash", "arrival").alias("_hash"))
     if known_occurrences is not None:
-        df = df.join(known_occurrences.select("source_id", "external_ref", F.col("content_hash").alias("_stored")), ["source_id", "external_ref"], "left")
+        held = known_occurrences.select(F.col("source_id").alias("_s"), F.col("external_ref").alias("_r"), F.col("content_hash").alias("_stored"))
+        refs = refs.join(held, F.col("source_id").eqNullSafe(F.col("_s")) & F.col("external_ref").eqNullSafe(F.col("_r")), "left").drop("_s", "_r")
     else:
-        df = df.withColumn("_stored", F.lit(None).cast("string"))
-    df = df.withColumn("_rn", F.row_number().over(by_ref)).withColumn("_hash", F.coalesce("_stored", F.first("content_hash").over(by_ref)))
-    df = df.withColumn("_first", F.col("_ok") & (F.col("_rn") == 1) & F.col("_stored").isNull())
-    oldest = df.where("_first").groupBy("content_hash").agg(F.min("arrival").alias("_arrival"))
+        refs = refs.withColumn("_stored", F.lit(None).cast("string"))
+    founders = refs.where("_stored is null").groupBy("_hash").agg(F.min("_arrival").alias("_arrival"), F.lit(True).alias("_new"))
     if known_content is not None:
-        oldest = oldest.join(known_content.select("content_hash"), "content_hash", "left_anti")
-    # one row for each hash with its arrival: the join finds the delivery that brings it
-    founders = oldest.select(F.col("content_hash").alias("_new"), "_arrival")
-    df = df.join(founders, (F.col("content_hash") == F.col("_new")) & (F.col("arrival") == F.col("_arrival")) & F.col("_first"), "left")
+        founders = founders.join(known_content.select(F.col("content_hash").alias("_hash")), "_hash", "left_anti")
+    refs = refs.join(founders, ["_hash", "_arrival"], "left").withColumnsRenamed({"source_id": "_s", "external_ref": "_r"})
+    df = raw.join(refs, F.col("source_id").eqNullSafe(F.col("_s")) & F.col("external_ref").eqNullSafe(F.col("_r")), "left")
+    first = F.col("_stored").isNull() & (F.col("arrival") == F.col("_arrival"))
     outcome = (
-        F.when(~F.col("_ok"), "rejected")
-        .when(~F.col("_first"), F.when(F.col("_hash") == F.col("content_hash"), "dup_occurrence").otherwise("changed_unprocessed"))
-        .when(F.col("_new").isNotNull(), "new_content")
+        F.when(~accepted, "rejected")
+        .when(~first, F.when(F.coalesce("_stored", "_hash") == F.col("content_hash"), "dup_occurrence").otherwise("changed_unprocessed"))
+        .when(F.col("_new"), "new_content")
         .otherwise("new_occurrence")
     )
-    return df.select(*raw.columns, outcome.alias("outcome"))
+    return df.select(*[raw[c] for c in raw.columns], outcome.alias("outcome"))
 
 
 def content_items(done: DataFrame) -> DataFrame:

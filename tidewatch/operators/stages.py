@@ -150,7 +150,13 @@ def verify_seeds(backlog: DataFrame, members: DataFrame, meta: DataFrame, prompt
     payload = F.struct(F.lit("event-input/1").alias("schema_version"), key.alias("event_candidate_id"), key.alias("anchor_claim_id"), F.transform("l", lambda x: x["entry"]).alias("claims"))
     answers = stored(models.model_stage(seeds.select("seed_id", T.payload_prompt(prompt, payload).alias("prompt")), "seed_id", "prompt", client))
     told = seeds.select("seed_id", "expected").join(answers, "seed_id").withColumn("v", validators.event_verdict_udf("raw", key, key, "expected"))
-    return with_contract(_verdict(told, ["seed_id"], ["decision", "summary", "rationale", "members"]), contract, revision)
+    out = _verdict(told, ["seed_id"], ["decision", "summary", "rationale", "members"])
+    # a claim named twice passes the contract, but its rows cannot be stored: the whole attempt is an error
+    named = F.transform("members", lambda m: m["claim_id"])
+    twice = F.coalesce((F.col("status") == "valid") & (F.size(F.array_distinct(named)) < F.size(named)), F.lit(False))
+    blank = {c: F.when(~twice, F.col(c)) for c in ("decision", "summary", "rationale", "members")}
+    out = out.withColumns(blank | {"errors": F.when(twice, F.array(F.lit("a claim is named twice"))).otherwise(F.col("errors")), "status": F.when(twice, "error").otherwise(F.col("status"))})
+    return with_contract(out, contract, revision)
 
 
 def included_claims(verifications: DataFrame) -> DataFrame:
