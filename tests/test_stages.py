@@ -90,6 +90,23 @@ def test_single_attempts(spark):
         stages.single_attempts(v.union(v.where("seed_id = 2").withColumn("attempt_no", F.lit(3))))
 
 
+def test_a_claim_named_twice_is_an_error(spark):
+    meta = spark.createDataFrame([(c, "t", "s", None, "x", "src", [1], None) for c in (1, 2)], "claim_id long, claim_text string, evidence_span string, title string, context_snippet string, source string, contour_set array<int>, first_seen timestamp")
+    members = spark.createDataFrame([(1, 1, "anchor", None, None, None, None, None), (1, 2, "neighbor", 1, 0.5, "same_fact", "confirmed", "x")], "seed_id long, claim_id long, role string, rank int, score double, relation_label string, referent_status string, referent_evidence string")
+
+    def client():
+        def call(prompt):
+            seen = json.loads(prompt.split("\n", 1)[1])
+            assert [c["role"] for c in seen["claims"]] == ["anchor", "neighbor"] and seen["claims"][0]["relation_to_anchor"] is None and seen["claims"][1]["relation_to_anchor"]["score"] == 0.5
+            told = [{"claim_id": c, "included": True, "member_rationale": "r"} for c in ("1", "2", "2")]
+            return json.dumps({"schema_version": "event-verification/1", "event_candidate_id": "1", "event_decision": "accepted_seed", "event_summary": "s", "members": told, "rationale_text": "r"})
+
+        return call
+
+    got = stages.verify_seeds(members.select("seed_id").distinct(), members, meta, "P:\n<<PAYLOAD_JSON>>", client, P.CONTRACT, "r", Q.checkpointed).collect()
+    assert [(r.status, r.decision, r.members, r.errors) for r in got] == [("error", None, None, ["a claim is named twice"])]
+
+
 def test_embedding_is_incremental(spark):
     content = spark.createDataFrame([(i, f"text {i}", dt.datetime(2024, 1, 9 - i)) for i in range(5)], "content_id long, canonical_text string, first_seen timestamp")
     occ = content.where("content_id <> 4").select("content_id")
