@@ -47,8 +47,7 @@ def stratified_sample(rows: DataFrame, key: str, score: str, flag: str, n: int,
 
 def prototype_ablation(vectors: DataFrame, relevant: list, irrelevant: list, analyze: float = 0.10, skip: float = -0.07) -> DataFrame:
     """(dropped, n_changed, n_left_analyze): the decisions that change when one relevant prototype is left out. Each dot product is taken once; one narrow projection and one aggregation."""
-    dots = F.array(*[S.dot(F.col("embedding"), S.vector_literal(p)) for _, p in relevant])
-    scored = vectors.select(dots.alias("d"), S.best(F.col("embedding"), irrelevant)["score"].alias("irr"))
+    scored = vectors.select(S.dots(F.col("embedding"), [p for _, p in relevant]).alias("d"), S.best(F.col("embedding"), irrelevant)["score"].alias("irr"))
     margin = lambda best: F.round(best - F.col("irr"), 6)
     whole = scored.select("d", "irr", S.decide(margin(F.array_max("d")), analyze, skip).alias("old"))
     one_out = F.transform(F.sequence(F.lit(0), F.lit(len(relevant) - 1)), lambda i: F.array_max(F.filter("d", lambda _, j: j != i)))

@@ -15,7 +15,7 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "content_id
     """(key, similarity): each task keeps k rows, the driver none."""
     if k < 1:
         raise ValueError("limit must be positive")
-    return vectors.select(key, F.round(S.dot(F.col("embedding"), S.vector_literal(query)), 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
+    return vectors.select(key, F.round(S.dots(F.col("embedding"), [query])[0], 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
 def encoded_query(text: str, encode: Callable[[list[str]], object]) -> list[float]:
