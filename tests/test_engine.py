@@ -139,6 +139,11 @@ def test_routing(spark):
     assert got == {1: (1.0, "analyze"), 2: (-1.0, "skip"), 3: (0.0, "maybe")}
     b = v.select(S.best(F.col("embedding"), [("x", [1.0, 0.0]), ("y", [1.0, 0.0])])["label"]).first()[0]
     assert b == "x"
+    some = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [-1.0, 0.5])], "content_id long, embedding array<float>")
+    for rows in (some, some.where("content_id = 2"), some.limit(0)):
+        got = {r.content_id: (r.d, r.b) for r in rows.select("content_id", S.dots(F.col("embedding"), [[1.0, 1.0], [0.0, -1.0]]).alias("d"), S.best(F.col("embedding"), [("p", [1.0, 1.0]), ("q", [0.0, -1.0])]).alias("b")).collect()}
+        want = {1: ([3.0, -2.0], (3.0, "p")), 2: (None, None), 3: ([-0.5, -0.5], (-0.5, "p"))}
+        assert {k: (d, None if b is None or b.label is None else tuple(b)) for k, (d, b) in got.items()} == {k: want[k] for k in got}
     assert [one(spark, S.decide(F.col("m")), m=m) for m in (0.10, -0.07, 0.0)] == ["analyze", "skip", "maybe"]
     a = routing.seeded_sample(spark.range(1000).repartition(7), "id", 20).collect()
     assert a == routing.seeded_sample(spark.range(1000), "id", 20).collect()
