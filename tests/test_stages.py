@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
-from tidewatch.operators import contours, models, reporting, search, stages, writes
+from tidewatch.operators import contours, events, models, reporting, search, stages, writes
 from tidewatch.plans import queries as Q
 from tidewatch.plans import readers as _readers  # noqa: F401  registers its queries
 from tidewatch.plans import stages as P
@@ -45,6 +45,33 @@ def test_query_is_its_sql(spark, duck, name):
     assert sorted([said(row[c]) for c in cols] for row in df.collect()) == sorted([said(v) for v in row] for row in r.select(*[f'"{c}"' for c in cols]).fetchall())
 
 
+def test_merge_queries_are_the_sequential_fold(spark):
+    """The four queries about merged events against one pass over all pairs on collected rows."""
+    members = events.seed_members(Q.seeded(spark, SF)).collect()
+    claims, held = {}, {}
+    for r in members:
+        claims.setdefault(r.seed_id, set()).add(r.claim_id)
+        held.setdefault(r.claim_id, set()).add(r.seed_id)
+    pairs = {(a, b): len(claims[a] & claims[b]) for seeds in held.values() for a in seeds for b in seeds if a < b}
+    turns = sorted((-n, a, b) for (a, b), n in pairs.items())
+    told = events.fold([(k, a, b) for k, (_, a, b) in enumerate(turns)], {s: frozenset(c) for s, c in claims.items()}, events.overlap_judge, {})
+    got = Q.QUERIES["merge_fold"](spark, SF).collect()
+    assert {(r.seed_a, r.seed_b): (r.outcome, r.event_id, r.summary) for r in got} == {(a, b): (o, e, x) for _, a, b, o, e, x in told} and len(got) == len(told)
+    made, seeds = {}, {}
+    for _, a, b, o, e, x in told:
+        if o in ("created", "extended"):
+            made[e] = x
+            seeds.setdefault(e, []).extend(y for y in (a, b) if y not in seeds.get(e, ()))
+    assert {r.event_id: r.summary for r in Q.QUERIES["canonical_events"](spark, SF).collect()} == made and made
+    packets = {(r.event_id, r.claim_id): r.role for r in Q.QUERIES["event_packets"](spark, SF).collect()}
+    assert set(packets) == {(e, c) for e, ss in seeds.items() for y in ss for c in claims[y]} and set(packets.values()) == {"anchor", "neighbor"}
+    linked = {r.claim_id: (r.event_id, r.summary) for r in Q.QUERIES["claim_canonical_event"](spark, SF).collect()}
+    assert set(linked) == set(held)
+    for c, (e, x) in linked.items():
+        own = {e for e, ss in seeds.items() if set(ss) & held[c]}
+        assert (e is None and not own) or (e in own and made[e] == x)
+
+
 def test_runs_are_appended_once_and_last(spark, tmp_path):
     root = f"file://{tmp_path}"
     runs = spark.createDataFrame([("a", "valid"), ("b", "invalid")], "run_id string, status string")
