@@ -169,6 +169,11 @@ def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     return told.where("j > 0").select("a", "b").union(_by_full_sets(unsure, docs)).distinct()
 
 
+def _tasks(df: DataFrame) -> int:
+    """A number of partitions that Spark does not lower: comparing costs far more time than its bytes say."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _by_full_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The linked ones of pairs, by full sets. Pairs are gathered by the cluster they form, cut into blocks of bounded size, so that a set travels once for a block and not once for a pair."""
     pairs = written(pairs.distinct(), "unsure")
@@ -215,7 +220,7 @@ def _by_full_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return both.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "kind").mapInArrow(run, "a long, b long")
+    return both.repartition(_tasks(both), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "kind").mapInArrow(run, "a long, b long")
 
 
 class _Union(dict):
@@ -354,7 +359,7 @@ def _residual(lists: DataFrame, labels: DataFrame, known: DataFrame) -> DataFram
         held = []
         release()
 
-    return dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node").mapInArrow(run, "a long, b long, j int").distinct()
+    return dealt.repartition(_tasks(dealt), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node").mapInArrow(run, "a long, b long, j int").distinct()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
