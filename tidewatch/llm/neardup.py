@@ -16,8 +16,10 @@ Equal sets form one class, and all later work is on classes.
    blocks of bounded size that are dealt by (group, block, block), so no task ever holds a whole hot group
    and none is expanded into pairs. Only blocks whose set sizes are near enough meet. Only members that share
    a list are compared, and only in the first group in which they do. Sets that fit into the
-   sketch are verified right there; a task returns at most one edge for each of its members. Others go to
-   step 3. Every pair that shares a list and is not connected is compared: no link between components is lost.
+   sketch are verified right there. Of larger sets that the estimate cannot rule out the members are named, not
+   the pairs: these come again with their whole sets, in blocks cut by the sizes of the sets, and are verified.
+   A task returns at most one edge and one name for each of its members. Every pair that shares a list and is not
+   connected is compared: no link between components is lost.
    A group of M unlike members of like sizes costs M * M / BLOCK rows and up to M * M comparisons.
 5. Components: alternating large-star and small-star passes until nothing changes.
 
@@ -41,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, id_filter, map_rows, may_hold, pick, positional, release, spread_join, utf8, written
+from .common import SLICE_ROWS, arrow_schema, id_filter, map_rows, may_hold, pick, positional, release, spread_join, utf8, written
 
 WORDS, SKETCH_K, LIST_K, NEED = 5, 256, 48, 16
 #: Under this estimate no pair of sketches of SKETCH_K values belongs to sets with similarity 0.75 (6 sigma).
@@ -174,11 +176,8 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _by_full_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The linked ones of pairs, by full sets. Pairs are gathered by the cluster they form, cut into blocks of bounded size, so that a set travels once for a block and not once for a pair."""
-    pairs = written(pairs.distinct(), "unsure")
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "unsurenodes")
-
+def _full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, n, s): the whole sets of the named documents (doc_id)."""
     sent = id_filter(nodes)
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("s", pa.binary())])
 
@@ -195,7 +194,13 @@ def _by_full_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     # either the filter or the join comes first; there is one Python step in the stage
     picked = docs if sent is not None else docs.join(nodes, "doc_id", "left_semi")
     full = picked.select("doc_id", "text").mapInArrow(sets, "node long, n long, s binary")
-    full = written(full.join(nodes, full["node"] == nodes["doc_id"], "left_semi").distinct(), "sets")
+    return written(full.join(nodes, full["node"] == nodes["doc_id"], "left_semi").distinct(), "sets")
+
+
+def _by_full_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked ones of pairs, by full sets. Pairs are gathered by the cluster they form, cut into blocks of bounded size, so that a set travels once for a block and not once for a pair."""
+    pairs = written(pairs.distinct(), "unsure")
+    full = _full_sets(written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "unsurenodes"), docs)
     home = full.select("node", "n").join(components(pairs, "clusters"), "node", "left").select("node", "n", F.coalesce("comp", "node").alias("cluster"))
     blocks = home.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     at = lambda x: F.pmod(F.xxhash64(x, F.lit(5)), F.col("blocks")).cast("int")
@@ -259,27 +264,21 @@ def _held(lists: list[np.ndarray], n: int) -> Iterator[np.ndarray]:
     return _common(np.repeat(np.arange(n), [len(x) for x in lists]), np.concatenate(lists), n)
 
 
-def compare_block(side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, here: list[np.ndarray], before: list[np.ndarray], sketch: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """(a, b, 1: linked or -1: unsure) among the members of one block pair that are in different components and share a
-    list of here, but none of before.
-
-    side: 0 and 1 for the two blocks of a pair; 2 for all members of a block that is compared with itself.
-    """
-    order = np.argsort(n, kind="stable")
-    node, comp, n, side = node[order], comp[order], n[order], side[order]
-    sketch, here, before = ([x[i] for i in order] for x in (sketch, here, before))
+def _likely(side: np.ndarray, comp: np.ndarray, n: np.ndarray, here: list, before: list, sketch: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, exact) for strips of pairs of members, in the order of n, that sketches alone do not rule out: members of
+    different components and allowed sides that share a list of here, but none of before. exact: the sketches are the sets, which are similar."""
     size = len(sketch)
-    held, union, out, todo = np.minimum(n, SKETCH_K), _Union(), [], []
+    held, todo = np.minimum(n, SKETCH_K), []
     for k, (share, met) in enumerate(zip(_held(here, size), _held(before, size), strict=True)):
         # sorted by n: a row and the columns behind it
         top = k * STRIP
         rows = np.arange(top, top + len(met))[:, None]
-        open_ = (share > 0) & (met == 0) & (np.arange(size)[None, :] > rows) & (comp[rows] != comp[None, :]) & (4 * n[rows] >= 3 * n[None, :]) & ((side[rows] == 2) | (side[rows] != side[None, :]))
+        open_ = (share > 0) & (met == 0) & (np.arange(size)[None, :] > rows) & (comp[rows] != comp[None, :]) & (4 * n[rows] >= 3 * n[None, :]) & ((side[rows] == 2) | (side[rows] != side[None, :])).all(axis=2)
         i, j = np.nonzero(open_)
         if len(i):
             todo.append((top, i, j))
     if not todo:
-        return []
+        return
     many = sum(len(i) for _, i, _ in todo) > 4 * size
     strips = _held(sketch, size) if many else iter(())
     at_strip = -STRIP
@@ -289,18 +288,36 @@ def compare_block(side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.nd
         a, b = i + top, j
         c = shared[i, j] if many else np.array([len(np.intersect1d(sketch[x], sketch[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
         exact = n[b] <= SKETCH_K
-        likely = np.flatnonzero(np.where(exact, 100 * c >= 75 * (n[a] + n[b] - c), c >= LEAST_ESTIMATE * np.maximum(held[a], held[b]) - 1))
+        found = np.flatnonzero(np.where(exact, 100 * c >= 75 * (n[a] + n[b] - c), c >= LEAST_ESTIMATE * np.maximum(held[a], held[b]) - 1))
         # sure ones first: they spare others
-        for k in likely[np.argsort(~exact[likely], kind="stable")].tolist():
-            x, y = union.top(int(comp[a[k]])), union.top(int(comp[b[k]]))
-            if x == y:
+        found = found[np.argsort(~exact[found], kind="stable")]
+        yield a[found], b[found], exact[found]
+
+
+def compare_block(side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, here: list, before: list, sets: list, whole: bool = False) -> tuple[list[tuple[int, int]], list[int]]:
+    """(edges among the members of one block pair, at most one for each member; the members whose pairs only full sets can judge).
+
+    side (members x 1 or more): 0 and 1 for the two blocks of a pair, 2 for all members of a block that is compared with itself;
+    every column must allow a pair. sets: the members' sketches, or their whole sets, which leave nothing unjudged.
+    """
+    order = np.argsort(n, kind="stable")
+    node, comp, n, side = node[order], comp[order], n[order], side[order]
+    sets, here, before = ([x[i] for i in order] for x in (sets, here, before))
+    sketch = [x[:SKETCH_K] for x in sets]
+    union, edges, unsure = _Union(), [], np.zeros(len(node), bool)
+    for a, b, exact in _likely(side, comp, n, here, before, sketch):
+        for i, j, sure in zip(a.tolist(), b.tolist(), exact.tolist(), strict=True):
+            if not whole and not sure:
+                if not (unsure[i] and unsure[j]) and estimate(sketch[i], sketch[j]) >= LEAST_ESTIMATE:
+                    unsure[i] = unsure[j] = True
+                continue
+            if whole and sure:
                 continue
-            if exact[k]:
+            x, y = union.top(int(comp[i])), union.top(int(comp[j]))
+            if x != y and (sure or (estimate(sketch[i], sketch[j]) >= LEAST_ESTIMATE and _similar(sets[i], sets[j]))):
                 union[max(x, y)] = min(x, y)
-                out.append((int(node[a[k]]), int(node[b[k]]), 1))
-            elif estimate(sketch[a[k]], sketch[b[k]]) >= LEAST_ESTIMATE:
-                out.append((int(node[a[k]]), int(node[b[k]]), -1))
-    return out
+                edges.append((int(node[i]), int(node[j])))
+    return edges, order[unsure].tolist()
 
 
 def _band():
@@ -308,8 +325,12 @@ def _band():
     return F.floor(F.ln("n") / F.ln(F.lit(4 / 3)) + 1e-9)
 
 
+_MEMBER = "grp long, i long, j long, node long, comp long, side int, here array<long>, before array<long>"
+
+
 def _residual(lists: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
-    """Compare, inside tasks, the members of each list that are still in different components. Lists of two were compared as stars."""
+    """Compare, inside tasks, the members of each list that are still in different components. Lists of two were compared as stars.
+    Rows (a, b) are edges; rows without b are members of a block pair that whole sets must judge."""
     marked = lists.select("value", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     found = marked.groupBy("value").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("grp"))
     open_lists = written(found.where("lo < hi and size > 2").select("value", "size", "grp"), "openlists")
@@ -335,31 +356,52 @@ def _residual(lists: DataFrame, labels: DataFrame, known: DataFrame) -> DataFram
         .join(known.select("node", "n", "sketch"), "node")
     )
 
+    return _compared(dealt.select(*[f.split()[0] for f in _MEMBER.split(", ")], F.lit(0).alias("si"), F.lit(0).alias("sj"), F.lit(2).alias("sub"), "n", F.col("sketch").alias("s")), False)
+
+
+def _deep(flagged: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): the edges among flagged members of block pairs, by whole sets. Blocks are cut again, so that a task's sets are bounded; no pair is listed."""
+    full = _full_sets(written(flagged.select(F.col("node").alias("doc_id")).distinct(), "deepnodes"), docs)
+    sized = flagged.join(full.groupBy("node").agg(F.sum("n").alias("n")), "node").groupBy("grp", "i", "j").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node", F.lit(6)), F.col("parts")).cast("int")
+    each = flagged.join(sized, ["grp", "i", "j"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    si, sj = F.least("own", "other"), F.greatest("own", "other")
+    sub = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    dealt = each.select(*[f.split()[0] for f in _MEMBER.split(", ")], si.alias("si"), sj.alias("sj"), sub.alias("sub")).join(full.select("node", "n", "s"), "node")
+    return _compared(dealt, True).where("b is not null").select("a", "b").distinct()
+
+
+def _compared(dealt: DataFrame, whole: bool) -> DataFrame:
+    """Members dealt by (grp, i, j, si, sj) with their sketches or whole sets, compared: (a, b) for edges, (a, null, member columns) for members left to whole sets."""
+    fields = [f.split()[0] for f in _MEMBER.split(", ")]
+    schema = arrow_schema(f"a long, b long, {_MEMBER}")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("j", pa.int32())])
         key, held = None, []
 
         def flush():
             if len(held) < 2 or len({h[1] for h in held}) < 2:
                 return None
-            node, comp, n, side, here, before, sketch = zip(*held, strict=True)
+            node, comp, side, here, before, sub, n, data = zip(*held, strict=True)
             arrays = [[np.array(x, np.int64) for x in lists] for lists in (here, before)]
-            found = compare_block(np.array(side), np.array(node), np.array(comp), np.array(n), *arrays, [np.frombuffer(x, np.uint64) for x in sketch])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema) if found else None
+            edges, unsure = compare_block(np.array([side, sub]).T, np.array(node), np.array(comp), np.array(n), *arrays, [np.frombuffer(x, np.uint64) for x in data], whole)
+            rows = [(a, b, *[None] * len(fields)) for a, b in edges] + [(node[k], None, *key[:3], node[k], comp[k], side[k], here[k], before[k]) for k in unsure]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else None
 
         for batch in batches:
-            for g, i, j, *rest in zip(*[batch.column(c).to_pylist() for c in ("grp", "i", "j", "node", "comp", "n", "side", "here", "before", "sketch")], strict=True):
-                if (g, i, j) != key:
+            for *where, node, comp, side, here, before, sub, n, data in zip(*[batch.column(c).to_pylist() for c in ("grp", "i", "j", "si", "sj", "node", "comp", "side", "here", "before", "sub", "n", "s")], strict=True):
+                if where != key:
                     if (made := flush()) is not None:
                         yield made
-                    key, held = (g, i, j), []
-                held.append(rest)
+                    key, held = where, []
+                held.append((node, comp, side, here, before, sub, n, data))
         if (made := flush()) is not None:
             yield made
         held = []
         release()
 
-    return dealt.repartition(_tasks(dealt), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node").mapInArrow(run, "a long, b long, j int").distinct()
+    keys = ["grp", "i", "j", "si", "sj"]
+    return dealt.repartition(_tasks(dealt), *keys).sortWithinPartitions(*keys, "node").mapInArrow(run, f"a long, b long, {_MEMBER}")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -397,7 +439,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = written(_verified(stars, known, docs), "edges")
     labels = components(edges)
     more = written(_residual(lists, labels, known), "residual")
-    late = more.where("j > 0").select("a", "b").union(_by_full_sets(more.where("j < 0").select("a", "b"), docs))
+    late = more.where("b is not null").select("a", "b").union(_deep(more.where("b is null").select(*[f.split()[0] for f in _MEMBER.split(", ")]).distinct(), docs))
     # a doc_id that repeats with different texts ties the classes it is in
     twice = named.groupBy("doc_id").agg(F.min(F.xxhash64("set_key")).alias("lo"), F.max(F.xxhash64("set_key")).alias("hi")).where("lo <> hi").select("doc_id")
     at = named.join(twice, "doc_id", "left_semi").join(classes.select("set_key", "node"), "set_key").groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("bs"))
