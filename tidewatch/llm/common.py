@@ -186,6 +186,13 @@ def may_hold(bits: np.ndarray, ids: pa.Array) -> pa.Array:
     return pa.array(hit & ids.is_valid().to_numpy(zero_copy_only=False))
 
 
+def holds(bits: np.ndarray, one: int) -> bool:
+    """The same for one id."""
+    x = one * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    at = (x ^ x >> 29) & (8 * len(bits) - 1)
+    return bool(int(bits[at >> 3]) >> (at & 7) & 1)
+
+
 def held_by(sent) -> Callable:
     """An Arrow UDF on a column of ids: may the filter hold it?"""
 

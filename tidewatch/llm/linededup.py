@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_by, id_filter, map_rows, pick, positional, small_batches, spread_join, utf8, written
+from .common import held_by, holds, id_filter, map_rows, pick, positional, small_batches, spread_join, utf8, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys that one filter shard is made for: an index with more keys a shard gets more shards.
@@ -258,15 +258,10 @@ def dropped_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
     return written(lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "lostlines")
 
 
-def _with_lost(docs: DataFrame, doc_id: str, lost: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents that may lose lines, with their keys as lost_keys; the others)."""
-    sent = id_filter(lost.select("doc_id"))
-    if sent is None:
-        some, others = docs.where(F.col(doc_id).isNotNull()), docs.where(F.col(doc_id).isNull())
-    else:
-        some, others = docs.where(held_by(sent)(doc_id)), docs.where(~held_by(sent)(doc_id))
+def _met(some: DataFrame, doc_id: str, lost: DataFrame) -> DataFrame:
+    """Documents with the keys that they lose as lost_keys."""
     named = lost.select(F.col("doc_id").alias("lost_id"), F.col("keys").alias("lost_keys"))
-    return some.join(named.hint("shuffle_hash"), F.col(doc_id) == F.col("lost_id"), "left").drop("lost_id"), others
+    return some.join(named.hint("shuffle_hash"), F.col(doc_id) == F.col("lost_id"), "left").drop("lost_id")
 
 
 def _kept(text: str | None, keys: list[bytes] | None) -> tuple[int, int, str]:
@@ -282,17 +277,28 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, kept_sha256."""
     docs = pick(docs, "doc_id", "text")
     lost = dropped_lines(docs, insert_documents(empty_index(docs.sparkSession, min_docs), docs))
-    some, others = _with_lost(docs, "doc_id", lost)
+    sent = id_filter(lost.select("doc_id"))
 
     def start():
-        def row(doc_id: int | None, text: str | None, keys: list[bytes] | None = None) -> Iterator[tuple]:
+        def row(doc_id: int | None, text: str | None, keys: list[bytes] | None) -> Iterator[tuple]:
             n, gone, kept = _kept(text, keys)
             yield doc_id, n, gone, hashlib.sha256(utf8(kept)).hexdigest()
 
         return row
 
+    def untouched():
+        row, bits = start(), None if sent is None else sent.value
+
+        def other(doc_id: int | None, text: str | None) -> Iterator[tuple]:
+            # one Python step both selects and counts
+            if doc_id is None or (bits is not None and not holds(bits, doc_id)):
+                yield from row(doc_id, text, None)
+
+        return other
+
     result = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
-    return map_rows(some.select("doc_id", "text", "lost_keys"), start, result).union(map_rows(others, start, result))
+    some, others = (docs.where("doc_id is not null"), docs.where("doc_id is null")) if sent is None else (docs.where(held_by(sent)("doc_id")), docs)
+    return map_rows(_met(some, "doc_id", lost).select("doc_id", "text", "lost_keys"), start, result).union(map_rows(others, untouched, result))
 
 
 def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -306,7 +312,9 @@ def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFra
         return type(texts)([t if k is None else _kept(t, list(k))[2] for t, k in zip(texts, keys, strict=True)], dtype=object)
 
     small_batches(docs.sparkSession)
-    some, others = _with_lost(inner, doc_id, lost)
+    sent = id_filter(lost.select("doc_id"))
+    hit = F.col(doc_id).isNotNull() if sent is None else held_by(sent)(doc_id)
+    some, others = _met(inner.where(hit), doc_id, lost), inner.where(~hit)
     changed = F.when(F.col("lost_keys").isNull(), F.col(text)).otherwise(kept(text, "lost_keys"))
     out = some.withColumn(text, changed).drop("lost_keys").union(others)
     if "n_chars" in docs.columns:
