@@ -375,6 +375,26 @@ def test_neardup_blocks(spark, monkeypatch, changed):
     assert len({r[1] for r in brute_neardup(rows)}) > 5 or "BLOCK" not in changed
 
 
+def test_neardup_of_a_family_just_under_the_threshold(spark, monkeypatch):
+    """Long documents that sketches cannot tell from similar ones: members are named, pairs are not listed, and some pairs do link."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for at in rng.sample(range(900), 18 if k % 6 else 11):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    named, deep = [], neardup._deep
+    monkeypatch.setattr(neardup, "_deep", lambda flagged, docs: named.append(flagged.count()) or deep(flagged, docs))
+    for shingles in (2_000_000, 5_000):
+        monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+        got = neardup.near_duplicates(frame(spark, rows)).collect()
+        want = brute_neardup(rows)
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+    assert 1 < len({c for *_, c in want}) < 60 and all(0 < n <= 60 * 4 for n in named)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 80), (7, 7)]
     got = dict(neardup.components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -677,6 +697,7 @@ def test_topk_is_brute_force(spark, kind, monkeypatch):
         n = 120
     monkeypatch.setattr(topk, "BUCKET", 64)
     monkeypatch.setattr(topk, "SEEDS", 40)
+    monkeypatch.setattr(topk, "SAMPLE", 5)
     rows = [(int(i), [float(c) for c in np.float32(v)]) for i, v in enumerate(x)]
     rows += [(1000, None), (1050, [None] * 8), (1100, [float("nan")] * 8), (None, rows[0][1]), (1150, []), (1200, [1.0, 2.0])]
     df = spark.createDataFrame([(*r, 3) for r in rows], "vec_id long, embedding array<float>, rank int")
