@@ -15,8 +15,8 @@ TOKEN = r"[a-zа-яёіїєґ0-9]+(?:'[a-zа-яёіїєґ0-9]+)*"
 
 
 def collapse(c: Column) -> Column:
-    """White space runs to one space, ends stripped, for all Unicode white space."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    """White space runs to one space, ends stripped, for all Unicode white space. Single spaces, most of a text's white space, are not touched."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s{2,}|[^\S ]", " "))
 
 
 def strip(c: Column) -> Column:
