@@ -1,7 +1,11 @@
 """Model stages, registry, collected sources, run tables and streams on small frames; their queries against DuckDB."""
 
 import datetime as dt
+import hashlib
 import json
+import os
+import urllib.parse
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,6 +216,31 @@ def test_registry(spark, tmp_path):
         V.read_jsonl(spark, f"{tmp_path}/l.jsonl", "k int, d string").collect()
 
 
+def test_evidence_files_stay_small(spark, tmp_path):
+    """Files grow in number, not in size, and hold both shapes; nulls and repeated ids are rows as any other."""
+    n, most = 1500, 4 << 20
+    text = F.concat(F.repeat(F.lit('a"\n'), 8000), F.col("id").cast("string"))
+    more = spark.createDataFrame([(None, "t", "s"), (2, None, "s"), (3, "t", None), (3, "t", None), (5, "", "s")], "doc_id long, text string, source string")
+    spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source")).union(more).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.QUERIES["evidence_items"](spark, str(tmp_path))
+    files = [urllib.parse.unquote(urllib.parse.urlparse(f).path) for f in got.inputFiles()]
+    sizes = [os.path.getsize(f) for f in files]
+    assert max(sizes) <= most and len(sizes) >= sum(sizes) / most
+    heads = {Path(f).read_text()[0] for f in files if os.path.getsize(f)}
+    assert heads == {"[", "{"}
+    sha = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
+    want = [(str(i), "s", sha('a"\n' * 8000 + str(i))) for i in range(n)] + [(None, "s", sha("t")), ("2", "s", None), ("3", None, sha("t")), ("3", None, sha("t")), ("5", "s", sha(""))]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_evidence_of_any_length(spark, tmp_path):
+    """One text of more than 20 million characters, next to an empty table."""
+    spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 21_000_000).alias("text"), F.lit("s").alias("source")).write.parquet(f"{tmp_path}/long/documents.parquet")
+    assert [tuple(r) for r in Q.QUERIES["evidence_items"](spark, f"{tmp_path}/long").collect()] == [("0", "s", hashlib.sha256(b"x" * 21_000_000).hexdigest())]
+    spark.read.parquet(f"{tmp_path}/long/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert Q.QUERIES["evidence_items"](spark, f"{tmp_path}/none").collect() == []
+
+
 def test_recall_gap(spark):
     ids = spark.createDataFrame([(i,) for i in range(8)], "content_id long")
     sem = spark.createDataFrame([(0, 0.9), (1, 0.8), (2, 0.8), (3, 0.1), (4, 0.05)], "content_id long, score double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -53,13 +55,55 @@ def _(spark, sf):
     return V.read_jsonl(spark, path, "event_id long, event_type string", "event_type = 'click'")
 
 
+#: Bytes of one evidence file, and of the items that Spark hands to Python at once.
+EVIDENCE_BYTES = 4 << 20
+
+
+def write_evidence(items: DataFrame, path: str, size: int = EVIDENCE_BYTES) -> None:
+    """Items (listed boolean, item binary, one JSON object each) as files of at most size bytes: a list of those listed, an object with one of the others.
+
+    Only a longer item makes a longer file. Each task packs its own rows, so no file and no row grows with the table.
+    """
+
+    def pack(batches):
+        held, total = {True: [], False: []}, {True: 0, False: 0}
+
+        def file(listed):
+            value = (b"[%b]" if listed else b'{"evidence":[%b]}') % b",".join(held[listed])
+            held[listed], total[listed] = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], ["value"])
+
+        for batch in batches:
+            for listed, item in zip(batch.column(0), batch.column(1), strict=True):
+                listed, item = listed.as_py(), item.as_py()
+                more = len(item) + 1  # with its comma
+                if held[listed] and total[listed] + more + len(b'{"evidence":[]}') > size:
+                    yield file(listed)
+                held[listed].append(item)
+                total[listed] += more
+        for listed in held:
+            if held[listed]:
+                yield file(listed)
+
+    conf = items.sparkSession.conf
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(EVIDENCE_BYTES)}
+    before = {k: conf.get(k, None) for k in bounds}
+    try:
+        for k, v in bounds.items():
+            conf.set(k, v)
+        items.select("listed", "item").mapInArrow(pack, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
 @query("evidence_items", "e AS (SELECT CAST(doc_id AS VARCHAR) AS evidence_id, source, sha256(text) AS text_hash FROM documents) SELECT * FROM e")
 def _(spark, sf):
-    """Half of the items come as a list, half as an object with one."""
+    """Half of the items come in lists, half in objects with one."""
     item = F.struct(F.col("doc_id").cast("string").alias("evidence_id"), "source", "text")
-    listed = V.table(spark, sf, "documents").groupBy((F.col("doc_id") % 8).alias("k")).agg(F.collect_list(item).alias("l"))
+    listed = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
     path = _folder(spark)
-    listed.select(F.when(F.col("k") % 2 == 0, F.to_json("l")).otherwise(F.to_json(F.struct(F.col("l").alias("evidence")))).alias("value")).repartition(8, "value").write.option("maxRecordsPerFile", 1).text(path)
+    write_evidence(V.table(spark, sf, "documents").select(listed.alias("listed"), F.to_json(item).cast("binary").alias("item")), path)
     return V.read_evidence(spark, path).select("evidence_id", "source", F.sha2("text", 256).alias("text_hash"))
 
 

@@ -69,10 +69,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, where: str | None =
 
 
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
-    """A list, or {"evidence": [...]}; anything else raises."""
+    """A list, or {"evidence": [...]}; anything else raises. A file is parsed as one row, so many items belong in many files; texts may have any length."""
     item = "struct<evidence_id:string,content_id:string,source:string,contour_id:int,reported_at:string,text:string>"
     raw = spark.read.text(path, wholetext=True)
-    found = raw.select(F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{item}>")).otherwise(F.from_json("value", f"struct<evidence:array<{item}>>").getField("evidence")).alias("e"))
+    any_length = {"maxStringLen": str(2**31 - 1)}
+    listed, held = F.from_json("value", f"array<{item}>", any_length), F.from_json("value", f"struct<evidence:array<{item}>>", any_length)
+    found = raw.select(F.when(F.ltrim("value").startswith("["), listed).otherwise(held.getField("evidence")).alias("e"))
     return found.select(F.explode(F.when(F.col("e").isNotNull(), F.col("e")).otherwise(F.raise_error(F.lit("unknown fixture shape")).cast(f"array<{item}>"))).alias("e")).select("e.*")
 
 
